@@ -79,7 +79,7 @@ def clamp_value(raw: Column | str, cost: Column | str, lo: float = C.ARV_MIN_RAT
     Returns ``arv``, ``clamped_ratio`` (NULL when cost <= 0) and ``arv_clamped``.
     """
     raw, cost = _c(raw), _c(cost)
-    ratio = raw / cost
+    ratio = raw / null_if_zero(cost)  # shared subexpressions are evaluated eagerly
     bounded = F.when(ratio < lo, F.lit(lo)).when(ratio > hi, F.lit(hi)).otherwise(ratio)
     has_cost = cost > 0
     clamped_ratio = F.when(has_cost, bounded)

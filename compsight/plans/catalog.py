@@ -224,3 +224,265 @@ def city_summary(spark, sf_dir):
         r4(F.median(C.PURCHASE_COL)).alias("median_purchase"),
         r4(F.avg("rehab_ratio")).alias("avg_rehab_ratio"),
         F.sum(F.col(C.TARGET_COL).cast("decimal(18,2)")).cast("decimal(18,2)").alias("total_value"))
+
+
+# ====================================================================== finance (FIN-1..9)
+def _money_input(spark, sf_dir) -> DataFrame:
+    """Eligible comps: the coerced target stands for a predicted value."""
+    return clean.filter_eligible(prep.loaded(spark, sf_dir)).select(
+        "source_row", F.col(C.PURCHASE_COL).alias("purchase"), F.col(C.REHAB_COL).alias("rehab"),
+        F.col(C.TARGET_COL).alias("arv_raw"))
+
+
+_MONEY_CTE = f"""
+money AS (SELECT source_row, purchase_price_ma AS purchase, rehab_budget_ma AS rehab,
+                 {Q.num('projected_value_ma')} AS arv_raw
+          FROM loaded WHERE {Q.num('projected_value_ma')} > 0)"""
+
+
+@register("total_cost", Q.with_ctes(body="""
+SELECT source_row, purchase_price_ma + rehab_budget_ma AS total_cost_propagate,
+       COALESCE(purchase_price_ma, 0.0) + COALESCE(rehab_budget_ma, 0.0) AS total_cost_zero
+FROM comps"""))
+def total_cost_q(spark, sf_dir):
+    """FIN-1 (both NULL policies) and FIN-3 (missing -> 0)."""
+    return standins.comps(spark, sf_dir).select(
+        "source_row",
+        fin.total_cost(C.PURCHASE_COL, C.REHAB_COL, nulls="propagate").alias("total_cost_propagate"),
+        fin.total_cost(C.PURCHASE_COL, C.REHAB_COL, nulls="zero").alias("total_cost_zero"))
+
+
+_RATIO_SQL = {
+    "train_linear": """CASE WHEN rehab_budget_ma / NULLIF(purchase_price_ma, 0) < 0 THEN 0.0
+         WHEN rehab_budget_ma / NULLIF(purchase_price_ma, 0) > 5 THEN 5.0
+         ELSE rehab_budget_ma / NULLIF(purchase_price_ma, 0) END""",
+    "train_forest": "COALESCE(rehab_budget_ma / NULLIF(purchase_price_ma, 0), 0.0)",
+    "audit": "rehab_budget_ma / NULLIF(purchase_price_ma, 0)",
+    "score": """CASE WHEN COALESCE(purchase_price_ma, 0.0) + COALESCE(rehab_budget_ma, 0.0) > 0
+         THEN COALESCE(rehab_budget_ma, 0.0) / (COALESCE(purchase_price_ma, 0.0) + COALESCE(rehab_budget_ma, 0.0))
+         ELSE 0.0 END""",
+}
+
+
+def _ratio_query(mode):
+    def q(spark, sf_dir):
+        return standins.comps(spark, sf_dir).select(
+            "source_row", fin.rehab_ratio(C.PURCHASE_COL, C.REHAB_COL, mode).alias("rehab_ratio"))
+    q.__doc__ = f"FIN-2 rehab ratio, '{mode}' definition."
+    return q
+
+
+for _mode in fin.REHAB_RATIO_MODES:
+    register(f"rehab_ratio_{_mode}", Q.with_ctes(body=f"""
+SELECT source_row, CAST({_RATIO_SQL[_mode]} AS DOUBLE) AS rehab_ratio FROM comps"""))(_ratio_query(_mode))
+
+
+@register("log_target", Q.with_ctes(Q.LOADED_CTE, _MONEY_CTE, body="""
+SELECT source_row, round(ln(1 + arv_raw), 4) AS y_log1p, round(ln(arv_raw), 4) AS y_log,
+       round(exp(ln(arv_raw)), 2) AS back_dollars
+FROM money"""))
+def log_target_q(spark, sf_dir):
+    """FIN-4: log1p / log target transforms and the exact inverse."""
+    df = _money_input(spark, sf_dir)
+    return df.select(
+        "source_row",
+        r4(fin.forward_target("arv_raw", "log1p")).alias("y_log1p"),
+        r4(fin.forward_target("arv_raw", "log")).alias("y_log"),
+        F.round(fin.inverse_target(fin.forward_target("arv_raw", "log"), "log"), 2).alias("back_dollars"))
+
+
+_CLAMP_SQL = """
+  CASE WHEN cost > 0 THEN
+    (CASE WHEN arv_raw / cost < 1.0 THEN 1.0 WHEN arv_raw / cost > 2.0 THEN 2.0 ELSE arv_raw / cost END) * cost
+  ELSE arv_raw END AS arv,
+  CASE WHEN cost > 0 THEN
+    (CASE WHEN arv_raw / cost < 1.0 THEN 1.0 WHEN arv_raw / cost > 2.0 THEN 2.0 ELSE arv_raw / cost END)
+  END AS clamped_ratio,
+  COALESCE(cost > 0 AND abs((CASE WHEN arv_raw / cost < 1.0 THEN 1.0 WHEN arv_raw / cost > 2.0 THEN 2.0
+                                  ELSE arv_raw / cost END) - arv_raw / cost) > 1e-6, false) AS arv_clamped"""
+
+_COST_SQL = "COALESCE(purchase, 0.0) + COALESCE(rehab, 0.0)"
+
+
+def _clamped(spark, sf_dir) -> DataFrame:
+    df = _money_input(spark, sf_dir)
+    cost = fin.total_cost("purchase", "rehab", nulls="zero")
+    cl = fin.clamp_value("arv_raw", cost)
+    return df.select("source_row", "purchase", "rehab", "arv_raw", cost.alias("total_cost"),
+                     *[v.alias(k) for k, v in cl.items()])
+
+
+@register("arv_clamp", Q.with_ctes(Q.LOADED_CTE, _MONEY_CTE, body=f"""
+SELECT source_row, cost AS total_cost, {_CLAMP_SQL}
+FROM (SELECT *, {_COST_SQL} AS cost FROM money)"""))
+def arv_clamp_q(spark, sf_dir):
+    """FIN-5: value guard-rail, ratio to cost clamped to [1, 2]."""
+    return _clamped(spark, sf_dir).select("source_row", "total_cost", "arv", "clamped_ratio",
+                                          "arv_clamped")
+
+
+_CLAMPED_CTE = f"""
+clamped AS (SELECT source_row, purchase, rehab, {_CLAMP_SQL}
+            FROM (SELECT *, {_COST_SQL} AS cost FROM money))"""
+
+
+def _loan_query(policy):
+    def q(spark, sf_dir):
+        df = _clamped(spark, sf_dir)
+        out = fin.size_loan("arv", "purchase", "rehab", policy)
+        return df.select("source_row", "arv", *[v.alias(k) for k, v in out.items()])
+    q.__doc__ = f"FIN-6/7/8 loan sizing, policy '{policy}', on clamped values."
+    return q
+
+
+_P = "COALESCE(purchase, 0.0)"
+_R = "COALESCE(rehab, 0.0)"
+_LOAN_SQL = {
+    "ltv": f"""
+SELECT source_row, arv, {_P} + {_R} AS total_cost, total_loan, initial_advance, placement_fee,
+  greatest(round_even({_P} - initial_advance + placement_fee + 1195.0 + 594.0, 0), 0.0) AS cash_to_close,
+  0.7 AS ltv_limit
+FROM (SELECT *, greatest(0.0, 0.7 * arv) AS total_loan,
+             greatest(greatest(0.0, 0.7 * arv) - {_R}, 0.0) AS initial_advance,
+             greatest(0.0, 0.7 * arv) * 0.0225 AS placement_fee FROM clamped)""",
+    "ltv_ltc": f"""
+SELECT source_row, arv, {_P} + {_R} AS total_cost, max_loan_ltv, max_loan_ltc, total_loan,
+  initial_advance, placement_fee,
+  greatest(round_even({_P} - initial_advance + placement_fee + 1195.0 + 594.0, 0), 0.0) AS cash_to_close
+FROM (SELECT *, greatest(total_loan - {_R}, 0.0) AS initial_advance, total_loan * 0.0225 AS placement_fee
+      FROM (SELECT *, 0.7 * arv AS max_loan_ltv, 0.9 * ({_P} + {_R}) AS max_loan_ltc,
+                   least(0.7 * arv, 0.9 * ({_P} + {_R})) AS total_loan FROM clamped))""",
+    "ltv_ltc_raw": f"""
+SELECT source_row, arv, {_P} + {_R} AS total_cost, max_loan_ltv, max_loan_ltc, total_loan,
+  initial_advance, placement_fee,
+  greatest({_P} - initial_advance + placement_fee + 1195.0 + 594.0, 0.0) AS cash_to_close
+FROM (SELECT *, total_loan - {_R} AS initial_advance, total_loan * 0.0225 AS placement_fee
+      FROM (SELECT *, 0.7 * arv AS max_loan_ltv, 0.9 * ({_P} + {_R}) AS max_loan_ltc,
+                   least(0.7 * arv, 0.9 * ({_P} + {_R})) AS total_loan FROM clamped))""",
+}
+
+for _pol, _name in (("ltv", "loan_ltv"), ("ltv_ltc", "loan_ltv_ltc"), ("ltv_ltc_raw", "loan_ltv_ltc_raw")):
+    register(_name, Q.with_ctes(Q.LOADED_CTE, _MONEY_CTE, _CLAMPED_CTE,
+                                body=_LOAN_SQL[_pol].replace("0.7", "CAST(0.7 AS DOUBLE)")
+                                .replace("0.9 *", "CAST(0.9 AS DOUBLE) *")
+                                .replace("0.0225", "CAST(0.0225 AS DOUBLE)")))(_loan_query(_pol))
+
+
+@register("value_ratio", Q.with_ctes(Q.LOADED_CTE, _MONEY_CTE, body=f"""
+SELECT source_row, arv_raw / NULLIF({_COST_SQL}, 0) AS value_ratio FROM money"""))
+def value_ratio_q(spark, sf_dir):
+    """FIN-9: value / total cost, zero cost -> NULL."""
+    df = _money_input(spark, sf_dir)
+    return df.select("source_row", fin.value_ratio(
+        "arv_raw", fin.total_cost("purchase", "rehab", nulls="zero")).alias("value_ratio"))
+
+
+@register("display_rounding", Q.with_ctes(Q.LOADED_CTE, _MONEY_CTE, body="""
+SELECT source_row, round_even(arv_raw, 0) AS arv_whole, round_even(arv_raw, 2) AS arv_cents FROM money"""))
+def display_rounding_q(spark, sf_dir):
+    """FMT-1: half-even display rounding (text formatting via ``display_money``)."""
+    df = _money_input(spark, sf_dir)
+    return df.select("source_row", F.bround("arv_raw", 0).alias("arv_whole"),
+                     F.bround("arv_raw", 2).alias("arv_cents"))
+
+
+# ====================================================================== aggregates (AGG-3..6)
+from ..operators import aggregates as agg  # noqa: E402
+
+
+@register("describe_ratio", Q.with_ctes(Q.LOADED_CTE, _MONEY_CTE, body=f"""
+SELECT CAST(count(v) AS BIGINT) AS count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std,
+       round(min(v), 4) AS min, round(quantile_cont(v, 0.1), 4) AS p10,
+       round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS p50,
+       round(quantile_cont(v, 0.75), 4) AS p75, round(quantile_cont(v, 0.9), 4) AS p90,
+       round(max(v), 4) AS max
+FROM (SELECT arv_raw / NULLIF({_COST_SQL}, 0) AS v FROM money)"""))
+def describe_ratio_q(spark, sf_dir):
+    """AGG-4: describe() of value / cost with exact percentiles."""
+    df = _money_input(spark, sf_dir).select(fin.value_ratio(
+        "arv_raw", fin.total_cost("purchase", "rehab", nulls="zero")).alias("v"))
+    d = agg.describe(df, "v")
+    return d.select("count", *[r4(c).alias(c) for c in d.columns if c != "count"])
+
+
+@register("metrics", Q.with_ctes(Q.LOADED_CTE, _MONEY_CTE, body=f"""
+SELECT CAST(count(*) AS BIGINT) AS n,
+       round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2,
+       round(avg(abs(y - p)), 2) AS mae, round(avg((y - p) * (y - p)), 0) AS mse,
+       round(sqrt(avg((y - p) * (y - p))), 2) AS rmse
+FROM (SELECT arv_raw AS y, 1.2 * ({_COST_SQL}) AS p FROM money)""".replace("1.2 *", "CAST(1.2 AS DOUBLE) *")))
+def metrics_q(spark, sf_dir):
+    """AGG-5: R², MAE, MSE, RMSE of the cost-plus-20 % valuation against the value."""
+    df = _money_input(spark, sf_dir).select(
+        F.col("arv_raw").alias("y"),
+        (F.lit(1.2) * fin.total_cost("purchase", "rehab", nulls="zero")).alias("p"))
+    m = agg.regression_metrics(df, "y", "p")
+    return m.select("n", F.round("r2", 6).alias("r2"), F.round("mae", 2).alias("mae"),
+                    F.round("mse", 0).alias("mse"), F.round("rmse", 2).alias("rmse"))
+
+
+@register("category_counts", Q.with_ctes(Q.LOADED_CTE, Q.LATEST_CTE, Q.CLEAN_CTE, body="""
+SELECT city, CAST(count(*) AS BIGINT) AS n FROM elig WHERE city IS NOT NULL GROUP BY city"""))
+def category_counts_q(spark, sf_dir):
+    """AGG-3: city frequencies on cleaned comps, NULLs excluded."""
+    return agg.category_counts(prep.cleaned(spark, sf_dir, recent=False), "city")
+
+
+_TEXT_COLS = ["fecha_de_modificacion", "projected_value_ma", "lot_area_units", "city"]
+
+
+@register("parse_rate", Q.with_ctes(body=" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", avg(CASE WHEN {Q.num(c)} IS NOT NULL THEN 1.0 ELSE 0.0 END) AS parse_rate FROM comps"
+    for c in _TEXT_COLS)))
+def parse_rate_q(spark, sf_dir):
+    """AGG-6: share of each text column that parses as a number."""
+    return agg.parse_rate(standins.comps(spark, sf_dir), _TEXT_COLS)
+
+
+@register("null_profile", Q.with_ctes(Q.LOADED_CTE, body=" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS n_values, count({c}) = 0 AS all_null, "
+    f"COALESCE(min({c}) < max({c}), false) AS varies FROM loaded WHERE loan_number IS NULL"
+    for c in standins.COMPS_COLUMNS)))
+def null_profile_q(spark, sf_dir):
+    """AGG-7/8: per-column value count, all-NULL and constant flags (id-less comps)."""
+    df = prep.loaded(spark, sf_dir).filter(F.col(C.ID_COL).isNull())
+    return agg.null_profile(df, standins.COMPS_COLUMNS)
+
+
+@register("event_filter_counts", f"""
+SELECT CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS n_matching,
+       CAST(count(*) AS BIGINT) AS n_total FROM events""")
+def event_filter_counts_q(spark, sf_dir):
+    """AGG-1 on raw events: filtered and total count in one pass."""
+    from ..sources.tables import read_table
+    return agg.filtered_counts(read_table(spark, sf_dir, "events"), F.col("event_type") == "purchase")
+
+
+# ====================================================================== sampling (SMP-1/2)
+from ..operators import sampling as smp  # noqa: E402
+
+_H32 = "('0x' || substr(md5(CAST(source_row AS VARCHAR) || '|42'), 1, 8))::BIGINT"
+
+
+@register("split_flags", Q.with_ctes(body=f"""
+SELECT source_row, {_H32} % 10000 < 2000 AS is_test FROM comps"""))
+def split_flags_q(spark, sf_dir):
+    """SMP-2: seeded hash split, one narrow pass."""
+    return smp.split_flags(standins.comps(spark, sf_dir)).select("source_row", "is_test")
+
+
+@register("split_exact", Q.with_ctes(body=f"""
+SELECT source_row,
+       row_number() OVER (ORDER BY {_H32}, source_row) <= ceil(0.2 * count(*) OVER ()) AS is_test
+FROM comps"""))
+def split_exact_q(spark, sf_dir):
+    """SMP-2 exact: ceil(0.2 n) test rows by smallest seeded hash (radix select)."""
+    return smp.split_exact(standins.comps(spark, sf_dir)).select("source_row", "is_test")
+
+
+@register("sample10", Q.with_ctes(Q.LOADED_CTE, _MONEY_CTE, body="""
+SELECT source_row, arv_raw FROM money
+ORDER BY md5(CAST(source_row AS VARCHAR) || '|42'), source_row LIMIT 10"""))
+def sample10_q(spark, sf_dir):
+    """SMP-1: exactly 10 rows in seeded-hash order."""
+    return smp.seeded_sample(_money_input(spark, sf_dir)).select("source_row", "arv_raw")
