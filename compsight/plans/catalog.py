@@ -17,7 +17,7 @@ from ..functions import finance as fin
 from ..functions.numeric import to_date, to_number
 from ..functions.text import city_bucket
 from ..operators import clean, schema
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import standins
 from ..sources.comps import load_comps, normalize_columns
 from . import prep
@@ -486,3 +486,283 @@ ORDER BY md5(CAST(source_row AS VARCHAR) || '|42'), source_row LIMIT 10"""))
 def sample10_q(spark, sf_dir):
     """SMP-1: exactly 10 rows in seeded-hash order."""
     return smp.seeded_sample(_money_input(spark, sf_dir)).select("source_row", "arv_raw")
+
+
+# ====================================================================== features (FEAT-1..9)
+from ..operators import features as FE  # noqa: E402
+from ..operators import linear as L  # noqa: E402
+from ..operators import ordered as O  # noqa: E402
+from . import training as TR  # noqa: E402
+
+_FEAT_ALL = [Q.LOADED_CTE, Q.LATEST_CTE, Q.CLEAN_CTE, Q.FEATURES_CTE, Q.SPLIT_CTE]
+
+
+def _split_features(spark, sf_dir) -> DataFrame:
+    return smp.split_flags(prep.features(spark, sf_dir))
+
+
+@register("collapse_rare", Q.with_ctes(*_FEAT_ALL, body="SELECT source_row, city FROM pre"))
+def collapse_rare_q(spark, sf_dir):
+    """FEAT-1: cities seen < 25 times among train rows (and NULL) -> 'Other'."""
+    df = _split_features(spark, sf_dir)
+    rc = FE.RareCollapse.fit(df.filter(~F.col("is_test")), "city")
+    return rc.transform(df).select("source_row", "city")
+
+
+@register("median_impute", Q.with_ctes(*_FEAT_ALL, body=f"""
+SELECT source_row, {", ".join(Q.NUMERIC)} FROM imp"""))
+def median_impute_q(spark, sf_dir):
+    """FEAT-3: exact medians learned on train rows fill every row's NULLs."""
+    df = _split_features(spark, sf_dir)
+    med = FE.fit_medians(df.filter(~F.col("is_test")), C.NUMERIC_FEATURES)
+    return df.select("source_row", *[F.coalesce(F.col(c), F.lit(med[c])).alias(c)
+                                     for c in C.NUMERIC_FEATURES])
+
+
+@register("standardize", Q.with_ctes(*_FEAT_ALL, body=f"""
+SELECT source_row, {", ".join(f"round(num__{c}, 6) AS num__{c}" for c in Q.NUMERIC)} FROM std"""))
+def standardize_q(spark, sf_dir):
+    """FEAT-3 + FEAT-4: impute then standardise with population std (train fit)."""
+    df = _split_features(spark, sf_dir)
+    ct = FE.fit_column_transformer(df.filter(~F.col("is_test")), categorical=())
+    return ct.transform(df, keep=["source_row"]).select(
+        "source_row", *[F.round(f"num__{c}", 6).alias(f"num__{c}") for c in C.NUMERIC_FEATURES])
+
+
+@register("mode_impute")
+def mode_impute_q(spark, sf_dir):
+    """FEAT-5: most frequent train city (ties -> smallest) fills NULL cities."""
+    df = _split_features(spark, sf_dir)
+    mode = FE.most_frequent(df.filter(~F.col("is_test")), "city")
+    return df.select("source_row", F.coalesce(F.col("city"), F.lit(mode)).alias("city"))
+
+
+ORACLE["mode_impute"] = Q.with_ctes(
+    Q.LOADED_CTE, Q.LATEST_CTE, Q.CLEAN_CTE, Q.FEATURES_CTE, f"""
+sp AS (SELECT *, {Q.H32} % 10000 < 2000 AS is_test FROM feat),
+md AS (SELECT city FROM sp WHERE NOT is_test AND city IS NOT NULL GROUP BY city
+       ORDER BY count(*) DESC, city LIMIT 1)""",
+    body="SELECT source_row, COALESCE(city, (SELECT city FROM md)) AS city FROM sp")
+
+
+@register("one_hot", Q.with_ctes(*_FEAT_ALL, """
+cats AS (SELECT city AS v, row_number() OVER (ORDER BY city) AS pos
+         FROM (SELECT DISTINCT city FROM pre WHERE NOT is_test))""", body="""
+SELECT p.source_row, 'cat__city_' || c.v AS feature,
+       CASE WHEN p.city = c.v THEN 1.0 ELSE 0.0 END AS value
+FROM pre p, cats c WHERE c.pos > 1"""))
+def one_hot_q(spark, sf_dir):
+    """FEAT-6: one-hot of the collapsed city, sorted categories, first dropped
+    (long form: one row per row and dummy)."""
+    df = _split_features(spark, sf_dir)
+    rc = FE.RareCollapse.fit(df.filter(~F.col("is_test")), "city")
+    pre = rc.transform(df)
+    cats = FE.fit_categories(pre.filter(~F.col("is_test")), "city")
+    cols = FE.one_hot_columns("city", cats, prefix="cat__city_")
+    wide = pre.select("source_row", *cols)
+    names = [f"cat__city_{v}" for v in cats[1:]]
+    return wide.select("source_row", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("value")) for n in names])))
+
+
+@register("design_matrix")
+def design_matrix_q(spark, sf_dir):
+    """FEAT-7: full column transformer output (num__ block + cat__ dummies) for all rows."""
+    _, ct, design = TR.build_design(prep.cleaned(spark, sf_dir))
+    return design
+
+
+@register("scoring_features", Q.with_ctes(body="""
+SELECT source_row AS request_id,
+  COALESCE(CAST(qty * 25 AS DOUBLE), 0.0) AS square_footage, COALESCE(CAST(n AS DOUBLE), 0.0) AS bed,
+  COALESCE(CAST(n AS DOUBLE) / 2, 0.0) AS baths,
+  CAST(NULL AS DOUBLE) AS dom, CAST(NULL AS DOUBLE) AS lot_area_value,
+  CAST(NULL AS DOUBLE) AS year_built, CAST(NULL AS DOUBLE) AS school_score,
+  COALESCE(purchase_price_ma, 0.0) + COALESCE(rehab_budget_ma, 0.0) AS total_cost,
+  CASE WHEN COALESCE(purchase_price_ma, 0.0) + COALESCE(rehab_budget_ma, 0.0) > 0
+       THEN COALESCE(rehab_budget_ma, 0.0) / (COALESCE(purchase_price_ma, 0.0) + COALESCE(rehab_budget_ma, 0.0))
+       ELSE 0.0 END AS rehab_ratio,
+  CASE WHEN contains(lower(concat_ws(', ', CAST(source_row AS VARCHAR), city)), 'charlotte') THEN 'Charlotte'
+       WHEN contains(lower(concat_ws(', ', CAST(source_row AS VARCHAR), city)), 'indianapolis') THEN 'Indianapolis'
+       ELSE 'Other' END AS city
+FROM comps JOIN li ON li.k = comps.source_row"""))
+def scoring_features_q(spark, sf_dir):
+    """FEAT-9: feature row per scoring request (unknown -> NULL, city from address)."""
+    req = standins.scoring_requests(spark, sf_dir)
+    f = FE.scoring_features(req, unknown="impute", city="from_address")
+    return f.select("request_id", *C.NUMERIC_FEATURES, "city")
+
+
+# ====================================================================== GRAM / statistics with SQL
+_NUM_DESIGN = [f"num__{c}" for c in C.NUMERIC_FEATURES]
+
+
+def _gram_pairs_sql() -> str:
+    parts = []
+    for i, a in enumerate(_NUM_DESIGN):
+        for b in _NUM_DESIGN[i:]:
+            parts.append(f"SELECT '{a}' AS i, '{b}' AS j, round(sum({a} * {b}), 6) AS value "
+                         f"FROM std WHERE NOT is_test")
+    return "\nUNION ALL ".join(parts)
+
+
+@register("gram_long", Q.with_ctes(*_FEAT_ALL, body=_gram_pairs_sql()))
+def gram_long_q(spark, sf_dir):
+    """GRAM: XᵀX of the standardised numeric design block on train rows (long form)."""
+    df = _split_features(spark, sf_dir)
+    ct = FE.fit_column_transformer(df.filter(~F.col("is_test")), categorical=())
+    design = ct.transform(df.filter(~F.col("is_test")))
+    return L.gram_long(design, _NUM_DESIGN).select("i", "j", F.round("value", 6).alias("value"))
+
+
+@register("vif_pair", Q.with_ctes(Q.LOADED_CTE, Q.LATEST_CTE, Q.CLEAN_CTE, Q.FEATURES_CTE, body="""
+SELECT f AS feature, round(1 / (1 - r * r), 6) AS vif
+FROM (SELECT corr(square_footage, bed) AS r FROM feat), (VALUES ('square_footage'), ('bed')) t(f)"""))
+def vif_pair_q(spark, sf_dir):
+    """STAT-4 on two features: VIF from the Gram inverse equals 1/(1 - corr²)."""
+    df = prep.features(spark, sf_dir).filter(
+        F.col("square_footage").isNotNull() & F.col("bed").isNotNull())
+    cols = ["square_footage", "bed"]
+    g = L.gram(df.withColumn("__y", F.lit(0.0)), cols, "__y")
+    res = L.ols(df.withColumn("__y", F.lit(0.0)), cols, "__y", cov_type="nonrobust", g=g)
+    v = L.vif(res, g)
+    return spark.createDataFrame([(c, round(v[c], 6)) for c in cols], "feature string, vif double")
+
+
+_RESID_CTE = """
+resid AS (SELECT source_row,
+            ln(projected_value_ma) - ln(COALESCE(purchase_price_ma, 0.0) + COALESCE(rehab_budget_ma, 0.0)) AS e
+          FROM recent WHERE COALESCE(purchase_price_ma, 0.0) + COALESCE(rehab_budget_ma, 0.0) > 0)"""
+
+
+def _resid_frame(spark, sf_dir) -> DataFrame:
+    df = prep.cleaned(spark, sf_dir)
+    cost = fin.total_cost(C.PURCHASE_COL, C.REHAB_COL, nulls="zero")
+    return df.filter(cost > 0).select(
+        "source_row", (F.log(F.col(C.TARGET_COL)) - F.log(cost)).alias("e"))
+
+
+@register("residual_moments", Q.with_ctes(Q.LOADED_CTE, Q.LATEST_CTE, Q.CLEAN_CTE, _RESID_CTE, body="""
+SELECT CAST(count(*) AS BIGINT) AS n, round(avg(e), 6) AS mean,
+       round(avg(power(e - m, 3)) / power(avg(power(e - m, 2)), 1.5), 6) AS skew,
+       round(avg(power(e - m, 4)) / power(avg(power(e - m, 2)), 2), 6) AS kurtosis
+FROM resid, (SELECT avg(e) AS m FROM resid)"""))
+def residual_moments_q(spark, sf_dir):
+    """STAT-2 moments of the log value-to-cost residual: n, mean, skew, kurtosis."""
+    m = L.residual_moments(_resid_frame(spark, sf_dir), F.col("e"))
+    return spark.createDataFrame(
+        [(int(m["n"]), round(m["mean"], 6), round(m["skew"], 6), round(m["kurtosis"], 6))],
+        "n bigint, mean double, skew double, kurtosis double")
+
+
+@register("durbin_watson", Q.with_ctes(Q.LOADED_CTE, Q.LATEST_CTE, Q.CLEAN_CTE, _RESID_CTE, body="""
+SELECT round(sum(d * d) / (SELECT sum(e * e) FROM resid), 6) AS durbin_watson
+FROM (SELECT e - lag(e) OVER (ORDER BY source_row) AS d FROM resid)"""))
+def durbin_watson_q(spark, sf_dir):
+    """WIN-2: Durbin–Watson of the residual series in source order (range-partitioned lag)."""
+    dw = O.durbin_watson(_resid_frame(spark, sf_dir), F.col("e"), ["source_row"])
+    return spark.createDataFrame([(round(dw["durbin_watson"], 6),)], "durbin_watson double")
+
+
+# ====================================================================== models (rows-only checks)
+def _tidy(spark, pairs, key="statistic") -> DataFrame:
+    return spark.createDataFrame([(k, None if v is None else float(v)) for k, v in pairs],
+                                 f"{key} string, value double")
+
+
+@register("ridge_fit")
+def ridge_fit_q(spark, sf_dir):
+    """MOD-1: ridge coefficients (alpha by exact LOO) plus the LOO error per alpha."""
+    t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
+    rows = [("intercept", t.ridge.intercept)] + list(zip(t.ridge.cols, map(float, t.ridge.coef)))
+    rows += [("alpha", t.ridge.alpha)] + [(f"loo_mse_{a}", v) for a, v in t.ridge.loo_mse.items()]
+    return _tidy(spark, rows, "term")
+
+
+@register("ols_hc3")
+def ols_hc3_q(spark, sf_dir):
+    """STAT-1: OLS coefficients with HC3 std errors, z, p and 95 % CI."""
+    t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
+    return t.ols.coef_table(spark)
+
+
+@register("fit_summary")
+def fit_summary_q(spark, sf_dir):
+    """STAT-2: R², adj R², robust F, LL, AIC, BIC, DW, omnibus, JB, skew, kurtosis, cond."""
+    t = TR.train_linear(prep.cleaned(spark, sf_dir))
+    return _tidy(spark, list(t.extras["summary"].items()))
+
+
+@register("vif")
+def vif_q(spark, sf_dir):
+    """STAT-4: VIF of every design column incl. the constant."""
+    t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
+    return _tidy(spark, list(L.vif(t.ols, t.gram).items()), "feature")
+
+
+@register("breusch_pagan")
+def breusch_pagan_q(spark, sf_dir):
+    """STAT-5: studentised Breusch–Pagan LM and F with p-values."""
+    t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
+    return _tidy(spark, list(L.breusch_pagan(t.train(), t.ols, "label", t.gram).items()))
+
+
+@register("anderson_darling")
+def anderson_darling_q(spark, sf_dir):
+    """STAT-6 / WIN-3: Anderson–Darling normality of the OLS residuals (global rank)."""
+    t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
+    ad = O.anderson_darling(t.train(), t.ols.resid_expr("label"))
+    return _tidy(spark, list(ad.items()))
+
+
+@register("significant_features")
+def significant_features_q(spark, sf_dir):
+    """STAT-3: features with HC3 p <= 0.05 and their p-values."""
+    t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
+    keep = set(L.significant_features(t.ols))
+    return spark.createDataFrame(
+        [(n, float(p)) for n, p in zip(t.ols.names, t.ols.pvalues) if n in keep],
+        "feature string, p_value double")
+
+
+@register("backward_elimination")
+def backward_elimination_q(spark, sf_dir):
+    """STAT-7 + FEAT-8: backward elimination on the ad-hoc design matrix."""
+    df = smp.split_flags(prep.features(spark, sf_dir)).filter(~F.col("is_test"))
+    cols = C.NUMERIC_FEATURES + C.CATEGORICAL_FEATURES
+    dm = FE.fit_design_matrix(df, cols)
+    x = cut_lineage(dm.transform(df.withColumn(
+        "label", fin.forward_target(C.TARGET_COL, "log1p")), keep=["label"]))
+    res, kept = L.backward_elimination(x, dm.feature_names, "label")
+    rows = [(n, float(b), float(p)) for n, b, p in zip(res.names, res.params, res.pvalues)]
+    rows += [("__r2", res.rsquared, None), ("__adj_r2", res.rsquared_adj, None),
+             ("__n_obs", res.n, None)]
+    return spark.createDataFrame(rows, "feature string, coef double, p_value double")
+
+
+@register("linear_predict")
+def linear_predict_q(spark, sf_dir):
+    """MOD-3 (linear): predictions in log space and dollars for every row."""
+    t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
+    return TR.linear_predictions(t)
+
+
+@register("train_test_metrics")
+def train_test_metrics_q(spark, sf_dir):
+    """MOD-4: train/test R², MAE, RMSE in log space and dollars (ridge)."""
+    t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
+    return TR.split_metrics(TR.linear_predictions(t))
+
+
+@register("forest_fit_predict")
+def forest_fit_predict_q(spark, sf_dir):
+    """MOD-2 + MOD-3: random forest on log(target), predictions for every row."""
+    t = TR.train_forest(prep.cleaned(spark, sf_dir), num_trees=20, max_depth=8)
+    return TR.forest_predictions(t)
+
+
+@register("forest_importances")
+def forest_importances_q(spark, sf_dir):
+    """STAT-8: forest feature importances joined to the design names."""
+    t = TR.train_forest(prep.cleaned(spark, sf_dir), num_trees=20, max_depth=8)
+    return _tidy(spark, list(t.importances.items()), "feature")

@@ -107,3 +107,23 @@ def with_ctes(*parts: str, body: str) -> str:
 
 def r4(x: str) -> str:
     return f"round({x}, 4)"
+
+
+H32 = "('0x' || substr(md5(CAST(source_row AS VARCHAR) || '|42'), 1, 8))::BIGINT"
+
+NUMERIC = ["square_footage", "bed", "baths", "dom", "lot_area_value", "year_built",
+           "school_score", "total_cost", "rehab_ratio"]
+
+# split flag, rare-city collapse fitted on train rows, exact medians on train
+SPLIT_CTE = f"""
+sp AS (SELECT *, {H32} % 10000 < 2000 AS is_test FROM feat),
+kept AS (SELECT city FROM sp WHERE NOT is_test AND city IS NOT NULL GROUP BY city HAVING count(*) >= 25),
+pre AS (SELECT * REPLACE (CASE WHEN city IN (SELECT city FROM kept) THEN city ELSE 'Other' END AS city) FROM sp),
+med AS (SELECT {", ".join(f"median({c}) AS m_{c}" for c in NUMERIC)} FROM pre WHERE NOT is_test),
+imp AS (SELECT source_row, is_test, projected_value_ma, city,
+          {", ".join(f"COALESCE({c}, (SELECT m_{c} FROM med)) AS {c}" for c in NUMERIC)} FROM pre),
+sc AS (SELECT {", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in NUMERIC)}
+       FROM imp WHERE NOT is_test),
+std AS (SELECT source_row, is_test,
+          {", ".join(f"({c} - (SELECT mu_{c} FROM sc)) / (SELECT CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END FROM sc) AS num__{c}" for c in NUMERIC)}
+        FROM imp)"""
