@@ -766,3 +766,245 @@ def forest_importances_q(spark, sf_dir):
     """STAT-8: forest feature importances joined to the design names."""
     t = TR.train_forest(prep.cleaned(spark, sf_dir), num_trees=20, max_depth=8)
     return _tidy(spark, list(t.importances.items()), "feature")
+
+
+# ====================================================================== log analytics (AGG-1/2, SRT, JOIN-2, RPT-1)
+from ..functions.text import iso_text  # noqa: E402,F401
+from ..operators import reports as RP  # noqa: E402
+
+_ISO = ("(strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' "
+        "ELSE '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') END)")
+_EST_LOG = f"est AS (SELECT {_ISO} AS timestamp, user_id FROM events WHERE event_type = 'purchase')"
+_LEAD_LOG = (f"lead AS (SELECT {_ISO} AS timestamp, 'user ' || CAST(user_id AS VARCHAR) AS name, "
+             f"'user' || CAST(user_id AS VARCHAR) || '@example.invalid' AS email "
+             f"FROM events WHERE event_type = 'signup')")
+_DAYS = """
+est_days AS (SELECT substr(timestamp, 1, 10) AS day, CAST(count(*) AS BIGINT) AS estimates FROM est
+             WHERE length(timestamp) > 0 GROUP BY 1),
+lead_days AS (SELECT substr(timestamp, 1, 10) AS day, CAST(count(*) AS BIGINT) AS leads FROM lead
+              WHERE length(timestamp) > 0 GROUP BY 1)"""
+
+
+def _logs(spark, sf_dir):
+    return standins.event_log(spark, sf_dir), standins.lead_log(spark, sf_dir)
+
+
+@register("event_totals", f"""
+WITH {_EST_LOG}, {_LEAD_LOG}
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM est) AS total_estimates,
+       (SELECT CAST(count(*) AS BIGINT) FROM lead) AS total_leads""")
+def event_totals_q(spark, sf_dir):
+    """AGG-1: total estimate submissions and total leads."""
+    ev, ld = _logs(spark, sf_dir)
+    return RP.report_totals(ev, ld)
+
+
+@register("estimates_by_day", f"WITH {_EST_LOG}, {_LEAD_LOG}, {_DAYS} SELECT day, estimates AS n FROM est_days")
+def estimates_by_day_q(spark, sf_dir):
+    """AGG-2: estimate submissions per day key."""
+    ev, _ = _logs(spark, sf_dir)
+    return RP.daily_counts(ev, event=C.ESTIMATE_EVENT)
+
+
+@register("leads_by_day", f"WITH {_EST_LOG}, {_LEAD_LOG}, {_DAYS} SELECT day, leads AS n FROM lead_days")
+def leads_by_day_q(spark, sf_dir):
+    """AGG-2: leads per day key."""
+    _, ld = _logs(spark, sf_dir)
+    return RP.daily_counts(ld)
+
+
+@register("daily_report", f"""
+WITH {_EST_LOG}, {_LEAD_LOG}, {_DAYS},
+top AS (SELECT * FROM est_days ORDER BY day DESC LIMIT 14)
+SELECT t.day, t.estimates, COALESCE(l.leads, 0) AS leads
+FROM top t LEFT JOIN lead_days l ON l.day = t.day""")
+def daily_report_q(spark, sf_dir):
+    """JOIN-2 + SRT-1: latest 14 estimate days with full lead counts."""
+    ev, ld = _logs(spark, sf_dir)
+    return RP.daily_report(ev, ld)
+
+
+@register("daily_report_compat", f"""
+WITH {_EST_LOG}, {_LEAD_LOG}, {_DAYS},
+top AS (SELECT * FROM est_days ORDER BY day DESC LIMIT 14),
+ltop AS (SELECT * FROM lead_days ORDER BY day DESC LIMIT 14)
+SELECT t.day, t.estimates, COALESCE(l.leads, 0) AS leads
+FROM top t LEFT JOIN ltop l ON l.day = t.day""")
+def daily_report_compat_q(spark, sf_dir):
+    """JOIN-2 compat: lead lookup limited to the lead top-14 days, as the page does."""
+    ev, ld = _logs(spark, sf_dir)
+    return RP.daily_report(ev, ld, compat=True)
+
+
+@register("latest_leads", f"""
+WITH {_LEAD_LOG}
+SELECT timestamp, name, email FROM lead
+ORDER BY COALESCE(timestamp, '') DESC, email, name LIMIT 20""")
+def latest_leads_q(spark, sf_dir):
+    """SRT-2: the 20 latest leads by timestamp text."""
+    _, ld = _logs(spark, sf_dir)
+    return RP.latest_leads(ld).select("timestamp", "name", "email")
+
+
+@register("admin_report", f"""
+WITH {_EST_LOG}, {_LEAD_LOG}, {_DAYS},
+top AS (SELECT * FROM est_days ORDER BY day DESC LIMIT 14)
+SELECT 'totals' AS section, 'all' AS item, (SELECT CAST(count(*) AS BIGINT) FROM est) AS estimates,
+       (SELECT CAST(count(*) AS BIGINT) FROM lead) AS leads, CAST(NULL AS VARCHAR) AS detail
+UNION ALL
+SELECT 'daily', t.day, t.estimates, COALESCE(l.leads, 0), NULL FROM top t LEFT JOIN lead_days l ON l.day = t.day
+UNION ALL
+SELECT * FROM (SELECT 'lead', timestamp, NULL, NULL, name || ' | ' || email || ' | ' || name
+               FROM lead ORDER BY COALESCE(timestamp, '') DESC, email, name LIMIT 20)""")
+def admin_report_q(spark, sf_dir):
+    """RPT-1: totals, daily table and latest leads in one tidy frame."""
+    ev, ld = _logs(spark, sf_dir)
+    return RP.admin_report(ev, ld)
+
+
+# ====================================================================== sources / sinks round trips
+from ..sources import artifacts as AR  # noqa: E402
+from ..sources.comps import pick_catalog_table  # noqa: E402
+from ..sources.logs import append_jsonl, read_jsonl  # noqa: E402
+
+
+@register("comps_from_catalog", Q.with_ctes(Q.LOADED_CTE, body="SELECT * FROM loaded"))
+def comps_from_catalog_q(spark, sf_dir):
+    """SRC-2: the test tables and the comps stand-in as session views; the
+    table is chosen by the name-prefix rule, then loaded (SRC-1)."""
+    from ..sources.tables import TABLES, read_table
+    for t in TABLES:
+        read_table(spark, sf_dir, t).createOrReplaceTempView(t)
+    standins.comps(spark, sf_dir).createOrReplaceTempView("comps_export")
+    return load_comps(spark, pick_catalog_table(spark), fmt="table")
+
+
+@register("jsonl_roundtrip", f"""
+SELECT {_ISO} AS timestamp,
+       CASE WHEN event_type = 'purchase' THEN 'estimate_submitted' ELSE event_type END AS event,
+       CASE WHEN event_type = 'purchase' THEN value * 1000 END AS purchase
+FROM events""")
+def jsonl_roundtrip_q(spark, sf_dir):
+    """SNK-1 + SRC-3: event records appended as JSON lines, read back with
+    malformed-line dropping and an explicit schema."""
+    path = scratch_path(spark, "events-jsonl")
+    append_jsonl(standins.event_log(spark, sf_dir), path)
+    back = read_jsonl(spark, path, standins.EVENT_LOG_SCHEMA)
+    return back.select("timestamp", "event", "purchase")
+
+
+@register("model_meta")
+def model_meta_q(spark, sf_dir):
+    """SNK-3 / SRC-4 / SRC-5: train, persist params + meta + diagnostics,
+    read the meta back with the health fallbacks."""
+    t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
+    metrics = {r["is_test"]: r for r in TR.split_metrics(TR.linear_predictions(t)).collect()}
+    meta = {"target": C.TARGET_COL, "model_type": "RidgeLOO", "artifact_subdir": "v1_ridge",
+            "r2_train": metrics[False]["r2_log"], "r2_test": metrics[True]["r2_log"],
+            "significance": {"n_obs": int(t.ols.n), "r2": t.ols.rsquared,
+                             "adj_r2": t.ols.rsquared_adj,
+                             "significant_features": L.significant_features(t.ols),
+                             "pvalues": {n: float(p) for n, p in zip(t.ols.names, t.ols.pvalues)}},
+            "feature_sets": {"numeric": [n for n in t.feature_names if n.startswith("num__")],
+                             "categorical": [n for n in t.feature_names if n.startswith("cat__")]}}
+    diags = [("vif", k, "VIF", v) for k, v in L.vif(t.ols, t.gram).items()]
+    path = scratch_path(spark, "v1_ridge")
+    AR.save_linear(spark, path, t, meta, diags)
+    params = AR.load_params(spark, path)
+    assert abs(params["intercept"] - t.ridge.intercept) < 1e-12
+    return AR.read_meta(spark, path)
+
+
+# ====================================================================== scoring and audit
+from ..operators.scoring import score_requests  # noqa: E402
+
+
+def _scorer(spark, sf_dir):
+    t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
+    return lambda req: score_requests(req, t.collapse, t.transformer, t.ridge)
+
+
+@register("score_batch")
+def score_batch_q(spark, sf_dir):
+    """Lifecycle B on every scoring request: features, prediction, clamp, LTV loan."""
+    return _scorer(spark, sf_dir)(standins.scoring_requests(spark, sf_dir))
+
+
+@register("valuation_audit")
+def valuation_audit_q(spark, sf_dir):
+    """AUD-1: cleaned comps -> audit features -> model prediction -> value/cost
+    ratio -> describe (exact percentiles)."""
+    t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
+    df = prep.engineer(prep.cleaned(spark, sf_dir), ratio_mode="audit", cost_nulls="zero")
+    df = schema.add_missing_columns(df, C.NUMERIC_FEATURES + C.CATEGORICAL_FEATURES)
+    pre = t.collapse.transform(df)
+    pred = pre.select("source_row", "total_cost", C.TARGET_COL, *t.transformer.columns())
+    pred = pred.select("source_row", "total_cost", C.TARGET_COL,
+                       fin.inverse_target(t.ridge.predict_expr(), "log1p").alias("predicted_arv"))
+    ratio = pred.select(fin.value_ratio("predicted_arv", "total_cost").alias("ratio_pred_total"))
+    from ..operators.quantiles import exact_percentiles
+    pct = exact_percentiles(ratio, "ratio_pred_total", C.DESCRIBE_PERCENTILES)
+    mom = ratio.agg(F.count("ratio_pred_total").alias("count"),
+                    F.avg("ratio_pred_total").alias("mean"),
+                    F.stddev_samp("ratio_pred_total").alias("std"),
+                    F.min("ratio_pred_total").alias("min"), F.max("ratio_pred_total").alias("max"))
+    # both sides are single-row aggregates
+    return mom.unionByName(pct, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ["count", "mean", "std", "min", *pct.columns, "max"]])
+
+
+# ====================================================================== streaming (STR-1..4)
+from ..streaming import logs as SL  # noqa: E402
+
+
+@register("stream_daily_counts", """
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type,
+       CAST(count(*) AS BIGINT) AS n
+FROM events GROUP BY 1, 2""")
+def stream_daily_counts_q(spark, sf_dir):
+    """STR-2: events read as a stream, watermarked 1-day window counts per type
+    (complete mode, drained with availableNow)."""
+    from ..sources.tables import read_table
+    schema_ = read_table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema_).parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
+    out = SL.run_available(SL.daily_event_counts(stream), f"daily_{abs(hash(sf_dir)) % 10**8}")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                      "event_type", "n")
+
+
+@register("stream_latest", Q.with_ctes(Q.LOADED_CTE, Q.LATEST_CTE, body="SELECT * FROM latest"))
+def stream_latest_q(spark, sf_dir):
+    """STR-4: comps arrive as four change files; each micro-batch is merged
+    into the stored latest-per-loan table (DED-1)."""
+    src = scratch_path(spark, "comps-changes")
+    prep.loaded(spark, sf_dir).repartition(4).write.mode("overwrite").parquet(src)
+    stream = SL.log_stream(spark, src, spark.read.parquet(src).schema, fmt="parquet",
+                           max_files=1)
+    state = scratch_path(spark, "comps-latest")
+    q = SL.keep_latest_stream(stream, state, scratch_path(spark, "ckpt-latest"),
+                              C.ID_COL, C.DATE_COL, "source_row")
+    q.awaitTermination()
+    return SL.latest_table(spark, state)
+
+
+@register("stream_score")
+def stream_score_q(spark, sf_dir):
+    """STR-3: scoring requests read as a stream and scored by the batch projection."""
+    src = scratch_path(spark, "requests")
+    standins.scoring_requests(spark, sf_dir).write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    scored = SL.score_stream(stream, _scorer(spark, sf_dir))
+    return SL.run_available(scored, f"scored_{abs(hash(sf_dir)) % 10**8}", mode="append")
+
+
+@register("stream_ingest")
+def stream_ingest_q(spark, sf_dir):
+    """STR-1: event records as JSON lines ingested incrementally; malformed lines
+    go to a quarantine table, good ones to parquet."""
+    src = scratch_path(spark, "events-in")
+    append_jsonl(standins.event_log(spark, sf_dir), src)
+    good, bad = scratch_path(spark, "events-good"), scratch_path(spark, "events-bad")
+    q = SL.ingest_with_quarantine(SL.log_stream(spark, src, standins.EVENT_LOG_SCHEMA), good, bad,
+                                  scratch_path(spark, "ckpt-ingest"))
+    q.awaitTermination()
+    return spark.read.schema(standins.EVENT_LOG_SCHEMA).parquet(good)
