@@ -29,24 +29,31 @@ EXPRS_PER_PASS = 400
 
 
 # ---------------------------------------------------------------- expression helpers
+def balanced_sum(terms: list[Column]) -> Column:
+    """Sum as a balanced tree: depth log2(len) keeps Catalyst's recursion shallow."""
+    if not terms:
+        return F.lit(0.0)
+    while len(terms) > 1:
+        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i]
+                 for i in range(0, len(terms), 2)]
+    return terms[0]
+
+
 def linear_expr(cols: Sequence[str], coef: Sequence[float], intercept: float = 0.0) -> Column:
-    e = F.lit(float(intercept))
-    for c, b in zip(cols, coef):
-        if b != 0.0:
-            e = e + F.col(c) * F.lit(float(b))
-    return e
+    terms = [F.col(c) * F.lit(float(b)) for c, b in zip(cols, coef) if b != 0.0]
+    return balanced_sum([F.lit(float(intercept)), *terms])
 
 
 def quad_expr(cols: Sequence[str], m: np.ndarray) -> Column:
     """xᵀ M x for symmetric M as d(d+1)/2 literal terms."""
-    e = F.lit(0.0)
+    terms = []
     for i, a in enumerate(cols):
         if m[i, i] != 0.0:
-            e = e + F.col(a) * F.col(a) * F.lit(float(m[i, i]))
+            terms.append(F.col(a) * F.col(a) * F.lit(float(m[i, i])))
         for j in range(i + 1, len(cols)):
             if m[i, j] != 0.0:
-                e = e + F.col(a) * F.col(cols[j]) * F.lit(float(2.0 * m[i, j]))
-    return e
+                terms.append(F.col(a) * F.col(cols[j]) * F.lit(float(2.0 * m[i, j])))
+    return balanced_sum(terms)
 
 
 def _agg_many(df: DataFrame, exprs: list[Column]) -> list[float]:
@@ -57,6 +64,36 @@ def _agg_many(df: DataFrame, exprs: list[Column]) -> list[float]:
     return out
 
 
+NP_MIN_COLS = 20  # from this many design columns on, moment passes run as NumPy blocks
+
+
+def block_sums(df: DataFrame, cols: Sequence[str], fn, n_out: int) -> np.ndarray:
+    """Σ over Arrow batches of ``fn(X)`` (X: batch × len(cols) float64 matrix,
+    result: ``n_out`` floats).  Each task emits its partial vector in long
+    form (index, value); a ``groupBy(index).sum`` combines them, so only
+    ``n_out`` numbers reach the driver whatever the partition count."""
+    import pandas as pd
+
+    cols = list(cols)
+
+    def part(it):
+        acc = None
+        for pdf in it:
+            if pdf.empty:
+                continue
+            r = fn(pdf[cols].to_numpy(dtype="float64"))
+            acc = r if acc is None else acc + r
+        if acc is not None:
+            yield pd.DataFrame({"i": np.arange(n_out, dtype="int64"), "v": acc})
+
+    rows = (df.select(*cols).mapInPandas(part, "i long, v double").groupBy("i")
+            .agg(F.sum("v").alias("v")).collect())
+    out = np.zeros(n_out)
+    for r in rows:
+        out[r["i"]] = r["v"]
+    return out
+
+
 # ---------------------------------------------------------------- GRAM
 @dataclass
 class Gram:
@@ -104,6 +141,14 @@ def gram(df: DataFrame, xcols: Sequence[str], y: str) -> Gram:
     """One pass (several if d is very large) of sum expressions."""
     xcols = list(xcols)
     d = len(xcols)
+    if d >= NP_MIN_COLS:
+        def fn(m):
+            x, yv = m[:, :d], m[:, d]
+            return np.concatenate([[len(m), yv.sum(), yv @ yv], x.sum(0), x.T @ yv,
+                                   (x.T @ x).ravel()])
+        v = block_sums(df, [*xcols, y], fn, 3 + 2 * d + d * d)
+        return Gram(xcols, v[0], v[3:3 + d], v[1], v[3 + 2 * d:].reshape(d, d),
+                    v[3 + d:3 + 2 * d], v[2])
     exprs = [F.count(F.lit(1)), F.sum(F.col(y)), F.sum(F.col(y) * F.col(y))]
     exprs += [F.sum(F.col(c)) for c in xcols]
     exprs += [F.sum(F.col(c) * F.col(y)) for c in xcols]
@@ -170,6 +215,23 @@ def ridge_loo(df: DataFrame, xcols: Sequence[str], y: str,
                     *[(F.col(c) - F.lit(float(m))).alias(f"__c{i}") for i, (c, m) in
                       enumerate(zip(xcols, mx))])
     ccols = [f"__c{i}" for i in range(d)]
+    if d >= NP_MIN_COLS:
+        invs = [_inv(cxx + a * np.eye(d)) for a in alphas]
+        fits = [inv @ cxy for inv in invs]
+
+        def fn(m):
+            yc, xc = m[:, 0] - my, m[:, 1:]
+            out = []
+            for inv, beta in zip(invs, fits):
+                e = yc - xc @ beta
+                h = 1.0 / g.n + np.einsum("ij,jk,ik->i", xc, inv, xc)
+                out.append(np.sum((e / (1.0 - h)) ** 2))
+            return np.array(out)
+        loo = list(block_sums(cen, ["__y", *ccols], fn, len(alphas)) / g.n)
+        best = int(np.argmin(loo))
+        beta = fits[best]
+        return RidgeModel(xcols, beta, float(my - mx @ beta), float(alphas[best]),
+                          {float(a): v for a, v in zip(alphas, loo)})
     fits, exprs = [], []
     for a in alphas:
         inv = _inv(cxx + a * np.eye(d))
@@ -225,10 +287,9 @@ class OLSResult:
     def leverage_expr(self) -> Column:
         """h = zᵀ(ZᵀZ)⁻¹z with z = [1, x]."""
         a = self.ztz_inv
-        e = F.lit(float(a[0, 0]))
-        for i, c in enumerate(self.names[1:], start=1):
-            e = e + F.col(c) * F.lit(float(2 * a[0, i]))
-        return e + quad_expr(self.names[1:], a[1:, 1:])
+        lin = [F.col(c) * F.lit(float(2 * a[0, i]))
+               for i, c in enumerate(self.names[1:], start=1)]
+        return balanced_sum([F.lit(float(a[0, 0])), *lin, quad_expr(self.names[1:], a[1:, 1:])])
 
     def coef_table(self, spark) -> DataFrame:
         rows = [(n, float(b), float(s), float(z), float(p), float(lo), float(hi))
@@ -255,7 +316,23 @@ def ols(df: DataFrame, xcols: Sequence[str], y: str, cov_type: str = "HC3",
                     np.zeros_like(beta), np.zeros_like(beta), np.zeros_like(ztz), g.n, ssr, sst,
                     inv, cov_type)
     k = len(names)
-    if cov_type == "HC3":
+    if cov_type == "HC3" and len(xcols) >= NP_MIN_COLS:
+        def fn(m):
+            z = np.column_stack([np.ones(len(m)), m[:, 1:]])
+            e = m[:, 0] - z @ beta
+            h = np.einsum("ij,jk,ik->i", z, inv, z)
+            w = (e / (1.0 - h)) ** 2
+            return np.concatenate([((z * w[:, None]).T @ z).ravel(), [e @ e]])
+        v = block_sums(df, [y, *xcols], fn, k * k + 1)
+        res.ssr = float(v[-1])
+        meat = v[:-1].reshape(k, k)
+        cov = inv @ meat @ inv
+        bse = np.sqrt(np.maximum(np.diag(cov), 0.0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stat = beta / bse
+        pv = np.array([D.normal_two_sided(z) if np.isfinite(z) else float("nan") for z in stat])
+        q = D.normal_quantile(0.975)
+    elif cov_type == "HC3":
         e = res.resid_expr(y)
         h = res.leverage_expr()
         wdf = df.select(*xcols, F.pow(e / (F.lit(1.0) - h), 2).alias("__w"),
@@ -330,11 +407,20 @@ def vif(res: OLSResult, g: Gram) -> dict[str, float | None]:
 
 def breusch_pagan(df: DataFrame, res: OLSResult, y: str, g: Gram) -> dict[str, float]:
     """STAT-5: regress e² on Z; LM = n·R² ~ χ²(k-1); F from the auxiliary fit."""
-    e2 = F.pow(res.resid_expr(y), 2)
     xcols = res.names[1:]
-    wdf = df.select(*xcols, e2.alias("__u"))
-    v = _agg_many(wdf, [F.sum("__u"), F.sum(F.col("__u") * F.col("__u"))]
-                  + [F.sum(F.col("__u") * F.col(c)) for c in xcols])
+    if len(xcols) >= NP_MIN_COLS:
+        beta = res.params
+
+        def fn(m):
+            z = np.column_stack([np.ones(len(m)), m[:, 1:]])
+            u = (m[:, 0] - z @ beta) ** 2
+            return np.concatenate([[u.sum(), u @ u], m[:, 1:].T @ u])
+        v = list(block_sums(df, [y, *xcols], fn, 2 + len(xcols)))
+    else:
+        e2 = F.pow(res.resid_expr(y), 2)
+        wdf = df.select(*xcols, e2.alias("__u"))
+        v = _agg_many(wdf, [F.sum("__u"), F.sum(F.col("__u") * F.col("__u"))]
+                      + [F.sum(F.col("__u") * F.col(c)) for c in xcols])
     su, suu, szu = v[0], v[1], np.array(v[2:])
     ztz, _ = g.with_const()
     zu = np.concatenate([[su], szu])

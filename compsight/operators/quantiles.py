@@ -53,32 +53,18 @@ def order_statistics(df: DataFrame, value: str, ranks: DataFrame,
                                                                    & ~F.isnan(F.col("x")))
     if not groups:
         ranks = ranks.withColumn("__g", F.lit(0))
-    data = data.checkpoint(eager=True)  # every level rescans only (group, value)
     bounds = data.groupBy(*g).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     state = (ranks.join(bounds, g).select(*g, "t", "k", "lo", "hi")
              .withColumn("done", F.col("lo") == F.col("hi")))
+    small = state.limit(STATE_BROADCAST_ROWS + 1).collect()
+    if len(small) <= STATE_BROADCAST_ROWS:
+        return _refine_on_driver(data, g, small, groups, state.schema)
     state = state.checkpoint(eager=True)
     for _ in range(MAX_LEVELS):
         todo = state.filter(~F.col("done"))
         if todo.limit(1).count() == 0:
             break
-        cur = broadcast_if_small(todo.select(*g, "t", "k", "lo", "hi"), STATE_BROADCAST_ROWS)
-        width = (F.col("hi") - F.col("lo")) / F.lit(float(BUCKETS))
-        bucket = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo"))
-                                              / F.when(width > 0, width)),
-                                      F.lit(BUCKETS - 1))).otherwise(F.lit(0))
-        hist = (data.join(cur, g)
-                .filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-                .groupBy(*g, "t", "k", bucket.alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"),
-                     F.max("x").alias("mx")))
-        w = (Window.partitionBy(*g, "t").orderBy("b")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        hist = hist.withColumn("cum", F.sum("n").over(w))
-        picked = hist.filter((F.col("cum") >= F.col("k")) & (F.col("cum") - F.col("n") < F.col("k")))
-        nxt = picked.select(*g, "t", (F.col("k") - (F.col("cum") - F.col("n"))).alias("k"),
-                            F.col("mn").alias("lo"), F.col("mx").alias("hi"),
-                            (F.col("mn") == F.col("mx")).alias("done"))
+        nxt = _level(data, g, todo.select(*g, "t", "k", "lo", "hi"))
         state = state.filter(F.col("done")).unionByName(nxt).checkpoint(eager=True)
     else:
         raise RuntimeError("quantile refinement did not converge")
@@ -86,6 +72,49 @@ def order_statistics(df: DataFrame, value: str, ranks: DataFrame,
     return out if groups else out.drop("__g")
 
 
+def _level(data: DataFrame, g: list[str], cur: DataFrame) -> DataFrame:
+    """One refinement level: histogram of the rows inside each target's range."""
+    width = (F.col("hi") - F.col("lo")) / F.lit(float(BUCKETS))
+    bucket = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo"))
+                                          / F.when(width > 0, width)),
+                                  F.lit(BUCKETS - 1))).otherwise(F.lit(0))
+    hist = (data.join(cur, g)
+            .filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+            .groupBy(*g, "t", "k", bucket.alias("b"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")))
+    w = (Window.partitionBy(*g, "t").orderBy("b")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hist = hist.withColumn("cum", F.sum("n").over(w))
+    picked = hist.filter((F.col("cum") >= F.col("k")) & (F.col("cum") - F.col("n") < F.col("k")))
+    return picked.select(*g, "t", (F.col("k") - (F.col("cum") - F.col("n"))).alias("k"),
+                         F.col("mn").alias("lo"), F.col("mx").alias("hi"),
+                         (F.col("mn") == F.col("mx")).alias("done"))
+
+
+def _refine_on_driver(data: DataFrame, g: list[str], rows: list, groups: Sequence[str],
+                      schema) -> DataFrame:
+    """Same levels with the (size-checked, small) target state held on the
+    driver and broadcast each level; one aggregate job per level."""
+    spark = data.sparkSession
+    cur_schema = schema
+    done = [r for r in rows if r["done"]]
+    todo = [r for r in rows if not r["done"]]
+    for _ in range(MAX_LEVELS):
+        if not todo:
+            break
+        cur = F.broadcast(spark.createDataFrame(todo, cur_schema).drop("done"))
+        nxt = _level(data, g, cur).collect()
+        done += [r for r in nxt if r["done"]]
+        todo = [r for r in nxt if not r["done"]]
+    else:
+        raise RuntimeError("quantile refinement did not converge")
+    out = spark.createDataFrame([tuple(r[c] for c in [*g, "t", "lo"]) for r in done],
+                                cur_schema.fromJson({"type": "struct", "fields": [
+                                    cur_schema[c].jsonValue() for c in [*g, "t"]]})
+                                .add("v", "double"))
+    return out if groups else out.drop("__g")
+
+
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
                       groups: Sequence[str] = (), names: Sequence[str] | None = None
                       ) -> DataFrame:
@@ -96,7 +125,9 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
     """
     names = list(names) if names else [f"p{int(round(p * 100))}" for p in probs]
     g = _group_cols(groups)
-    base = df if groups else df.withColumn("__g", F.lit(0))
+    # one materialisation of (group, value) serves the counts and every level
+    base = df.select(*groups, F.col(value).cast("double").alias(value)).checkpoint(eager=True)
+    base = base if groups else base.withColumn("__g", F.lit(0))
     x = F.col(value).cast("double")
     counts = (base.filter(x.isNotNull() & ~F.isnan(x)).groupBy(*g)
               .agg(F.count(F.lit(1)).alias("n")))

@@ -218,12 +218,20 @@ FROM feat GROUP BY city"""))
 def city_summary(spark, sf_dir):
     """Minimum slice: cleaned recent comps -> FEAT-2 -> per-city count, median
     purchase price, mean rehab ratio and total value."""
-    df = prep.features(spark, sf_dir)
-    return df.groupBy("city").agg(
+    from ..operators.quantiles import exact_median
+    df = cut_lineage(prep.features(spark, sf_dir).select(
+        "city", C.PURCHASE_COL, "rehab_ratio", C.TARGET_COL))
+    per_city = df.groupBy("city").agg(
         F.count(F.lit(1)).alias("n_comps"),
-        r4(F.median(C.PURCHASE_COL)).alias("median_purchase"),
         r4(F.avg("rehab_ratio")).alias("avg_rehab_ratio"),
         F.sum(F.col(C.TARGET_COL).cast("decimal(18,2)")).cast("decimal(18,2)").alias("total_value"))
+    # exact median by histogram refinement: a hot city never sits in one buffer
+    med = exact_median(df.filter(F.col("city").isNotNull()), C.PURCHASE_COL, ["city"], "m")
+    med_null = exact_median(df.filter(F.col("city").isNull()), C.PURCHASE_COL, [], "m")
+    med = med.unionByName(med_null.select(F.lit(None).cast("string").alias("city"), "m"))
+    return per_city.join(med, per_city["city"].eqNullSafe(med["city"]), "left").select(
+        per_city["city"], "n_comps", r4(F.col("m")).alias("median_purchase"),
+        "avg_rehab_ratio", "total_value")
 
 
 # ====================================================================== finance (FIN-1..9)
@@ -674,7 +682,7 @@ def _tidy(spark, pairs, key="statistic") -> DataFrame:
 def ridge_fit_q(spark, sf_dir):
     """MOD-1: ridge coefficients (alpha by exact LOO) plus the LOO error per alpha."""
     t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
-    rows = [("intercept", t.ridge.intercept)] + list(zip(t.ridge.cols, map(float, t.ridge.coef)))
+    rows = [("intercept", float(t.ridge.intercept))] + list(zip(t.ridge.cols, map(float, t.ridge.coef)))
     rows += [("alpha", t.ridge.alpha)] + [(f"loo_mse_{a}", v) for a, v in t.ridge.loo_mse.items()]
     return _tidy(spark, rows, "term")
 
@@ -735,8 +743,8 @@ def backward_elimination_q(spark, sf_dir):
         "label", fin.forward_target(C.TARGET_COL, "log1p")), keep=["label"]))
     res, kept = L.backward_elimination(x, dm.feature_names, "label")
     rows = [(n, float(b), float(p)) for n, b, p in zip(res.names, res.params, res.pvalues)]
-    rows += [("__r2", res.rsquared, None), ("__adj_r2", res.rsquared_adj, None),
-             ("__n_obs", res.n, None)]
+    rows += [("__r2", float(res.rsquared), None), ("__adj_r2", float(res.rsquared_adj), None),
+             ("__n_obs", float(res.n), None)]
     return spark.createDataFrame(rows, "feature string, coef double, p_value double")
 
 

@@ -46,7 +46,7 @@ def build_design(df: DataFrame, transform: str = "log1p", fit_on: str = "train"
                  ) -> tuple[FE.RareCollapse, FE.ColumnTransformerModel, DataFrame]:
     """Split, collapse rare cities, engineer, fit the transformer on train and
     materialise the design matrix (label in transformed space)."""
-    df = split_flags(df)
+    df = cut_lineage(split_flags(df))  # several fitting passes read it
     fit_rows = df if fit_on == "all" else df.filter(~F.col("is_test"))
     collapse = FE.RareCollapse.fit(fit_rows, "city")
     pre = FE.preprocess(df, collapse)
@@ -116,7 +116,7 @@ def train_forest(df: DataFrame, num_trees: int = 50, max_depth: int = 10, max_bi
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    df = split_flags(df)
+    df = cut_lineage(split_flags(df))
     df = df.withColumns({
         "total_cost": F.coalesce(F.col(C.PURCHASE_COL), F.lit(0.0))
         + F.coalesce(F.col(C.REHAB_COL), F.lit(0.0))})
