@@ -506,7 +506,9 @@ _FEAT_ALL = [Q.LOADED_CTE, Q.LATEST_CTE, Q.CLEAN_CTE, Q.FEATURES_CTE, Q.SPLIT_CT
 
 
 def _split_features(spark, sf_dir) -> DataFrame:
-    return smp.split_flags(prep.features(spark, sf_dir))
+    """Cleaned, engineered, split comps, materialised once: the fit passes
+    and the final transform all read it."""
+    return cut_lineage(smp.split_flags(prep.features(spark, sf_dir)))
 
 
 @register("collapse_rare", Q.with_ctes(*_FEAT_ALL, body="SELECT source_row, city FROM pre"))
@@ -736,7 +738,7 @@ def significant_features_q(spark, sf_dir):
 @register("backward_elimination")
 def backward_elimination_q(spark, sf_dir):
     """STAT-7 + FEAT-8: backward elimination on the ad-hoc design matrix."""
-    df = smp.split_flags(prep.features(spark, sf_dir)).filter(~F.col("is_test"))
+    df = _split_features(spark, sf_dir).filter(~F.col("is_test"))
     cols = C.NUMERIC_FEATURES + C.CATEGORICAL_FEATURES
     dm = FE.fit_design_matrix(df, cols)
     x = cut_lineage(dm.transform(df.withColumn(
