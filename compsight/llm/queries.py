@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compsight.llm import bpe, packing, pii, quality_rules, sharding
+from compsight.llm import (ann, bpe, language_id, ngram_join, packing, pii, quality_classifier, quality_rules, sharding,
+                           toxicity)
+from compsight.llm.sampling import held_out
 from compsight.session import scratch_path
 
 
@@ -61,12 +63,57 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_failed", "kept", "host_rate"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 4-word shingle sets at 85 % Jaccard."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.link_components(docs, k=4, pct=85).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from text, declared language and host, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return language_id.identify_documents(spark, docs).select(
+        "doc_id", F.col("lid").alias("language"), F.col("lid_posterior").alias("posterior"),
+        F.col("lid_text").alias("text_language"), F.col("lid_kept").alias("kept"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "statistics")
+    quality_classifier.text_statistics(docs).drop("text").write.parquet(path)  # learnt from and scored
+    stats = spark.read.parquet(path)
+    model = quality_classifier.fit(stats, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(stats, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality").alias("score"),
+        (F.col("quality") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every embedding whose id is divisible by 20."""
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 20, 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
+    "op3_ngram_join": op3_ngram_join,
+    "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
+    "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLE: dict[str, str] = {}
