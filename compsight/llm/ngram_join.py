@@ -4,7 +4,9 @@ Two documents link when 100 * |A & B| >= pct * |A | B| for their sets of word
 shingles.  All sets are put in one order, rare shingles first.  Linked documents
 then share at least l shingles in prefixes of |A| - ceil(pct |A| / 100) + l; each
 document chooses the l whose longer prefix is paid for by fewer candidates, and a
-pair is verified only if it shares min(l, l') shingles of the shorter prefixes.
+pair is verified only if it shares enough shingles of the prefixes at l = min(l, l'):
+with c of them shared, |A & B| <= c - l + max(ceil(pct |A| / 100), ceil(pct |B| / 100)),
+as all that follow the prefix that ends first lie in its own set's rest.
 
 Documents with equal sets are one class.  In lists of many documents a few pivots
 are verified against all first; what they put into one component needs no
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from compsight.llm.components import components
+from compsight.llm.components import components, partial_labels
 from compsight.llm.rows import bytes_of, summed_vector, text_col, vector_rows
 from compsight.session import scratch_path
 
@@ -39,10 +41,10 @@ MAX_MATCHES = 4
 VERIFY_COST = 16.0
 #: Lists longer than this are first compared with PIVOTS of their documents.
 LONG_LIST = 24
-PIVOTS = 4
-#: Pivot rounds go on while the pairs left exceed this many for each posting.
+PIVOTS = 2
+#: Pivot rounds go on while the pairs left exceed this many for each posting and a round halves them.
 PAIRS_PER_POSTING = 4
-MAX_ROUNDS = 6
+MAX_ROUNDS = 4
 
 
 def shingles(raw: bytes, k: int) -> np.ndarray:
@@ -160,7 +162,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _postings(prefixes: DataFrame, reps: DataFrame) -> DataFrame:
-    """(token, rid, s, need, ell): prefix shingles of class representatives that others have too."""
+    """(token, rid, s, need, ell, shared): prefix shingles of class representatives that others have too."""
     rows = (prefixes.join(reps.select("rid"), "rid", "left_semi")
             .select("rid", "s", "ell", "base", "light", F.posexplode("tokens").alias("i", "token"))
             .select("token", "rid", "s", F.greatest(F.lit(1), F.col("i") - F.col("base") + 2).alias("need"), "ell",
@@ -171,7 +173,9 @@ def _postings(prefixes: DataFrame, reps: DataFrame) -> DataFrame:
     # The sketch bounds how many documents share a light shingle; heavy ones stay where they are.
     light = (rows.where("is_light").drop("is_light").repartition("token").sortWithinPartitions("token")
              .mapInArrow(_repeated, rows.drop("is_light").schema))
-    return light.union(rows.where("not is_light").drop("is_light")).dropDuplicates(["token", "rid"])
+    shared = light.union(rows.where("not is_light").drop("is_light")).dropDuplicates(["token", "rid"])
+    # How many shingles of its prefix a document can share at all: a window over one prefix.
+    return shared.withColumn("shared", F.count("*").over(Window.partitionBy("rid")).cast("int"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
@@ -206,10 +210,17 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _least_shared(pct: int) -> str:
+    """Shingles that two linked sets share at least in their prefixes at the smaller l."""
+    both = f"({pct} * (x.s + y.s) + {99 + pct}) div {100 + pct}"
+    return f"(least(x.ell, y.ell) + {both} - ({pct} * greatest(x.s, y.s) + 99) div 100)"
+
+
 def _fit(pct: int) -> str:
-    """Sizes of two sets that can link, and shingles that lie in both prefixes at the smaller l."""
+    """Sets that can link by their sizes and shared shingles, and shingles in both prefixes at the smaller l."""
     return (f"100 * least(x.s, y.s) >= {pct} * greatest(x.s, y.s) and x.component != y.component "
-            "and greatest(x.need, y.need) <= least(x.ell, y.ell)")
+            "and greatest(x.need, y.need) <= least(x.ell, y.ell) "
+            f"and least(x.shared, y.shared) >= {_least_shared(pct)}")
 
 
 def _pairs_left(postings: DataFrame) -> DataFrame:
@@ -244,30 +255,32 @@ def link_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "d
     texts = slim.join(involved, "doc_id", "left_semi").withColumn("h", F.xxhash64("text"))
     texts = _stored(texts.dropDuplicates(["doc_id", "h"]), "texts")  # rows that repeat an id and its text
 
-    links, found = None, None
+    links, found, before = None, None, 0
     for round_ in range(MAX_ROUNDS + 1):
         now = postings.withColumn("component", F.col("rid")) if found is None else \
             postings.join(found.withColumnRenamed("id", "rid"), "rid", "left").withColumn(
                 "component", F.coalesce("component", "rid"))
         now = _stored(now, "round")
         tokens = _stored(_pairs_left(now), "tokens")
-        left, rows_left = tokens.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).collect()[0]
-        long_pairs = tokens.where(F.col("m") > LONG_LIST).agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).collect()[0][0]
-        if round_ == MAX_ROUNDS or long_pairs <= PAIRS_PER_POSTING * rows_left or \
-                round_ and left > 0.9 * before:
+        rows_left, long_pairs = tokens.agg(
+            F.coalesce(F.sum("m"), F.lit(0)),
+            F.coalesce(F.sum(F.when(F.col("m") > LONG_LIST, F.col("pairs"))), F.lit(0.0))).collect()[0]
+        if round_ == MAX_ROUNDS or long_pairs <= PAIRS_PER_POSTING * rows_left or round_ and long_pairs > before / 2:
             break
-        before = left
+        before = long_pairs
         long = now.join(tokens.where(F.col("m") > LONG_LIST).select("token"), "token")
         picks = long.groupBy("token").agg(*[
-            F.min_by(F.struct("rid", "s", "need", "ell", "component"),
-                     F.xxhash64("rid", F.lit(round_ * PIVOTS + p))).alias(f"p{p}") for p in range(PIVOTS)])
+            F.min_by(F.struct("rid", "s", "need", "ell", "shared", "component"),
+                     # The first shares most with others, the second is any.
+                     F.struct((F.lit(0) if p else -F.col("shared")).alias("c"),
+                              F.xxhash64("rid", F.lit(round_ * PIVOTS + p)))).alias(f"p{p}") for p in range(PIVOTS)])
         pivots = picks.select("token", F.explode(F.array(*[f"p{p}" for p in range(PIVOTS)])).alias("p")).select(
             "token", "p.*").distinct()
         pairs = (long.alias("x").join(pivots.alias("y"), "token").where(_fit(pct))
                  .select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct())
         new = _stored(_verified(pairs, texts, k, pct), "pivot-links")
         links = new if links is None else links.union(new)
-        found = components(links)
+        found = partial_labels(links)
 
     # Every pair that is left between two components, by documents outside a token's largest one.
     main = now.join(tokens.select("token", "main"), "token")
@@ -275,9 +288,9 @@ def link_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "d
     meet = (rest.alias("x").join(main.alias("y"), "token")
             .where(_fit(pct) + " and (y.component = y.main or x.rid < y.rid)")
             .select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"),
-                    F.least("x.ell", "y.ell").alias("ell")))
-    pairs = meet.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("ell").alias("ell")).where("n >= ell")
-    new = _stored(_verified(pairs, texts, k, pct), "links")
+                    F.expr(_least_shared(pct)).alias("least")))
+    pairs = meet.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least")
+    new = _stored(_verified(pairs, texts, k, pct), "pair-links")
     found = components(new if links is None else links.union(new))
 
     classes = (reps.join(found.withColumnRenamed("id", "rid"), "rid", "left")
