@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from compsight.llm.rows import add_columns, bytes_of, text_col
+from compsight.session import scratch_path
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -112,6 +113,10 @@ def apply_host_rules(rules: DataFrame, host: str = "source", max_rate: float = 0
     split where one host holds many documents, or broadcast where it is small.
     """
     rates = host_rates(rules, host).select(F.col("host").alias("__host"), F.col("shrunk").alias("host_rate"))
+    # Written, so that Spark knows its size: a small host table is broadcast, a large one is not.
+    path = scratch_path(rules.sparkSession, "host-rates")
+    rates.write.parquet(path)
+    rates = rules.sparkSession.read.parquet(path)
     plain = rules.drop("host_rate", "kept")
     out = plain.join(rates, F.col(f"`{host}`") == F.col("__host"), "left").drop("__host")
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) < max_rate))
