@@ -56,7 +56,7 @@ OTHER_FIXED_FEES = 594.0
 ESTIMATE_EVENT = "estimate_submitted"
 REPORT_TOP_DAYS = 14
 REPORT_LATEST_LEADS = 20
-LEAD_SOURCE = "lmc_estimator"
+LEAD_SOURCE = "estimate_form"
 
 # ---- fixed values: audit ----------------------------------------------------
 AUDIT_SAMPLE_ROWS = 10

@@ -24,6 +24,27 @@ def normal_cdf(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2.0))
 
 
+def log_normal_cdf(z):
+    """ln Φ of a NumPy array: a power series near 0, a continued fraction in the tails."""
+    import numpy as np
+    z = np.asarray(z, dtype="float64")
+    a = np.abs(z)
+    near = a < 3.0
+    x = np.where(near, z, 0.0)
+    term, total = x, x.copy()
+    for k in range(1, 60):
+        term = term * x * x / (2 * k + 1)
+        total = total + term
+    log_phi = -0.5 * z * z - 0.5 * math.log(2 * math.pi)
+    middle = 0.5 + np.exp(np.where(near, log_phi, 0.0)) * np.where(near, total, 0.0)
+    y = np.where(near, 3.0, a)
+    tail = y
+    for k in range(60, 0, -1):
+        tail = y + k / tail
+    low = np.where(near, 0.0, log_phi) - np.log(tail)  # ln of the tail's probability
+    return np.where(near, np.log(middle), np.where(z < 0, low, np.log1p(-np.exp(low))))
+
+
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 

@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 from ..config import CITY_DEFAULT, CITY_RULES
 from .numeric import strip_space
 
-_NON_ALNUM = re.compile(r"[^0-9a-zA-Z]+")
-_UNDERSCORES = re.compile(r"_+")
+_RUN = re.compile(r"[a-z0-9]+")
 
 
 def normalize_name(name: object) -> str:
-    """Column-name normalisation: strip, lower, non-alphanumeric runs -> '_'."""
-    s = _NON_ALNUM.sub("_", str(name).strip().lower())
-    return _UNDERSCORES.sub("_", s).strip("_")
+    """Column-name normalisation: the lower-cased alphanumeric runs, joined by ``_``."""
+    return "_".join(_RUN.findall(str(name).lower()))
 
 
 def normalize_names(names: Sequence[object]) -> list[str]:

@@ -218,13 +218,14 @@ def ridge_loo(df: DataFrame, xcols: Sequence[str], y: str,
     if d >= NP_MIN_COLS:
         invs = [_inv(cxx + a * np.eye(d)) for a in alphas]
         fits = [inv @ cxy for inv in invs]
+        n = float(g.n)  # a number in the tasks, not the Gram
 
         def fn(m):
             yc, xc = m[:, 0] - my, m[:, 1:]
             out = []
             for inv, beta in zip(invs, fits):
                 e = yc - xc @ beta
-                h = 1.0 / g.n + np.einsum("ij,jk,ik->i", xc, inv, xc)
+                h = 1.0 / n + ((xc @ inv) * xc).sum(1)
                 out.append(np.sum((e / (1.0 - h)) ** 2))
             return np.array(out)
         loo = list(block_sums(cen, ["__y", *ccols], fn, len(alphas)) / g.n)
@@ -263,15 +264,16 @@ class OLSResult:
     sst: float
     ztz_inv: np.ndarray
     cov_type: str
+    rank: int                   # of the design with its constant
     summary: dict = field(default_factory=dict)
 
     @property
     def df_model(self) -> int:
-        return len(self.names) - 1
+        return self.rank - 1
 
     @property
     def df_resid(self) -> float:
-        return self.n - len(self.names)
+        return self.n - self.rank
 
     @property
     def rsquared(self) -> float:
@@ -314,13 +316,13 @@ def ols(df: DataFrame, xcols: Sequence[str], y: str, cov_type: str = "HC3",
     names = ["const", *xcols]
     res = OLSResult(names, beta, np.zeros_like(beta), np.zeros_like(beta), np.zeros_like(beta),
                     np.zeros_like(beta), np.zeros_like(beta), np.zeros_like(ztz), g.n, ssr, sst,
-                    inv, cov_type)
+                    inv, cov_type, design_rank(ztz))
     k = len(names)
     if cov_type == "HC3" and len(xcols) >= NP_MIN_COLS:
         def fn(m):
             z = np.column_stack([np.ones(len(m)), m[:, 1:]])
             e = m[:, 0] - z @ beta
-            h = np.einsum("ij,jk,ik->i", z, inv, z)
+            h = ((z @ inv) * z).sum(1)
             w = (e / (1.0 - h)) ** 2
             return np.concatenate([((z * w[:, None]).T @ z).ravel(), [e @ e]])
         v = block_sums(df, [y, *xcols], fn, k * k + 1)
@@ -357,29 +359,38 @@ def ols(df: DataFrame, xcols: Sequence[str], y: str, cov_type: str = "HC3",
     else:
         ssr = max(ssr, 0.0)
         res.ssr = ssr
-        sigma2 = ssr / (g.n - k)
+        sigma2 = ssr / res.df_resid
         cov = sigma2 * inv
         bse = np.sqrt(np.maximum(np.diag(cov), 0.0))
         with np.errstate(divide="ignore", invalid="ignore"):
             stat = beta / bse
-        pv = np.array([D.t_two_sided(t, g.n - k) if np.isfinite(t) else float("nan")
+        pv = np.array([D.t_two_sided(t, res.df_resid) if np.isfinite(t) else float("nan")
                        for t in stat])
-        q = D.t_quantile(0.975, g.n - k)
+        q = D.t_quantile(0.975, res.df_resid)
     res.cov, res.bse, res.stat, res.pvalues = cov, bse, stat, pv
     res.ci_low, res.ci_high = beta - q * bse, beta + q * bse
     return res
 
 
+def design_rank(ztz: np.ndarray) -> int:
+    """Rank of a design from its Gram matrix, columns scaled to equal length."""
+    d = np.sqrt(np.maximum(np.diag(ztz), 0.0))
+    scale = np.where(d > 0, d, 1.0)
+    ev = np.linalg.eigvalsh(ztz / np.outer(scale, scale))
+    return int(np.sum(ev > 1e-10 * max(ev[-1], 1e-300))) if len(ev) else 0
+
+
 def significant_features(res: OLSResult, threshold: float = C.P_VALUE_THRESHOLD) -> list[str]:
     """STAT-3: p <= threshold, constant excluded."""
     return [n for n, p in zip(res.names, res.pvalues) if n != "const" and p <= threshold]
 
 
 def wald_f(res: OLSResult) -> tuple[float, float]:
-    """Joint test of all slopes with the fitted covariance (robust F as reported)."""
+    """Joint test of all slopes with the fitted covariance (robust F as reported);
+    as many constraints as the design has independent slopes."""
     b = res.params[1:]
     v = res.cov[1:, 1:]
-    q = len(b)
+    q = res.df_model
     f = float(b @ np.linalg.pinv(v, hermitian=True) @ b) / q
     return f, D.f_sf(f, q, res.df_resid)
 
@@ -406,7 +417,8 @@ def vif(res: OLSResult, g: Gram) -> dict[str, float | None]:
 
 
 def breusch_pagan(df: DataFrame, res: OLSResult, y: str, g: Gram) -> dict[str, float]:
-    """STAT-5: regress e² on Z; LM = n·R² ~ χ²(k-1); F from the auxiliary fit."""
+    """STAT-5: regress e² on Z; LM = n·R² ~ χ²(k-1) with k columns; F from the
+    auxiliary fit with the design's rank in its degrees of freedom."""
     xcols = res.names[1:]
     if len(xcols) >= NP_MIN_COLS:
         beta = res.params
@@ -422,17 +434,16 @@ def breusch_pagan(df: DataFrame, res: OLSResult, y: str, g: Gram) -> dict[str, f
         v = _agg_many(wdf, [F.sum("__u"), F.sum(F.col("__u") * F.col("__u"))]
                       + [F.sum(F.col("__u") * F.col(c)) for c in xcols])
     su, suu, szu = v[0], v[1], np.array(v[2:])
-    ztz, _ = g.with_const()
     zu = np.concatenate([[su], szu])
-    b = _solve(ztz, zu)
+    b = res.ztz_inv @ zu  # the fit's pseudo-inverse: the design may be rank-deficient
     ssr = suu - b @ zu
     sst = suu - su * su / g.n
-    r2 = 1.0 - ssr / sst
+    r2 = min(1.0, max(0.0, 1.0 - ssr / sst)) if sst > 0 else 0.0
     k = len(res.names)
     lm = g.n * r2
-    fval = (r2 / (k - 1)) / ((1.0 - r2) / (g.n - k))
+    fval = (r2 / res.df_model) / ((1.0 - r2) / res.df_resid) if r2 < 1.0 else float("inf")
     return {"lm": float(lm), "lm_pvalue": D.chi2_sf(lm, k - 1), "fvalue": float(fval),
-            "f_pvalue": D.f_sf(fval, k - 1, g.n - k)}
+            "f_pvalue": D.f_sf(fval, res.df_model, res.df_resid) if r2 < 1.0 else 0.0}
 
 
 def residual_moments(df: DataFrame, resid: Column) -> dict[str, float]:
@@ -470,7 +481,7 @@ def omnibus(skew: float, kurt: float, n: float) -> tuple[float, float]:
 
 def fit_summary(res: OLSResult, moments: dict[str, float], dw: float, g: Gram) -> dict:
     """STAT-2: the numbers of a regression summary table."""
-    n, k = res.n, len(res.names)
+    n, k = res.n, res.rank
     ssr = moments["ssr"]
     ll = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1)
     f, pf = wald_f(res)
@@ -479,7 +490,8 @@ def fit_summary(res: OLSResult, moments: dict[str, float], dw: float, g: Gram) -
     om, pom = omnibus(s, kt, n)
     ztz, _ = g.with_const()
     ev = np.linalg.eigvalsh(ztz)
-    cond = math.sqrt(ev[-1] / ev[0]) if ev[0] > ev[-1] * 1e-15 else float("inf")
+    # A singular design's least eigenvalue is rounding: the ratio stops at double precision.
+    cond = math.sqrt(ev[-1] / max(abs(ev[0]), ev[-1] * np.finfo(float).eps ** 2))
     return {
         "n_obs": n, "df_model": k - 1, "df_resid": n - k, "r2": res.rsquared,
         "adj_r2": res.rsquared_adj, "f_statistic": f, "f_pvalue": pf, "log_likelihood": ll,
