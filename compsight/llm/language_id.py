@@ -112,43 +112,44 @@ def fit(docs: DataFrame, declared: Column, text: str = "text", id_col: str = "do
     return Model(languages, loglik.astype(np.float32), (n * loglik).sum(0) / np.maximum(1, n.sum(0)))
 
 
-def text_evidence(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` plus ``text_ll array<float>`` (mean log-likelihood per language) and ``trigrams int``."""
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(model.loglik)
-    k = len(model.languages)
-
-    def make():
-        loglik = table.value
-
-        def fn(texts):
-            offs = offsets_of(texts).astype(np.int64)
-            raw = np.frombuffer(texts.buffers()[2], np.uint8)[offs[0]:offs[-1]] if offs[-1] > offs[0] \
-                else np.zeros(0, np.uint8)
-            start, end = offs[:-1] - offs[0], offs[1:] - offs[0]
-            n = np.maximum(0, end - start - 2)
-            means = np.zeros((len(n), k), np.float32)
-            if len(raw) > 2 and k:
-                at = trigrams(raw)
-                some = np.flatnonzero(n)
-                # Sums between begin and begin + n of each text; what lies between texts is left out.
-                cuts = np.stack([start[some], start[some] + n[some]], 1).ravel()
-                for j in range(k):
-                    line = np.append(loglik[:, j][at], np.float32(0)).astype(np.float64)
-                    means[some, j] = np.add.reduceat(line, cuts)[::2] / n[some]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * k, max(k, 1), dtype=np.int32)[:len(n) + 1]
-                                                      if k else np.zeros(len(n) + 1, np.int32)),
-                                             pa.array(means.ravel(), pa.float32()))
-            return [lists, pa.array(n.astype(np.int32))]
-        return fn
-    return add_columns(docs, [text_col(docs, text)], "text_ll array<float>, trigrams int", make)
-
-
-def softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    parts = [F.exp(x - top) for x in logs]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
+def _means(texts: pa.Array, loglik: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean log-likelihood of each text's trigrams per language, and how many trigrams it has."""
+    offs = offsets_of(texts).astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[offs[0]:offs[-1]] if offs[-1] > offs[0] else np.zeros(0, np.uint8)
+    start = offs[:-1] - offs[0]
+    n = np.maximum(0, np.diff(offs) - 2)
+    means = np.zeros((len(n), loglik.shape[1]))
+    some = np.flatnonzero(n)
+    if len(some):
+        at = trigrams(raw)
+        # Sums between begin and begin + n of each text; what lies between texts is left out.
+        cuts = np.stack([start[some], start[some] + n[some]], 1).ravel()
+        for j in range(loglik.shape[1]):
+            line = np.append(loglik[:, j][at], np.float32(0)).astype(np.float64)
+            means[some, j] = np.add.reduceat(line, cuts)[::2] / n[some]
+    return means, n
+
+
+def _told(says: np.ndarray, trust: float, k: int) -> np.ndarray:
+    """Log-likelihood per language of what markup or suffix say (a language's number, -1: nothing)."""
+    out = np.full((len(says), k), np.log(max(1e-9, (1 - trust) / max(1, k - 1))))
+    out[np.arange(len(says)), np.maximum(says, 0)] = np.log(trust)
+    return np.where((says >= 0)[:, None], out, 0.0)
+
+
+def fuse(means: np.ndarray, n: np.ndarray, declared: np.ndarray, suffix: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Posterior per text and language; ``prior`` holds log priors of the host."""
+    k = means.shape[1]
+    logs = means * (n.astype(float) ** TEMPER)[:, None] + prior \
+        + _told(declared, DECLARED_TRUST, k) + _told(suffix, SUFFIX_TRUST, k)
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def _number(says: Column, by: dict[str, int]) -> Column:
+    """The number of the language that a value stands for, -1 if none."""
+    table = F.create_map(*[F.lit(x) for kv in by.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, says), F.lit(-1)) if by else F.lit(-1)
 
 
 def identify(docs: DataFrame, model: Model, declared: Column, host: Column, suffix: Column,
@@ -162,77 +163,77 @@ def identify(docs: DataFrame, model: Model, declared: Column, host: Column, suff
     Without any known language every document is rejected.
     """
     spark = docs.sparkSession
-    langs = model.languages
-    if not langs:
-        return docs.withColumns({"lid": F.lit(None).cast("string"), "lid_posterior": F.lit(0.0),
-                                 "lid_text": F.lit(None).cast("string"), "lid_kept": F.lit(False)})
+    langs, k = model.languages, len(model.languages)
     plain = docs.drop("lid", "lid_posterior", "lid_text", "lid_kept")
-    # Texts are read twice, once to sum the priors and once to judge: they are not shuffled or kept.
-    evidence = text_evidence(plain.withColumns({"__declared": F.lower(F.trim(declared)).substr(1, 2),
-                                                "__host": host, "__suffix": F.lower(suffix)}), model, text)
-    temper = F.pow(F.greatest(F.col("trigrams"), F.lit(0)).cast("double"), F.lit(TEMPER))
-    text_log = [F.col("text_ll")[j].cast("double") * temper for j in range(len(langs))]
-
-    def told(col: str, trust: float, by: dict[str, str]) -> list[Column]:
-        """Log-likelihood of what markup or suffix say, for each language."""
-        says = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in by.items() for x in kv]), F.col(col)),
-                          F.lit("")) if by else F.lit("")
-        wrong = (1 - trust) / max(1, len(langs) - 1)
-        return [F.when(~says.isin(*langs), F.lit(0.0)).when(says == lang, F.lit(float(np.log(trust))))
-                .otherwise(F.lit(float(np.log(max(wrong, 1e-9))))) for lang in langs]
-
-    declared_log = told("__declared", DECLARED_TRUST, {x: x for x in langs})
-    suffix_log = told("__suffix", SUFFIX_TRUST, {s: v for s, v in SUFFIX_LANGUAGE.items() if v in langs})
-    first = softmax([t + d + s for t, d, s in zip(text_log, declared_log, suffix_log)])
+    if not langs:
+        return plain.withColumns({"lid": F.lit(None).cast("string"), "lid_posterior": F.lit(0.0),
+                                  "lid_text": F.lit(None).cast("string"), "lid_kept": F.lit(False)})
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS numbers for each language
+    number = {x: j for j, x in enumerate(langs)}
+    told = plain.withColumns({
+        "__host": host, "__declared": _number(F.lower(F.trim(declared)).substr(1, 2), number),
+        "__suffix": _number(F.lower(suffix), {s: number[x] for s, x in SUFFIX_LANGUAGE.items() if x in number})})
+    none = F.array(*[F.lit(0.0)] * k)
+
+    def first():
+        loglik = shared.value.loglik
+
+        def fn(texts, says, suffixes):
+            means, n = _means(texts, loglik)
+            p = fuse(means, n, says.to_numpy(), suffixes.to_numpy(), np.zeros_like(means))
+            return list(pa.array(p[:, j]) for j in range(k))
+        return fn
+
+    # Texts are read twice, once to sum the priors and once to judge: they are neither shuffled nor kept.
+    names = [f"p{j}" for j in range(k)]
+    seen = told.select("__host", text_col(told, text).alias("text"), "__declared", "__suffix")
+    seen = add_columns(seen, [F.col("text"), F.col("__declared"), F.col("__suffix")],
+                       ", ".join(f"{x} double" for x in names), first)
     # Fractions as integers: their sums do not depend on the order of rows.
     units = 1 << 20
-    domain = F.regexp_extract(F.col("__host"), r"([^.]+\.[^.]+)$", 1)
-    per_host = (evidence.select("__host", domain.alias("__domain"),
-                                *[(p * units).cast("long").alias(f"p{j}") for j, p in enumerate(first)])
-                .groupBy("__host", "__domain")
-                .agg(*[(F.sum(f"p{j}") / units).alias(f"p{j}") for j in range(len(langs))]))
+    per_host = seen.groupBy("__host").agg(
+        *[(F.sum((F.col(x) * units).cast("long")) / units).alias(x) for x in names]).withColumn(
+        "__domain", F.regexp_extract("__host", r"([^.]+\.[^.]+)$", 1))
     path = scratch_path(spark, "hosts")
     per_host.write.parquet(path)  # one row per host
     per_host = spark.read.parquet(path)
 
     def shares(prefix: str) -> str:
-        return " + ".join(f"{prefix}{j}" for j in range(len(langs)))
+        return " + ".join(f"{prefix}{j}" for j in range(k))
 
-    corpus = per_host.agg(*[F.sum(f"p{j}").alias(f"c{j}") for j in range(len(langs))]).selectExpr(
-        *[f"(c{j} + 1) / ({shares('c')} + {len(langs)}) as c{j}" for j in range(len(langs))])
+    corpus = per_host.agg(*[F.sum(f"p{j}").alias(f"c{j}") for j in range(k)]).selectExpr(
+        *[f"(c{j} + 1) / ({shares('c')} + {k}) as c{j}" for j in range(k)])
     domains = (per_host.where("__domain != ''").groupBy("__domain")
-               .agg(*[F.sum(f"p{j}").alias(f"d{j}") for j in range(len(langs))]))
+               .agg(*[F.sum(f"p{j}").alias(f"d{j}") for j in range(k)]))
     # Each level leans on the one above it: host on domain, domain on corpus (one row).
     leaned = (per_host.where("__host is not null").join(domains, "__domain", "left")
-              .crossJoin(F.broadcast(corpus)).na.fill(0.0, [f"d{j}" for j in range(len(langs))])
-              .selectExpr("__host", *[f"p{j}" for j in range(len(langs))], *[
-                  f"(d{j} + {DOMAIN_WEIGHT} * c{j}) / ({shares('d')} + {DOMAIN_WEIGHT}) as d{j}"
-                  for j in range(len(langs))])
-              .selectExpr("__host", *[
-                  f"ln((p{j} + {HOST_WEIGHT} * d{j}) / ({shares('p')} + {HOST_WEIGHT})) as h{j}"
-                  for j in range(len(langs))]))
+              .crossJoin(F.broadcast(corpus)).na.fill(0.0, [f"d{j}" for j in range(k)])
+              .selectExpr("__host", *names, *[
+                  f"(d{j} + {DOMAIN_WEIGHT} * c{j}) / ({shares('d')} + {DOMAIN_WEIGHT}) as d{j}" for j in range(k)])
+              .select(F.col("__host").alias("__known"), F.array(*[F.expr(
+                  f"ln((p{j} + {HOST_WEIGHT} * d{j}) / ({shares('p')} + {HOST_WEIGHT}))") for j in range(k)]
+              ).alias("__prior")))
     # Written, so that Spark knows its size: a small host table is broadcast, a large one is not.
     path = scratch_path(spark, "host-priors")
     leaned.write.parquet(path)
-    leaned = spark.read.parquet(path)
-    joined = evidence.join(leaned.withColumnRenamed("__host", "__known"),
-                           F.col("__host") == F.col("__known"), "left")
-    last = softmax([t + d + s + F.coalesce(F.col(f"h{j}"), F.lit(0.0))
-                    for j, (t, d, s) in enumerate(zip(text_log, declared_log, suffix_log))])
-    out = joined.withColumn("__post", F.array(*last))
-
-    def best(values: Column) -> Column:
-        return F.array_position(values, F.array_max(values)).cast("int")
-
-    names = F.array(*map(F.lit, langs))
-    expected = F.array(*[F.lit(float(x)) for x in model.expected])
-    pick = best(F.col("__post"))
-    return (out.withColumns({
-        "lid": F.element_at(names, pick), "lid_posterior": F.array_max("__post"),
-        "lid_text": F.when(F.col("trigrams") > 0, F.element_at(names, best(F.col("text_ll")))),
-        "lid_kept": (F.col("trigrams") > 0) & (F.array_max("__post") >= MIN_POSTERIOR)
-        & (F.element_at("text_ll", pick) >= F.element_at(expected, pick) - MAX_SURPRISE)})
-        .select(*[F.col(f"`{c}`") for c in plain.columns], "lid", "lid_posterior", "lid_text", "lid_kept"))
+    joined = told.join(spark.read.parquet(path), F.col("__host") == F.col("__known"), "left")
+
+    def last():
+        m = shared.value
+
+        def fn(texts, says, suffixes, prior):
+            means, n = _means(texts, m.loglik)
+            p = fuse(means, n, says.to_numpy(), suffixes.to_numpy(), prior.flatten().to_numpy().reshape(-1, k))
+            best, rows = p.argmax(1), np.arange(len(p))
+            kept = (n > 0) & (p[rows, best] >= MIN_POSTERIOR) & (means[rows, best] >= m.expected[best] - MAX_SURPRISE)
+            return [pa.array([langs[j] for j in best], pa.string()), pa.array(p[rows, best]),
+                    pa.array([langs[j] if c else None for j, c in zip(means.argmax(1), n)], pa.string()), pa.array(kept)]
+        return fn
+
+    out = add_columns(joined, [text_col(joined, text), F.col("__declared"), F.col("__suffix"),
+                               F.coalesce("__prior", none)],
+                      "lid string, lid_posterior double, lid_text string, lid_kept boolean", last)
+    return out.drop("__host", "__known", "__declared", "__suffix", "__prior")
 
 
 def host_of(url: Column) -> Column:

@@ -92,9 +92,10 @@ def _signatures(docs: DataFrame, k: int, width: int) -> DataFrame:
 def rank_levels(counters: np.ndarray) -> tuple[np.ndarray, float]:
     """Level of each counter, 0 for all that random sharing of counters explains, and the count where 1 begins."""
     heavy = 128 + 4 * float(counters.mean())
-    with np.errstate(divide="ignore"):
-        level = np.where(counters >= heavy, 1 + 4 * np.log2(np.maximum(counters, 1) / heavy), 0)
-    return np.minimum(level, 255).astype(np.uint8), heavy
+    levels = np.zeros(len(counters), np.uint8)
+    at = np.flatnonzero(counters >= heavy)  # at most a quarter of all, as the mean says
+    levels[at] = np.minimum(255, 1 + 4 * np.log2(counters[at] / heavy))
+    return levels, heavy
 
 
 def choose_prefix(s: np.ndarray, levels: np.ndarray, heavy: float, pct: int) -> tuple[np.ndarray, int, int, int]:

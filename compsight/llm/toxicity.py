@@ -119,30 +119,40 @@ def select_grams(sample: DataFrame, features: int = FEATURES) -> list[str]:
 
 def solve(x: np.ndarray, y: np.ndarray, w: np.ndarray, d: np.ndarray,
           ridge: float = RIDGE, penalty: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
-    """Weights and bias: weighted log loss + ridge + penalty * sum of squared score changes ``d @ weights``."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    k = x1.shape[1]
+    """Weights and bias: weighted log loss + ridge + penalty * sum of squared score changes ``d @ weights``.
+
+    ``x`` has a last column of ones.  Newton steps; the Hessian is summed over blocks of rows.
+    """
+    k = x.shape[1]
     fixed = ridge * np.eye(k)
     fixed[-1, -1] = 1e-6
+    d = d.astype(float)
     fixed[:-1, :-1] += penalty * (d.T @ d)
     beta = np.zeros(k)
 
+    def scores(v):
+        return x @ v.astype(x.dtype) if x.dtype == np.float32 else x @ v
+
     def loss(v):
-        s = x1 @ v
+        s = scores(v).astype(float)
         return (w * (np.logaddexp(0, s) - y * s)).sum() + 0.5 * v @ fixed @ v
 
     at = loss(beta)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ beta, -40, 40)))
-        g = x1.T @ (w * (p - y)) + fixed @ beta
-        h = (x1 * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x1 + fixed
-        step = np.linalg.solve(h + 1e-9 * np.eye(k), g)
+        p = 1 / (1 + np.exp(-np.clip(scores(beta).astype(float), -40, 40)))
+        g, h = fixed @ beta, fixed + 1e-9 * np.eye(k)
+        for lo in range(0, len(x), 1024):
+            s = slice(lo, lo + 1024)
+            part = x[s].astype(float)
+            g += part.T @ (w[s] * (p[s] - y[s]))
+            h += (part * (w[s] * np.maximum(p[s] * (1 - p[s]), 1e-9))[:, None]).T @ part
+        step = np.linalg.solve(h, g)
         size = 1.0
         while loss(beta - size * step) > at and size > 1e-6:
             size /= 2
         beta = beta - size * step
         last, at = at, loss(beta)
-        if last - at < 1e-7 * max(1.0, abs(at)):
+        if last - at < 1e-6 * max(1.0, abs(at)):
             break
     return beta[:-1], float(beta[-1])
 
@@ -175,14 +185,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text: st
 
     # Feature numbers of the bounded sample, no texts.
     got = sample.select("text", "label").mapInArrow(rows, "x array<int>, other array<int>, label int").collect()
-    x, d = np.zeros((len(got), len(grams))), np.zeros((len(got), len(grams)))
+    if not len(got):
+        return Model([], np.zeros(0), -20.0)
+    x = np.zeros((len(got), len(grams) + 1), np.float32)
+    x[:, -1] = 1
     for i, r in enumerate(got):
         x[i, r.x] = 1
+    changed = [r for r in got if r.x != r.other]
+    d = np.zeros((len(changed), len(grams)), np.float32)
+    for i, r in enumerate(changed):
         d[i, r.x] += 1
         d[i, r.other] -= 1
     y = np.array([r.label for r in got], float)
-    if not len(got):
-        return Model([], np.zeros(0), -20.0)
     w = np.where(y == 1, weight.get(1, 1.0), weight.get(0, 1.0))
     model.weights, model.bias = solve(x, y, w / w.mean(), d)
     return model

@@ -149,7 +149,7 @@ def test_toxicity_learns_words_and_not_groups(spark):
     got = {r.doc_id: r.toxicity for r in toxicity.score(docs, model).collect()}
     assert all((got[i] >= 0.5) == bool(y) for i, y in labels)
     assert got[1000] == got[1001] < 0.5 and got[1002] < 0.5
-    x = np.array([[1, 1], [1, 1], [0, 0], [0, 0], [1, 0], [0, 1]], float)
+    x = np.array([[1, 1, 1], [1, 1, 1], [0, 0, 1], [0, 0, 1], [1, 0, 1], [0, 1, 1]], float)
     y = np.array([1, 1, 0, 0, 1, 0], float)
     d = np.array([[0, 1], [0, 1], [0, 0], [0, 0], [0, 0], [0, 1]], float)
     free, _ = toxicity.solve(x, y, np.ones(6), d, penalty=0.0)
