@@ -256,35 +256,40 @@ def link_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "d
     texts = slim.join(involved, "doc_id", "left_semi").withColumn("h", F.xxhash64("text"))
     texts = _stored(texts.dropDuplicates(["doc_id", "h"]), "texts")  # rows that repeat an id and its text
 
-    links, found, before = None, None, 0
+    # Lists by their length: only long ones are worth pivots and labels.
+    counts = postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    lists = _stored(postings.join(counts, "token").withColumn("component", F.col("rid")), "lists")
+    short, long = lists.where(F.col("m") <= LONG_LIST), lists.where(F.col("m") > LONG_LIST)
+
+    links, before = None, 0
     for round_ in range(MAX_ROUNDS + 1):
-        now = postings.withColumn("component", F.col("rid")) if found is None else \
-            postings.join(found.withColumnRenamed("id", "rid"), "rid", "left").withColumn(
-                "component", F.coalesce("component", "rid"))
-        now = _stored(now, "round")
-        tokens = _stored(_pairs_left(now), "tokens")
-        rows_left, long_pairs = tokens.agg(
-            F.coalesce(F.sum("m"), F.lit(0)),
-            F.coalesce(F.sum(F.when(F.col("m") > LONG_LIST, F.col("pairs"))), F.lit(0.0))).collect()[0]
-        if round_ == MAX_ROUNDS or long_pairs <= PAIRS_PER_POSTING * rows_left or round_ and long_pairs > before / 2:
+        if links is not None:
+            labels = partial_labels(links).withColumnRenamed("id", "rid").withColumnRenamed("component", "label")
+            long = _stored(long.join(labels, "rid", "left").withColumn(
+                "component", F.coalesce("label", "component")).drop("label"), "round")
+        tokens = _stored(_pairs_left(long), "tokens")
+        rows_left, pairs_left = tokens.agg(F.coalesce(F.sum("m"), F.lit(0)),
+                                           F.coalesce(F.sum("pairs"), F.lit(0.0))).collect()[0]
+        if round_ == MAX_ROUNDS or pairs_left <= PAIRS_PER_POSTING * rows_left or round_ and pairs_left > before / 2:
             break
-        before = long_pairs
-        long = now.join(tokens.where(F.col("m") > LONG_LIST).select("token"), "token")
-        picks = long.groupBy("token").agg(*[
+        before = pairs_left
+        open_ = long.join(tokens.select("token"), "token")
+        picks = open_.groupBy("token").agg(*[
             F.min_by(F.struct("rid", "s", "need", "ell", "shared", "component"),
                      # The first shares most with others, the second is any.
                      F.struct((F.lit(0) if p else -F.col("shared")).alias("c"),
                               F.xxhash64("rid", F.lit(round_ * PIVOTS + p)))).alias(f"p{p}") for p in range(PIVOTS)])
         pivots = picks.select("token", F.explode(F.array(*[f"p{p}" for p in range(PIVOTS)])).alias("p")).select(
             "token", "p.*").distinct()
-        pairs = (long.alias("x").join(pivots.alias("y"), "token").where(_fit(pct))
+        pairs = (open_.alias("x").join(pivots.alias("y"), "token").where(_fit(pct))
                  .select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct())
         new = _stored(_verified(pairs, texts, k, pct), "pivot-links")
         links = new if links is None else links.union(new)
-        found = partial_labels(links)
 
-    # Every pair that is left between two components, by documents outside a token's largest one.
-    main = now.join(tokens.select("token", "main"), "token")
+    # Every pair that is left between two components, by documents outside a token's largest one.  A pair of
+    # one component has one label in long lists: it may be counted in short ones only and changes nothing.
+    main = long.drop("m").join(tokens.select("token", "main"), "token").union(
+        short.drop("m").join(short.groupBy("token").agg(F.min("component").alias("main")), "token"))
     rest = main.where("component != main")
     meet = (rest.alias("x").join(main.alias("y"), "token")
             .where(_fit(pct) + " and (y.component = y.main or x.rid < y.rid)")
