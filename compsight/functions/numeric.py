@@ -52,10 +52,15 @@ def to_number_strict(c: Column | str) -> Column:
     return strip_space(_as_col(c).cast("string")).cast("double")
 
 
-def to_date(c: Column | str, formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> Column:
-    """Parse text to DATE trying each format in turn; no format matches -> NULL."""
+def to_time(c: Column | str, formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> Column:
+    """Parse text to TIMESTAMP trying each format in turn; no format matches -> NULL."""
     s = strip_space(_as_col(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("date")
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+
+
+def to_date(c: Column | str, formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> Column:
+    """The day of ``to_time``."""
+    return to_time(c, formats).cast("date")
 
 
 def zero_if_null(c: Column | str) -> Column:

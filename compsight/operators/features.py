@@ -127,21 +127,23 @@ def one_hot_columns(col: str, categories: Sequence, prefix: str | None = None,
             for v in cats]
 
 
-def one_hot_vector(df: DataFrame, col: str, out: str = "onehot", drop_first: bool = True
-                   ) -> DataFrame:
-    """FEAT-6 for many categories: sparse vector, categories in sorted order,
-    first dropped (index shift), unknown -> all zeros."""
+def one_hot_vector(df: DataFrame, col: str, out: str = "onehot") -> DataFrame:
+    """FEAT-6 for many categories: sparse vector of (categories - 1) slots in
+    sorted order; the first category, NULL and unknown values are all zeros."""
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    from pyspark.ml.functions import array_to_vector
 
     idx = StringIndexer(inputCol=col, outputCol="__idx", stringOrderType="alphabetAsc",
                         handleInvalid="keep").fit(df)
-    n_labels = len(idx.labels)
-    shifted = idx.transform(df).withColumn(
-        "__idx", F.when((F.col("__idx") == 0) & F.lit(drop_first), F.lit(float(n_labels)))
-        .otherwise(F.col("__idx") - (1 if drop_first else 0)))
-    enc = OneHotEncoder(inputCols=["__idx"], outputCols=[out], dropLast=True,
-                        handleInvalid="keep").fit(shifted)
-    return enc.transform(shifted).drop("__idx")
+    last = len(idx.labels) - 1
+    if last < 1:
+        return df.withColumn(out, array_to_vector(F.array().cast("array<double>")))
+    # The encoder drops its last slot: the first category and NULL (index last + 1) go there.
+    i = F.col("__idx")
+    slots = idx.transform(df).withColumn(
+        "__idx", F.when((i == 0) | (i > last), F.lit(float(last))).otherwise(i - 1))
+    enc = OneHotEncoder(inputCols=["__idx"], outputCols=[out], dropLast=True).fit(slots)
+    return enc.transform(slots).drop("__idx")
 
 
 # ---------------------------------------------------------------- FEAT-7
@@ -245,7 +247,7 @@ def fit_design_matrix(df: DataFrame, cols: Sequence[str]) -> DesignMatrixModel:
 
 # ---------------------------------------------------------------- FEAT-9
 def scoring_features(req: DataFrame, unknown: str = "impute", city: str = "other",
-                     ratio_mode: str = "score") -> DataFrame:
+                     ratio_mode: str = "score", cost_nulls: str = "zero") -> DataFrame:
     """Feature row per scoring request (address, beds, baths, sf, purchase, rehab).
 
     unknown='impute': fields the form lacks are NULL (imputed by the model);
@@ -265,7 +267,7 @@ def scoring_features(req: DataFrame, unknown: str = "impute", city: str = "other
         zero_if_null(F.col("baths")).alias("__baths"),
         fill.alias("dom"), fill.alias("lot_area_value"), fill.alias("year_built"),
         fill.alias("school_score"),
-        total_cost("purchase", "rehab", nulls="zero").alias("total_cost"),
+        total_cost("purchase", "rehab", nulls=cost_nulls).alias("total_cost"),
         rehab_ratio("purchase", "rehab", mode=ratio_mode).alias("rehab_ratio"),
         city_col.alias("city"),
     ).drop("baths").withColumnRenamed("__baths", "baths")

@@ -4,17 +4,20 @@ Spark's exact ``percentile`` / ``median`` keep every distinct value of a group
 in one aggregation buffer, which does not survive a group holding a third of
 100 TB.  Here an order statistic is found by histogram refinement:
 
-  level 0  per (group, target): count, min, max
-  level i  rows inside the current [lo, hi] range -> 65,536 equal-width
-           buckets -> (count, min, max) per bucket (partial aggregation) ->
-           running count per (group, target) over <= 65,536 bucket rows ->
-           the bucket holding the k-th value becomes the new range
+  bounds   per (group, target): min and max
+  wide     rows inside a range that spans signs, infinities or more than a factor
+           of four -> buckets by sign and binary logarithm
+  narrow   rows inside any other range -> 65,536 equal-width buckets
+  either   (count, min, max) per bucket (partial aggregation) -> running count per
+           (group, target) over the bucket rows -> the bucket holding the k-th
+           value becomes the new range
   stop     when a range's min equals its max (the value is found)
 
-Each level shrinks the range width by >= 65,536x, so a handful of levels
-resolve any double column.  The per-target state (one row per group and
-target) is joined back to the data with a size-checked broadcast; nothing
-proportional to the data reaches the driver or a single task.
+The ends of a range fall into different buckets, so every level shrinks every open
+range; one wide level and at most five narrow ones resolve any double column, with
+or without infinities.  The per-target state (one row per group and target) is a
+written table whose size the planner knows when it joins it to the data; nothing
+proportional to the data or to the groups reaches the driver or a single task.
 
 Percentiles use linear interpolation between the order statistics at
 floor/ceil of (n - 1) * p, the definition shared by pandas, Spark's
@@ -29,11 +32,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import broadcast_if_small
+from ..session import scratch_path
 
 BUCKETS = 65_536
-MAX_LEVELS = 16
-STATE_BROADCAST_ROWS = 200_000
+#: Buckets for each doubling in a wide range; beyond the largest exponent, the place of infinity.
+PER_OCTAVE = 64
+INFINITE = 4_096
 
 
 def _group_cols(groups: Sequence[str]) -> list[str]:
@@ -56,31 +60,36 @@ def order_statistics(df: DataFrame, value: str, ranks: DataFrame,
     bounds = data.groupBy(*g).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     state = (ranks.join(bounds, g).select(*g, "t", "k", "lo", "hi")
              .withColumn("done", F.col("lo") == F.col("hi")))
-    small = state.limit(STATE_BROADCAST_ROWS + 1).collect()
-    if len(small) <= STATE_BROADCAST_ROWS:
-        return _refine_on_driver(data, g, small, groups, state.schema)
-    state = state.checkpoint(eager=True)
-    for _ in range(MAX_LEVELS):
-        todo = state.filter(~F.col("done"))
-        if todo.limit(1).count() == 0:
-            break
-        nxt = _level(data, g, todo.select(*g, "t", "k", "lo", "hi"))
-        state = state.filter(F.col("done")).unionByName(nxt).checkpoint(eager=True)
-    else:
-        raise RuntimeError("quantile refinement did not converge")
+    state = _stored(state)
+    while not state.agg(F.coalesce(F.bool_and("done"), F.lit(True))).first()[0]:
+        nxt = _level(data, g, state.filter(~F.col("done")).select(*g, "t", "k", "lo", "hi"))
+        state = _stored(state.filter(F.col("done")).unionByName(nxt))
     out = state.select(*g, "t", F.col("lo").alias("v"))
     return out if groups else out.drop("__g")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "ranges")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _bucket() -> Column:
+    """Bucket of ``x`` in [lo, hi], lo < hi: never falls as x grows, differs between lo and hi."""
+    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
+    inf = F.lit(math.inf)
+    narrow = (((lo > 0) & (hi < inf) & (hi <= 4 * lo)) | ((hi < 0) & (lo > -inf) & (lo >= 4 * hi)))
+    linear = F.least(F.floor((x - lo) / F.nullif(hi - lo, F.lit(0.0)) * F.lit(float(BUCKETS))), F.lit(BUCKETS - 1))
+    size = F.when(F.abs(x) == inf, F.lit(float(INFINITE))).otherwise(F.log2(F.abs(x)) + F.lit(1_100.0))
+    scaled = F.floor(F.signum(x) * F.coalesce(size, F.lit(0.0)) * F.lit(float(PER_OCTAVE)))
+    return F.when(narrow, linear).otherwise(scaled)
+
+
 def _level(data: DataFrame, g: list[str], cur: DataFrame) -> DataFrame:
     """One refinement level: histogram of the rows inside each target's range."""
-    width = (F.col("hi") - F.col("lo")) / F.lit(float(BUCKETS))
-    bucket = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo"))
-                                          / F.when(width > 0, width)),
-                                  F.lit(BUCKETS - 1))).otherwise(F.lit(0))
     hist = (data.join(cur, g)
             .filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-            .groupBy(*g, "t", "k", bucket.alias("b"))
+            .groupBy(*g, "t", "k", _bucket().alias("b"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")))
     w = (Window.partitionBy(*g, "t").orderBy("b")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -91,30 +100,6 @@ def _level(data: DataFrame, g: list[str], cur: DataFrame) -> DataFrame:
                          (F.col("mn") == F.col("mx")).alias("done"))
 
 
-def _refine_on_driver(data: DataFrame, g: list[str], rows: list, groups: Sequence[str],
-                      schema) -> DataFrame:
-    """Same levels with the (size-checked, small) target state held on the
-    driver and broadcast each level; one aggregate job per level."""
-    spark = data.sparkSession
-    cur_schema = schema
-    done = [r for r in rows if r["done"]]
-    todo = [r for r in rows if not r["done"]]
-    for _ in range(MAX_LEVELS):
-        if not todo:
-            break
-        cur = F.broadcast(spark.createDataFrame(todo, cur_schema).drop("done"))
-        nxt = _level(data, g, cur).collect()
-        done += [r for r in nxt if r["done"]]
-        todo = [r for r in nxt if not r["done"]]
-    else:
-        raise RuntimeError("quantile refinement did not converge")
-    out = spark.createDataFrame([tuple(r[c] for c in [*g, "t", "lo"]) for r in done],
-                                cur_schema.fromJson({"type": "struct", "fields": [
-                                    cur_schema[c].jsonValue() for c in [*g, "t"]]})
-                                .add("v", "double"))
-    return out if groups else out.drop("__g")
-
-
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
                       groups: Sequence[str] = (), names: Sequence[str] | None = None
                       ) -> DataFrame:
@@ -146,7 +131,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
         lo, hi = F.col(str(2 * i)), F.col(str(2 * i + 1))
         h = (F.col("n") - 1) * F.lit(float(p))
         frac = h - F.floor(h)
-        cols.append(F.when(frac == 0, lo).otherwise(lo + (hi - lo) * frac).alias(names[i]))
+        cols.append(F.when((frac == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * frac).alias(names[i]))
     out = wide.select(*g, *cols)
     return out if groups else out.drop("__g")
 
@@ -166,7 +151,3 @@ def column_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None
     med = exact_median(long, "__v", ["__c"], "m").collect()
     got = {r["__c"]: (None if r["m"] is None else float(r["m"])) for r in med}
     return {c: got.get(c) for c in cols}
-
-
-def is_finite(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(math.inf))

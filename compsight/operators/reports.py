@@ -60,8 +60,7 @@ def daily_report(events: DataFrame, leads: DataFrame, compat: bool = False,
     lead_days = daily_counts(leads, name="leads")
     if compat:
         lead_days = top_days(lead_days, n)
-    # the estimate side is at most n rows: broadcasting it is size-proven
-    return (lead_days.join(F.broadcast(est), "day", "right")
+    return (est.join(lead_days, "day", "left")
             .select("day", "estimates", F.coalesce(F.col("leads"), F.lit(0)).alias("leads")))
 
 

@@ -17,9 +17,13 @@ from .features import scoring_features
 
 def score_requests(req: DataFrame, collapse, transformer, ridge, policy: str = "ltv",
                    unknown: str = "impute", city: str = "other",
+                   ratio_mode: str = "score", cost_nulls: str = "zero",
                    model_type: str = "RidgeLOO", model_version: str = "v1") -> DataFrame:
-    """Score requests (address, beds, baths, sf, purchase, rehab)."""
-    feats = scoring_features(req, unknown=unknown, city=city)
+    """Score requests (address, beds, baths, sf, purchase, rehab).
+
+    ``ratio_mode`` and ``cost_nulls`` are those that the model was trained with.
+    """
+    feats = scoring_features(req, unknown=unknown, city=city, ratio_mode=ratio_mode, cost_nulls=cost_nulls)
     if collapse is not None:
         feats = collapse.transform(feats)
     pred_log = ridge.predict_expr()

@@ -931,7 +931,8 @@ from ..operators.scoring import score_requests  # noqa: E402
 
 def _scorer(spark, sf_dir):
     t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
-    return lambda req: score_requests(req, t.collapse, t.transformer, t.ridge)
+    return lambda req: score_requests(req, t.collapse, t.transformer, t.ridge,
+                                      ratio_mode=t.ratio_mode, cost_nulls=t.cost_nulls)
 
 
 @register("score_batch")
@@ -977,7 +978,7 @@ def stream_daily_counts_q(spark, sf_dir):
     from ..sources.tables import read_table
     schema_ = read_table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema_).parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
-    out = SL.run_available(SL.daily_event_counts(stream), f"daily_{abs(hash(sf_dir)) % 10**8}")
+    out = SL.run_complete(SL.daily_event_counts(stream), "daily")
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                       "event_type", "n")
 
@@ -1004,7 +1005,7 @@ def stream_score_q(spark, sf_dir):
     standins.scoring_requests(spark, sf_dir).write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
     scored = SL.score_stream(stream, _scorer(spark, sf_dir))
-    return SL.run_available(scored, f"scored_{abs(hash(sf_dir)) % 10**8}", mode="append")
+    return SL.run_append(scored, "scored")
 
 
 @register("stream_ingest")
@@ -1017,4 +1018,4 @@ def stream_ingest_q(spark, sf_dir):
     q = SL.ingest_with_quarantine(SL.log_stream(spark, src, standins.EVENT_LOG_SCHEMA), good, bad,
                                   scratch_path(spark, "ckpt-ingest"))
     q.awaitTermination()
-    return spark.read.schema(standins.EVENT_LOG_SCHEMA).parquet(good)
+    return SL.read_epochs(spark, good, standins.EVENT_LOG_SCHEMA)

@@ -13,7 +13,7 @@ from .. import config as C
 from ..functions.finance import rehab_ratio, total_cost
 from ..operators import clean
 from ..sources import standins
-from ..sources.comps import normalize_columns, parse_known_dates
+from ..sources.comps import normalize_columns, parse_known_dates, prepare_comps
 
 DEFAULT_AS_OF = "2001-08-01"
 
@@ -23,7 +23,7 @@ def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.latest_per_id(loaded(spark, sf_dir))
+    return prepare_comps(standins.comps(spark, sf_dir))
 
 
 def clean_frame(df: DataFrame, as_of: str | None = DEFAULT_AS_OF, recent: bool = True,

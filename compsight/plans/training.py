@@ -32,6 +32,8 @@ class LinearTraining:
     ridge: L.RidgeModel
     gram: L.Gram
     ols: L.OLSResult
+    ratio_mode: str = "train_linear"
+    cost_nulls: str = "propagate"
     extras: dict = field(default_factory=dict)
 
     @property
@@ -42,14 +44,15 @@ class LinearTraining:
         return self.design.filter(~F.col("is_test"))
 
 
-def build_design(df: DataFrame, transform: str = "log1p", fit_on: str = "train"
+def build_design(df: DataFrame, transform: str = "log1p", fit_on: str = "train",
+                 ratio_mode: str = "train_linear", cost_nulls: str = "propagate"
                  ) -> tuple[FE.RareCollapse, FE.ColumnTransformerModel, DataFrame]:
     """Split, collapse rare cities, engineer, fit the transformer on train and
     materialise the design matrix (label in transformed space)."""
     df = cut_lineage(split_flags(df))  # several fitting passes read it
     fit_rows = df if fit_on == "all" else df.filter(~F.col("is_test"))
     collapse = FE.RareCollapse.fit(fit_rows, "city")
-    pre = FE.preprocess(df, collapse)
+    pre = FE.preprocess(df, collapse, ratio_mode, cost_nulls)
     ct = FE.fit_column_transformer(pre.filter(~F.col("is_test")))
     design = pre.select(
         "source_row", "is_test",
@@ -59,14 +62,15 @@ def build_design(df: DataFrame, transform: str = "log1p", fit_on: str = "train"
     return collapse, ct, cut_lineage(design)
 
 
-def train_linear(df: DataFrame, diagnostics: bool = True) -> LinearTraining:
-    collapse, ct, design = build_design(df, "log1p")
+def train_linear(df: DataFrame, diagnostics: bool = True, ratio_mode: str = "train_linear",
+                 cost_nulls: str = "propagate") -> LinearTraining:
+    collapse, ct, design = build_design(df, "log1p", ratio_mode=ratio_mode, cost_nulls=cost_nulls)
     names = ct.feature_names
     train = design.filter(~F.col("is_test"))
     g = L.gram(train, names, "label")
     ridge = L.ridge_loo(train, names, "label", g=g)
     res = L.ols(train, names, "label", cov_type="HC3", g=g)
-    out = LinearTraining(collapse, ct, design, ridge, g, res)
+    out = LinearTraining(collapse, ct, design, ridge, g, res, ratio_mode, cost_nulls)
     if diagnostics:
         resid = res.resid_expr("label")
         moments = L.residual_moments(train, resid)
@@ -117,6 +121,7 @@ def train_forest(df: DataFrame, num_trees: int = 50, max_depth: int = 10, max_bi
     from pyspark.ml.regression import RandomForestRegressor
 
     df = cut_lineage(split_flags(df))
+    df = FE.RareCollapse.fit(df.filter(~F.col("is_test")), "city").transform(df)
     df = df.withColumns({
         "total_cost": F.coalesce(F.col(C.PURCHASE_COL), F.lit(0.0))
         + F.coalesce(F.col(C.REHAB_COL), F.lit(0.0))})

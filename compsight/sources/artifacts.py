@@ -49,7 +49,8 @@ def save_linear(spark: SparkSession, path: str, training, meta: dict,
     fitted = {"numeric": ct.numeric, "categorical": ct.categorical, "medians": ct.medians,
               "scaling": {k: list(v) for k, v in ct.scaling.items()}, "modes": ct.modes,
               "categories": ct.categories, "kept": training.collapse.kept,
-              "transform": r.transform}
+              "transform": r.transform, "ratio_mode": training.ratio_mode,
+              "cost_nulls": training.cost_nulls}
     spark.createDataFrame([(json.dumps(fitted),)], "fitted string").coalesce(1) \
         .write.mode("overwrite").parquet(f"{path}/transformer")
     spark.createDataFrame([meta], META_SCHEMA).coalesce(1).write.mode("overwrite") \

@@ -2,8 +2,8 @@
 
 ``load_comps`` reads a comps table from parquet / CSV / JSON / a catalog
 table and gives it predictable column names and a parsed date.  The
-latest-per-loan step is the separate operator ``clean.latest_per_id`` and is
-applied by ``prepare_comps``.
+latest-per-loan step is the separate operator ``clean.latest_per_id``;
+``prepare_comps`` applies it to the full timestamps and keeps their days.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .. import config as C
-from ..functions.numeric import to_date
+from ..functions.numeric import to_time
 from ..functions.text import normalize_names
 from ..session import path_exists
 
@@ -41,16 +41,16 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*normalize_names(df.columns))
 
 
-def parse_known_dates(df: DataFrame, date_col: str = C.DATE_COL) -> DataFrame:
-    """TS-1 on the known date column, if present and not already a date."""
+def parse_known_dates(df: DataFrame, date_col: str = C.DATE_COL, keep_time: bool = False) -> DataFrame:
+    """TS-1 on the known date column, if present: its day, or its timestamp with ``keep_time``."""
     if date_col not in df.columns:
         return df
     dtype = df.schema[date_col].dataType
     if isinstance(dtype, T.DateType):
         return df
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return df.withColumn(date_col, df[date_col].cast("date"))
-    return df.withColumn(date_col, to_date(date_col))
+    time = isinstance(dtype, (T.TimestampType, T.TimestampNTZType))
+    parsed = df[date_col] if time else to_time(date_col)
+    return df.withColumn(date_col, parsed if keep_time else parsed.cast("date"))
 
 
 def load_comps(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -76,8 +76,8 @@ def load_comps(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def prepare_comps(df: DataFrame, tiebreak: str = "source_row") -> DataFrame:
-    """Names, date parse and latest-per-loan on an already loaded frame."""
+    """Names, date parse and latest-per-loan, by date and time, on a raw frame."""
     from ..operators.clean import latest_per_id
 
-    df = parse_known_dates(normalize_columns(df))
-    return latest_per_id(df, C.ID_COL, C.DATE_COL, tiebreak)
+    df = parse_known_dates(normalize_columns(df), keep_time=True)
+    return parse_known_dates(latest_per_id(df, C.ID_COL, C.DATE_COL, tiebreak))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions.text import iso_text
-from .tables import broadcast_if_small, read_table
+from .tables import read_table
 
 COMPS_COLUMNS = [
     "source_row", C.ID_COL, C.DATE_COL, C.TARGET_COL, C.PURCHASE_COL, C.REHAB_COL,
@@ -43,8 +43,7 @@ def comps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderpriority")
     customer = read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("u"), "c_nationkey")
-    nation = broadcast_if_small(read_table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("c_nationkey"), "n_name"), max_rows=10_000)
+    nation = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     base = (per_order.join(orders, "k").join(customer, "u").join(nation, "c_nationkey")
             .withColumnRenamed("c_nationkey", "nk"))
 

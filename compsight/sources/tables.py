@@ -1,9 +1,8 @@
-"""Readers for the parquet test tables and size-checked broadcast."""
+"""Readers for the parquet test tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -12,14 +11,3 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet table ``<sf_dir>/<name>.parquet`` (scan is pruned/pushed by Catalyst)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only after checking the row count is bounded.
-
-    The check runs ``limit(max_rows + 1).count()`` (stops early on a large
-    side).  Beyond the bound the frame is returned unhinted, so the planner
-    (and AQE, from runtime sizes) keeps a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

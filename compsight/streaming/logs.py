@@ -2,8 +2,8 @@
 
 All queries take their checkpoint location under the shared
 ``spark.checkpoint.dir`` folder, so a restarted driver resumes exactly where
-it stopped.  ``run_available`` drains what is there now (``availableNow``)
-for batch-equivalence tests; production use is the same query with a
+it stopped.  ``run_complete`` and ``run_append`` drain what is there now
+(``availableNow``) into files, never into the driver; production use is the same query with a
 processing-time trigger.
 """
 
@@ -33,21 +33,31 @@ def log_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return r.schema(schema).load(path)
 
 
+def _write_epoch(batch: DataFrame, path: str, epoch: int) -> None:
+    """One micro-batch in a folder of its own: a replayed one replaces itself."""
+    batch.write.mode("overwrite").parquet(f"{path}/v{epoch:08d}")
+
+
+def read_epochs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All micro-batches that ``_write_epoch`` left under ``path``."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
 def ingest_with_quarantine(stream: DataFrame, good_path: str, bad_path: str,
                            checkpoint: str):
-    """STR-1 sink: good records appended as parquet, malformed lines to a
-    quarantine table, both per micro-batch through ``foreachBatch``."""
+    """STR-1 sink: good records as parquet, malformed lines to a quarantine
+    table, both per micro-batch; read them with ``read_epochs``."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.persist()
         if CORRUPT in batch.columns:
-            batch.filter(F.col(CORRUPT).isNull()).drop(CORRUPT) \
-                .write.mode("append").parquet(good_path)
-            batch.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT) \
-                .write.mode("append").parquet(bad_path)
+            # The corrupt column alone cannot be read from text: every field is named by the first write.
+            whole = f"{bad_path}-parsed/v{epoch:08d}"
+            batch.write.mode("overwrite").parquet(whole)
+            parsed = batch.sparkSession.read.parquet(whole)
+            _write_epoch(parsed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), good_path, epoch)
+            _write_epoch(parsed.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT), bad_path, epoch)
         else:
-            batch.write.mode("append").parquet(good_path)
-        batch.unpersist()
+            _write_epoch(batch, good_path, epoch)
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -66,14 +76,27 @@ def daily_event_counts(stream: DataFrame, ts: str = "ts", event: str = "event_ty
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def run_available(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drain the source once into a memory table and return it as a batch frame."""
+def run_complete(df: DataFrame, name: str) -> DataFrame:
+    """Drain the source once in complete mode; the last result table, from shared files."""
     spark = df.sparkSession
-    ckpt = scratch_path(spark, f"stream-{name}")
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    out = scratch_path(spark, f"complete-{name}")
+    q = (df.writeStream.foreachBatch(lambda batch, epoch: _write_epoch(batch, out, epoch))
+         .outputMode("complete").option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    done = _versions(spark, out)
+    return spark.read.parquet(f"{out}/v{done[-1]:08d}") if done else spark.createDataFrame([], df.schema)
+
+
+def run_append(df: DataFrame, name: str) -> DataFrame:
+    """Drain the source once into parquet files in the shared folder and read them."""
+    spark = df.sparkSession
+    out = scratch_path(spark, f"append-{name}")
+    q = (df.writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
 
 
 def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -83,38 +106,47 @@ def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame]) ->
 
 def merge_latest(state_path: str, id_col: str, date_col: str, tiebreak: str
                  ) -> Callable[[DataFrame, int], None]:
-    """STR-4 ``foreachBatch`` body: DED-1 of (stored latest rows ∪ new batch),
-    written as the next versioned table (no in-place overwrite of the input).
-    The latest version number is kept in ``<state_path>/_version``."""
+    """STR-4 ``foreachBatch`` body: DED-1 of (stored latest rows ∪ new batch).
+
+    The result of an epoch is a version of its own, built from the newest whole
+    version before it.  A replayed epoch reads the same input and replaces only
+    itself; versions that no replay can need any more are removed.
+    """
 
     def body(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        target = f"{state_path}/v{epoch:08d}"
-        prev = _read_version(spark, state_path)
+        before = [v for v in _versions(spark, state_path) if v < epoch]
         merged = batch
-        if prev is not None:
-            merged = spark.read.parquet(f"{state_path}/v{prev:08d}").unionByName(batch)
-        latest_per_id(merged, id_col, date_col, tiebreak).write.mode("overwrite").parquet(target)
-        spark.createDataFrame([(epoch,)], "v long").coalesce(1).write.mode("overwrite") \
-            .parquet(f"{state_path}/_version")
+        if before:
+            merged = spark.read.parquet(f"{state_path}/v{before[-1]:08d}").unionByName(batch)
+        _write_epoch(latest_per_id(merged, id_col, date_col, tiebreak), state_path, epoch)
+        for v in before[:-1]:
+            _remove(spark, f"{state_path}/v{v:08d}")
 
     return body
 
 
-def _read_version(spark: SparkSession, state_path: str) -> int | None:
-    from ..session import path_exists
+def _hadoop(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Epochs whose folder under ``path`` was written to its end, in order."""
+    hpath, fs = _hadoop(spark, f"{path}/v*/_SUCCESS")
+    return sorted(int(x.getPath().getParent().getName()[1:]) for x in fs.globStatus(hpath) or [])
+
 
-    if not path_exists(spark, f"{state_path}/_version"):
-        return None
-    row = spark.read.parquet(f"{state_path}/_version").first()
-    return None if row is None else int(row["v"])
+def _remove(spark: SparkSession, path: str) -> None:
+    hpath, fs = _hadoop(spark, path)
+    fs.delete(hpath, True)
 
 
 def latest_table(spark: SparkSession, state_path: str) -> DataFrame:
-    v = _read_version(spark, state_path)
-    if v is None:
+    done = _versions(spark, state_path)
+    if not done:
         raise FileNotFoundError(f"no merged state under {state_path}")
-    return spark.read.parquet(f"{state_path}/v{v:08d}")
+    return spark.read.parquet(f"{state_path}/v{done[-1]:08d}")
 
 
 def keep_latest_stream(stream: DataFrame, state_path: str, checkpoint: str,
@@ -125,5 +157,5 @@ def keep_latest_stream(stream: DataFrame, state_path: str, checkpoint: str,
 
 
 __all__: Sequence[str] = ["log_stream", "ingest_with_quarantine", "daily_event_counts",
-                          "run_available", "score_stream", "merge_latest", "latest_table",
+                          "read_epochs", "run_complete", "run_append", "score_stream", "merge_latest", "latest_table",
                           "keep_latest_stream"]
