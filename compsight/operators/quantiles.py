@@ -6,7 +6,7 @@ in one aggregation buffer, which does not survive a group holding a third of
 
   bounds   per (group, target): min and max
   wide     rows inside a range that spans signs, infinities or more than a factor
-           of four -> buckets by sign and binary logarithm
+           of 2^20 -> buckets by sign and binary logarithm
   narrow   rows inside any other range -> 65,536 equal-width buckets
   either   (count, min, max) per bucket (partial aggregation) -> running count per
            (group, target) over the bucket rows -> the bucket holding the k-th
@@ -38,6 +38,8 @@ BUCKETS = 65_536
 #: Buckets for each doubling in a wide range; beyond the largest exponent, the place of infinity.
 PER_OCTAVE = 64
 INFINITE = 4_096
+#: Ranges whose ends differ by a larger factor are wide.
+WIDE = float(1 << 20)
 
 
 def _group_cols(groups: Sequence[str]) -> list[str]:
@@ -78,7 +80,7 @@ def _bucket() -> Column:
     """Bucket of ``x`` in [lo, hi], lo < hi: never falls as x grows, differs between lo and hi."""
     x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
     inf = F.lit(math.inf)
-    narrow = (((lo > 0) & (hi < inf) & (hi <= 4 * lo)) | ((hi < 0) & (lo > -inf) & (lo >= 4 * hi)))
+    narrow = (((lo > 0) & (hi < inf) & (hi <= WIDE * lo)) | ((hi < 0) & (lo > -inf) & (lo >= WIDE * hi)))
     linear = F.least(F.floor((x - lo) / F.nullif(hi - lo, F.lit(0.0)) * F.lit(float(BUCKETS))), F.lit(BUCKETS - 1))
     size = F.when(F.abs(x) == inf, F.lit(float(INFINITE))).otherwise(F.log2(F.abs(x)) + F.lit(1_100.0))
     scaled = F.floor(F.signum(x) * F.coalesce(size, F.lit(0.0)) * F.lit(float(PER_OCTAVE)))
