@@ -25,7 +25,11 @@ from compsight.session import scratch_path
 
 #: White space around a space that another pre-token may reach across.
 ACROSS = re.compile(r"\s (?:\s|\Z)")
-LETTERS_THEN_MARK = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+SPACE = re.compile(r"\s")
+#: Letters of every Unicode version, then marks of ASCII: two pre-tokens.
+LETTERS_THEN_MARK = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([!-/:-@\[-`{-~]+)")
+#: Pieces without white space that are given to the library as the lines of one text.
+LINES = 2000
 
 
 class WordIds:
@@ -34,6 +38,9 @@ class WordIds:
     A byte-level pattern begins a new pre-token at a space before a non-space, so
     a text's ids are those of its chunks in turn.  Texts where white space meets
     a space in another way, or with a special token, go to the library whole.
+    In the same way a line feed between two non-spaces is a pre-token of its own:
+    a chunk is learnt from its lines, and new pieces are encoded as lines of one text.
+    A memo key begins with NUL where no space precedes.
     """
 
     def __init__(self, spec: str):
@@ -41,44 +48,82 @@ class WordIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.feed = self._ids(["\n"])[0]
         self.memo: dict[str, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _pieces(chunk: str) -> list[str] | None:
+        """Memo keys of a chunk's pieces, a line feed's between its lines; None if white space stands in another way."""
+        lead, out = "", []
+        for line in chunk.split("\n"):
+            if line in ("", "\0") or SPACE.search(line):
+                return None
+            if out:
+                out.append("\0\n")
+                lead = "\0"
+            start = 1 if line[0] == "\0" else 0
+            m = LETTERS_THEN_MARK.fullmatch(line, start)
+            if m:
+                out += [lead + line[:m.end(1)], "\0" + m[2]]
+            else:
+                out.append(lead + line)
+        return out
+
     def _learn(self, missing: set[str]) -> None:
         memo = self.memo
         if len(memo) + len(missing) > MEMO_ENTRIES:
             memo.clear()
-        # A word and the marks after it are two pre-tokens: "word" is often known.
-        cut = {c: m.groups() for c in missing if (m := LETTERS_THEN_MARK.fullmatch(c))}
-        need = [c for c in missing if c not in cut]
-        need += [w for w in {p for pair in cut.values() for p in ((pair[0]), "\0" + pair[1])}
-                 if w not in memo and w not in missing]
-        texts = [c[1:] if c[:1] == "\0" else " " + c for c in need]
-        for c, e in zip(need, self.library.encode_batch_fast(texts, add_special_tokens=False)):
-            memo[c] = np.asarray(e.ids, "<u4").tobytes()
-        for c, (word, marks) in cut.items():
-            memo[c] = memo[word] + memo["\0" + marks]
+        memo["\0\n"] = self.feed
+        cut = {c: self._pieces(c) for c in missing}
+        odd = [c for c, parts in cut.items() if parts is None]
+        memo.update(zip(odd, self._ids([c[1:] if c[:1] == "\0" else " " + c for c in odd])))
+        need = list({p for parts in cut.values() if parts for p in parts if p not in memo})
+        width = len(self.feed)
+        for lo in range(0, len(need), LINES):
+            part = need[lo:lo + LINES]
+            text = "\n".join([c[1:] if c[0] == "\0" else " " + c for c in part])
+            raw = self._ids([text])[0]
+            ends = np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(self.feed, "<u4")[0]) * 4
+            at = 0
+            for c, end in zip(part, ends.tolist() + [len(raw)]):
+                memo[c] = raw[at:end]
+                at = end + width
+        for c, parts in cut.items():
+            if parts and len(parts) > 1:
+                memo[c] = b"".join([memo[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = []
-        for t in texts:
+        out: list[bytes | None] = [None] * len(texts)
+        get, whole, later = self.memo.get, [], []
+        missing: set[str] = set()
+        for i, t in enumerate(texts):
             if "\0" in t or ACROSS.search(t) or any(s in t for s in self.special):
-                split.append(None)
-            else:
-                chunks = t.split(" ")
-                chunks[0] = "\0" + chunks[0]
-                split.append(chunks)
-        memo = self.memo
-        missing = {c for chunks in split if chunks for c in chunks if c not in memo}
+                whole.append(i)
+                continue
+            chunks = t.split(" ")
+            chunks[0] = "\0" + chunks[0]
+            ids = list(map(get, chunks))
+            try:
+                out[i] = b"".join(ids)
+            except TypeError:  # a chunk is new
+                new = [(j, c) for j, c in enumerate(chunks) if ids[j] is None]
+                missing.update([c for _, c in new])
+                later.append((i, ids, new))
         if missing:
-            if len(memo) + len(missing) > MEMO_ENTRIES:  # emptied: what was known is missing too
-                missing = {c for chunks in split if chunks for c in chunks}
-                memo.clear()
             self._learn(missing)
-        whole = [t for t, chunks in zip(texts, split) if chunks is None]
-        rest = iter(self.library.encode_batch_fast(whole, add_special_tokens=False) if whole else [])
-        return [np.asarray(next(rest).ids, "<u4").tobytes() if chunks is None
-                else b"".join(map(memo.__getitem__, chunks)) for chunks in split]
+        for i, ids, new in later:
+            for j, c in new:
+                ids[j] = self.memo[c]
+            out[i] = b"".join(ids)
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
+            out[i] = ids
+        return out
 
 
 _LOADED: dict[int, WordIds] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -340,3 +341,16 @@ def test_nearest_equals_brute_force(spark):
 def test_held_out_ids(spark):
     rows = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
+
+
+def test_word_ids_equal_the_library_on_odd_white_space_and_full_memos(monkeypatch):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        words = packing.WordIds(f.read())
+    monkeypatch.setattr(packing, "MEMO_ENTRIES", 200)
+    parts = ["a", "Zé", "word", "can't", "12", "²", "漢字", "́", "Ġ", "Ċ", "×", "ʰ", "_", "'s", "'", "!", "$$$", "😀",
+             " ", "  ", "\n", "\n ", " \n", "\t", "\r", " ", "\u0085", "\x1c", "\0", "<|endoftext|>"]
+    rng = random.Random(3)
+    texts = [""] + ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(8000)]
+    got = [ids for i in range(0, len(texts), 40) for ids in words.encode(texts[i:i + 40])]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in words.library.encode_batch(texts, add_special_tokens=False)]
+    assert got == want
