@@ -263,3 +263,17 @@ def identify_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` (text, lang, source) identified: ``lang`` is what was declared, ``source`` the host."""
     model = fit(docs, F.col("lang"))
     return identify(docs, model, F.col("lang"), F.col("source"), F.lit(None).cast("string"))
+
+
+def identify_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """One row per row of ``pages`` (page_id, url, html): page_id, text, lang, host and what ``identify`` adds.
+
+    Pages are a corpus of their own: text without markup, the language that the html tag
+    declares, the address with its host, domain and suffix.
+    """
+    path = scratch_path(spark, "pages")
+    (pages.select("page_id", markup_text(F.col("html")).alias("text"), markup_language(F.col("html")).alias("lang"),
+                  host_of(F.col("url")).alias("host")).write.parquet(path))  # markup is parsed once, texts are read four times
+    texts = spark.read.parquet(path)
+    host = F.col("host")
+    return identify(texts, fit(texts, F.col("lang"), id_col="page_id"), F.col("lang"), host, suffix_of(host))

@@ -79,11 +79,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document from text, declared language and host, and whether it is kept."""
+    """Language of every document and every page, and whether it is kept; a row has a doc_id or a page_id.
+
+    Documents have text, declared language and host; pages text, declared markup and
+    address (host, domain, suffix).
+    """
+    found = [F.col("lid").alias("language"), F.col("lid_posterior").alias("posterior"),
+             F.col("lid_text").alias("text_language"), F.col("lid_kept").alias("kept")]
+    none = F.lit(None).cast("long")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return language_id.identify_documents(spark, docs).select(
-        "doc_id", F.col("lid").alias("language"), F.col("lid_posterior").alias("posterior"),
-        F.col("lid_text").alias("text_language"), F.col("lid_kept").alias("kept"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return language_id.identify_documents(spark, docs).select("doc_id", *found, none.alias("page_id")).unionByName(
+        language_id.identify_pages(spark, pages).select(none.alias("doc_id"), *found, "page_id"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
