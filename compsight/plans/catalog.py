@@ -208,6 +208,13 @@ def drop_constant_columns_q(spark, sf_dir):
     return clean.drop_constant_columns(prep.loaded(spark, sf_dir).filter(F.col(C.ID_COL).isNull()))
 
 
+@register("drop_constant_columns_all", Q.with_ctes(Q.LOADED_CTE, body="""
+SELECT * FROM loaded"""))
+def drop_constant_columns_all_q(spark, sf_dir):
+    """FLT-6 / AGG-7/8 on all loaded comps, where every column varies and stays."""
+    return clean.drop_constant_columns(prep.loaded(spark, sf_dir))
+
+
 # ====================================================================== flagship
 @register("city_summary", Q.with_ctes(Q.LOADED_CTE, Q.LATEST_CTE, Q.CLEAN_CTE, Q.FEATURES_CTE, body="""
 SELECT city, CAST(count(*) AS BIGINT) AS n_comps,
@@ -457,6 +464,15 @@ def null_profile_q(spark, sf_dir):
     return agg.null_profile(df, standins.COMPS_COLUMNS)
 
 
+@register("null_profile_all", Q.with_ctes(Q.LOADED_CTE, body=" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS n_values, count({c}) = 0 AS all_null, "
+    f"COALESCE(min({c}) < max({c}), false) AS varies FROM loaded"
+    for c in standins.COMPS_COLUMNS)))
+def null_profile_all_q(spark, sf_dir):
+    """AGG-7/8: per-column value count, all-NULL and constant flags of all loaded comps."""
+    return agg.null_profile(prep.loaded(spark, sf_dir), standins.COMPS_COLUMNS)
+
+
 @register("event_filter_counts", f"""
 SELECT CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS n_matching,
        CAST(count(*) AS BIGINT) AS n_total FROM events""")
