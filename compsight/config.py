@@ -27,6 +27,8 @@ CATEGORICAL_FEATURES = ["city"]
 MONTH_WINDOW = 6
 TEST_SIZE = 0.2
 RANDOM_STATE = 42
+FOREST_TREES = 400
+FOREST_DEPTH = 30  # the most that Spark builds; the reference sets no limit
 P_VALUE_THRESHOLD = 0.05
 RARE_MIN_COUNT = 25
 RIDGE_ALPHAS = (0.1, 1.0, 10.0)

@@ -783,14 +783,14 @@ def train_test_metrics_q(spark, sf_dir):
 @register("forest_fit_predict")
 def forest_fit_predict_q(spark, sf_dir):
     """MOD-2 + MOD-3: random forest on log(target), predictions for every row."""
-    t = TR.train_forest(prep.cleaned(spark, sf_dir), num_trees=20, max_depth=8)
+    t = TR.train_forest(prep.cleaned(spark, sf_dir))
     return TR.forest_predictions(t)
 
 
 @register("forest_importances")
 def forest_importances_q(spark, sf_dir):
     """STAT-8: forest feature importances joined to the design names."""
-    t = TR.train_forest(prep.cleaned(spark, sf_dir), num_trees=20, max_depth=8)
+    t = TR.train_forest(prep.cleaned(spark, sf_dir))
     return _tidy(spark, list(t.importances.items()), "feature")
 
 

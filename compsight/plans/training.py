@@ -108,10 +108,12 @@ class ForestTraining:
     features: list[str]
     design: DataFrame
     importances: dict[str, float]
+    collapse: FE.RareCollapse
+    transformer: FE.ColumnTransformerModel
 
 
-def train_forest(df: DataFrame, num_trees: int = 50, max_depth: int = 10, max_bins: int = 64,
-                 seed: int = C.RANDOM_STATE) -> ForestTraining:
+def train_forest(df: DataFrame, num_trees: int = C.FOREST_TREES, max_depth: int = C.FOREST_DEPTH,
+                 max_bins: int = 64, seed: int = C.RANDOM_STATE) -> ForestTraining:
     """Random forest on log(target): bootstrap, all features per split.
 
     Forest features use the forest definitions (null-as-0 cost, ratio NULL
@@ -121,7 +123,8 @@ def train_forest(df: DataFrame, num_trees: int = 50, max_depth: int = 10, max_bi
     from pyspark.ml.regression import RandomForestRegressor
 
     df = cut_lineage(split_flags(df))
-    df = FE.RareCollapse.fit(df.filter(~F.col("is_test")), "city").transform(df)
+    collapse = FE.RareCollapse.fit(df.filter(~F.col("is_test")), "city")
+    df = collapse.transform(df)
     df = df.withColumns({
         "total_cost": F.coalesce(F.col(C.PURCHASE_COL), F.lit(0.0))
         + F.coalesce(F.col(C.REHAB_COL), F.lit(0.0))})
@@ -138,7 +141,7 @@ def train_forest(df: DataFrame, num_trees: int = 50, max_depth: int = 10, max_bi
                                featureSubsetStrategy="all", bootstrap=True, seed=seed)
     model = rf.fit(vec.filter(~F.col("is_test")))
     imp = model.featureImportances.toArray()
-    return ForestTraining(model, names, vec, {n: float(v) for n, v in zip(names, imp)})
+    return ForestTraining(model, names, vec, {n: float(v) for n, v in zip(names, imp)}, collapse, ct)
 
 
 def forest_predictions(t: ForestTraining) -> DataFrame:

@@ -3,8 +3,8 @@
 A fitted linear model is stored as small tables under one folder of the
 shared file system: ``params`` (term, value), ``transformer`` (fitted
 imputation / scaling / categories), ``meta`` (one JSON record) and
-``diagnostics`` (test, feature, statistic, value).  Forest models use
-Spark ML's own writer.
+``diagnostics`` (test, feature, statistic, value).  A forest is ``model``, by Spark
+ML's own writer, and its ``transformer``.
 """
 
 from __future__ import annotations
@@ -45,14 +45,8 @@ def save_linear(spark: SparkSession, path: str, training, meta: dict,
     params += [(c, float(b)) for c, b in zip(r.cols, r.coef)]
     spark.createDataFrame(params, "term string, value double").coalesce(1) \
         .write.mode("overwrite").parquet(f"{path}/params")
-    ct = training.transformer
-    fitted = {"numeric": ct.numeric, "categorical": ct.categorical, "medians": ct.medians,
-              "scaling": {k: list(v) for k, v in ct.scaling.items()}, "modes": ct.modes,
-              "categories": ct.categories, "kept": training.collapse.kept,
-              "transform": r.transform, "ratio_mode": training.ratio_mode,
-              "cost_nulls": training.cost_nulls}
-    spark.createDataFrame([(json.dumps(fitted),)], "fitted string").coalesce(1) \
-        .write.mode("overwrite").parquet(f"{path}/transformer")
+    _save_transformer(spark, path, training, {"transform": r.transform, "ratio_mode": training.ratio_mode,
+                                              "cost_nulls": training.cost_nulls})
     spark.createDataFrame([meta], META_SCHEMA).coalesce(1).write.mode("overwrite") \
         .json(f"{path}/meta")
     spark.createDataFrame(diagnostics, "test string, feature string, statistic string, "
@@ -60,6 +54,29 @@ def save_linear(spark: SparkSession, path: str, training, meta: dict,
         .write.mode("overwrite").parquet(f"{path}/diagnostics")
 
 
+def _save_transformer(spark: SparkSession, path: str, training, more: dict) -> None:
+    ct = training.transformer
+    fitted = {"numeric": ct.numeric, "categorical": ct.categorical, "medians": ct.medians,
+              "scaling": {k: list(v) for k, v in ct.scaling.items()}, "modes": ct.modes,
+              "categories": ct.categories, "kept": training.collapse.kept, **more}
+    spark.createDataFrame([(json.dumps(fitted),)], "fitted string").coalesce(1) \
+        .write.mode("overwrite").parquet(f"{path}/transformer")
+
+
+def save_forest(spark: SparkSession, path: str, training) -> None:
+    """SNK-3: write every tree of a forest, its fitted transformer and the order of its features."""
+    training.model.write().overwrite().save(f"{path}/model")
+    _save_transformer(spark, path, training, {"transform": "log", "ratio_mode": "train_forest",
+                                              "cost_nulls": "zero", "features": training.features})
+
+
+def load_forest(path: str):
+    """SRC-4: the saved forest; it predicts from a vector column ``features``."""
+    from pyspark.ml.regression import RandomForestRegressionModel
+
+    return RandomForestRegressionModel.load(f"{path}/model")
+
+
 def load_params(spark: SparkSession, path: str) -> dict[str, float]:
     """SRC-4: the (small) parameter table as a dict for literal expressions."""
     return {r["term"]: r["value"] for r in spark.read.parquet(f"{path}/params").collect()}
