@@ -7,7 +7,10 @@ towards the corpus.  Texts alone give a first posterior; grouped sums of it
 give the priors of hosts and suffixes; the second posterior joins them in.
 
 The trigram models are fitted on a bounded sample of documents that declare a
-language; all counts behind the priors cover all rows.
+language; all counts behind the priors cover all rows.  Texts fall into two halves by
+a hash, so that copies stay together, and each half is judged by models of the other.
+A declared tag is a language if enough texts declare it and if a model of one half
+predicts the other better than single letters do, which random letters cannot.
 """
 
 from __future__ import annotations
@@ -25,8 +28,16 @@ from compsight.session import scratch_path
 
 #: Buckets of hashed byte trigrams.
 BUCKETS = 1 << 15
-#: Rows per language that the trigram model is fitted on.
+#: Rows per language and half that a trigram model is fitted on.
 FIT_ROWS = 1500
+#: Least texts (copies count once) that declare a language, and least gain per trigram over single letters
+#: (mean log-likelihood of texts that the model has not seen).
+LEAST_TEXTS = 10
+LEAST_GAIN = 0.5
+#: Tags that stand for no, an unknown or more than one language.
+NO_LANGUAGE = ("und", "mul", "zxx", "mis", "xx", "zz")
+#: Tags of three letters for languages that have one of two.
+SHORT_TAG = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es"}
 #: Trigrams of a text overlap and repeat: a text of n counts as n ** TEMPER independent ones.
 TEMPER = 0.6
 #: Weight of a corpus-wide prior against a host's, and a domain's, own documents.
@@ -39,6 +50,9 @@ SUFFIX_TRUST = 0.7
 #: against that of the language's own texts, that a document is kept with.
 MIN_POSTERIOR = 0.5
 MAX_SURPRISE = 5.0
+#: Least trigrams with a letter that a kept document has, unless at least half of its trigrams are such
+#: (one short word); trigrams without a letter say nothing and are not counted.
+LEAST_TRIGRAMS = 3
 #: Country suffixes and the language that they stand for.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es",
                    "uk": "en", "us": "en", "au": "en", "ie": "en"}
@@ -50,6 +64,12 @@ def trigrams(data: np.ndarray) -> np.ndarray:
     return ((x[:-2] * 961 + x[1:-1] * 31 + x[2:]) * 40503 >> 3) & (BUCKETS - 1)
 
 
+def lettered(data: np.ndarray) -> np.ndarray:
+    """Whether the trigram that begins at each byte holds a letter."""
+    x = FOLD[data] != 32
+    return x[:-2] | x[1:-1] | x[2:]
+
+
 def _fold() -> np.ndarray:
     """Letters and bytes of longer characters; a run of anything else reads as a space."""
     t = np.full(256, 32, np.uint8)
@@ -63,70 +83,113 @@ FOLD = _fold()
 
 @dataclass
 class Model:
-    """Log-likelihood of each bucket per language, and how surprising a language's own texts are."""
+    """Log-likelihood of each bucket per language, and how surprising a language's own texts are.
+
+    ``loglik[h]`` judges texts of half ``h`` and is fitted on those of the other.
+    """
 
     languages: list[str]
     loglik: np.ndarray = field(repr=False)
     expected: np.ndarray = field(repr=False)
 
 
+def language_tag(declared: Column) -> Column:
+    """Primary part of a whole language tag (de, de-AT, deu); null for anything else."""
+    tag = F.regexp_extract(F.lower(F.trim(declared)), r"^([a-z]{2,3})(?:[-_][a-z0-9]{1,8})*$", 1)
+    short = F.create_map(*[F.lit(x) for kv in SHORT_TAG.items() for x in kv])
+    return F.when((tag != "") & ~tag.isin(*NO_LANGUAGE), F.coalesce(F.try_element_at(short, tag), tag))
+
+
+def half_of(text: Column) -> Column:
+    """0 or 1, the same for equal texts."""
+    return F.pmod(F.xxhash64(text, F.lit("half")), F.lit(2)).cast("int")
+
+
 def fit(docs: DataFrame, declared: Column, text: str = "text", id_col: str = "doc_id",
         rows: int = FIT_ROWS) -> Model:
-    """Trigram counts of a sample: of each declared language about ``rows`` documents at most.
+    """Trigram counts of a sample: of each declared language about ``rows`` documents a half at most.
 
     The sample is chosen by a hash of the id.  Counters come to the driver (``BUCKETS``
-    for each language), no texts.
+    and 256 for each half of a language), no texts.
     """
-    slim = docs.select(F.lower(F.trim(declared)).substr(1, 2).alias("lang"), text_col(docs, text).alias("text"),
+    slim = docs.select(language_tag(declared).alias("lang"), text_col(docs, text).alias("text"),
                        F.xxhash64(F.col(f"`{id_col}`"), F.lit("language")).alias("h"))
-    slim = slim.where(F.col("lang").rlike("^[a-z]{2}$") & (F.octet_length("text") >= 20))
-    counts = {r.lang: r.n for r in slim.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    slim = slim.where(F.col("lang").isNotNull() & (F.octet_length("text") >= 20))
+    counts = {r.lang: r.n for r in slim.groupBy("lang").agg(
+        F.count("*").alias("n"), F.count_distinct(F.xxhash64("text")).alias("texts")).where(
+        F.col("texts") >= LEAST_TEXTS).collect()}
     if not counts:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    # A share of the hash range, so that choosing needs no sort; about ``rows`` of each language.
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, rows / n)))])
+        return _model({})
+    # A share of the hash range, so that choosing needs no sort; about ``rows`` of each half of a language.
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2 * rows / n)))])
     at = (F.col("h").cast("double") / F.lit(2.0**64) + 0.5)
-    chosen = slim.where(at < F.element_at(share, F.col("lang")))
+    chosen = slim.where(at < F.try_element_at(share, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[tuple[str, int], np.ndarray] = {}
+
+        def flushed():
+            for (lang, half), c in sums.items():
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(at), pa.string()), pa.array([half] * len(at), pa.int32()), pa.array(at),
+                     pa.array(c[at])], ["lang", "half", "at", "n"])
+            sums.clear()
+
         for b in batches:
-            for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for lang, half, t in zip(*(c.to_pylist() for c in b.columns)):
                 raw = np.frombuffer(b" " + t.encode() + b" ", np.uint8)
-                c = np.bincount(trigrams(raw), minlength=BUCKETS)
-                sums[lang] = sums[lang] + c if lang in sums else c
-        for lang, c in sums.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(c[at])],
-                                             ["lang", "at", "n"])
-
-    got = (chosen.select("lang", "text").mapInArrow(count, "lang string, at long, n long")
-           .groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas())
-    languages = sorted(set(got["lang"]))
-    n = np.zeros((BUCKETS, len(languages)))
-    for j, lang in enumerate(languages):
-        own = got[got["lang"] == lang]
-        n[own["at"].to_numpy(), j] = own["n"].to_numpy()
-    p = (n + 0.05) / (n.sum(0) + 0.05 * BUCKETS)
-    loglik = np.log(p)
-    return Model(languages, loglik.astype(np.float32), (n * loglik).sum(0) / np.maximum(1, n.sum(0)))
-
-
-def _means(texts: pa.Array, loglik: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean log-likelihood of each text's trigrams per language, and how many trigrams it has."""
+                said, x = lettered(raw), FOLD[raw]
+                c = np.bincount(trigrams(raw)[said], minlength=BUCKETS + 256)
+                for y in (x[:-2], x[1:-1], x[2:]):  # after the trigrams: the letters that they are made of
+                    c[BUCKETS:] += np.bincount(y[said], minlength=256)
+                sums[lang, half] = sums[lang, half] + c if (lang, half) in sums else c
+            if len(sums) > 100:
+                yield from flushed()
+        yield from flushed()
+
+    got = (chosen.select("lang", half_of(F.col("text")).alias("half"), "text")
+           .mapInArrow(count, "lang string, half int, at long, n long")
+           .groupBy("lang", "half", "at").agg(F.sum("n").alias("n")).toPandas())
+    sums = {lang: np.zeros((2, BUCKETS + 256)) for lang in sorted(set(got["lang"]))}
+    for (lang, half), own in got.groupby(["lang", "half"]):
+        sums[lang][half, own["at"].to_numpy()] = own["n"].to_numpy()
+    return _model(sums)
+
+
+def _model(sums: dict[str, np.ndarray]) -> Model:
+    """Models of the tags whose texts they predict; counts of trigrams and then of letters, by half."""
+    languages, loglik, expected = [], [], []
+    for lang, n in sums.items():
+        other = n[::-1]  # what judges a half is fitted on the other
+        tri, single = (np.log((c + 0.05) / (c.sum(1, keepdims=True) + 0.05 * c.shape[1]))
+                       for c in (other[:, :BUCKETS], other[:, BUCKETS:]))
+        total = max(1.0, n[:, :BUCKETS].sum())
+        mean, by_letter = (n[:, :BUCKETS] * tri).sum() / total, (n[:, BUCKETS:] * single).sum() / total
+        if mean - by_letter >= LEAST_GAIN:
+            languages.append(lang)
+            loglik.append(tri.astype(np.float32))
+            expected.append(mean)
+    return Model(languages, np.stack(loglik, 2) if loglik else np.zeros((2, BUCKETS, 0), np.float32), np.array(expected))
+
+
+def _means(texts: pa.Array, half: np.ndarray, loglik: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean log-likelihood of each text's trigrams with a letter per language, and how many it has."""
     offs = offsets_of(texts).astype(np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[offs[0]:offs[-1]] if offs[-1] > offs[0] else np.zeros(0, np.uint8)
-    start = offs[:-1] - offs[0]
+    start, k = offs[:-1] - offs[0], loglik.shape[2]
     n = np.maximum(0, np.diff(offs) - 2)
-    means = np.zeros((len(n), loglik.shape[1]))
+    means = np.zeros((len(n), k))
     some = np.flatnonzero(n)
     if len(some):
-        at = trigrams(raw)
+        said = np.append(lettered(raw), False)
+        at = trigrams(raw) + BUCKETS * np.repeat(half, np.diff(offs))[:len(raw) - 2]
         # Sums between begin and begin + n of each text; what lies between texts is left out.
         cuts = np.stack([start[some], start[some] + n[some]], 1).ravel()
-        for j in range(loglik.shape[1]):
-            line = np.append(loglik[:, j][at], np.float32(0)).astype(np.float64)
-            means[some, j] = np.add.reduceat(line, cuts)[::2] / n[some]
+        n[some] = np.add.reduceat(said.astype(np.int64), cuts)[::2]
+        for j in range(k):
+            line = np.append(loglik[:, :, j].ravel()[at], np.float32(0)).astype(np.float64) * said
+            means[some, j] = np.add.reduceat(line, cuts)[::2] / np.maximum(1, n[some])
     return means, n
 
 
@@ -156,8 +219,8 @@ def identify(docs: DataFrame, model: Model, declared: Column, host: Column, suff
              text: str = "text") -> DataFrame:
     """``docs`` plus ``lid string``, ``lid_posterior double``, ``lid_text string`` and ``lid_kept boolean``.
 
-    Null or unknown declarations, hosts and suffixes give no evidence.  A text with no
-    trigram has only its other evidence and is rejected; so is one whose
+    Null or unknown declarations, hosts and suffixes give no evidence.  A text with
+    fewer trigrams that hold a letter than ``LEAST_TRIGRAMS`` asks for is rejected; so is one whose
     best posterior is under ``MIN_POSTERIOR`` or whose text is far from anything that
     its language's texts look like.  Ties go to the language first in the alphabet.
     Without any known language every document is rejected.
@@ -171,15 +234,15 @@ def identify(docs: DataFrame, model: Model, declared: Column, host: Column, suff
     shared = spark.sparkContext.broadcast(model)  # BUCKETS numbers for each language
     number = {x: j for j, x in enumerate(langs)}
     told = plain.withColumns({
-        "__host": host, "__declared": _number(F.lower(F.trim(declared)).substr(1, 2), number),
+        "__host": host, "__declared": _number(language_tag(declared), number),
         "__suffix": _number(F.lower(suffix), {s: number[x] for s, x in SUFFIX_LANGUAGE.items() if x in number})})
     none = F.array(*[F.lit(0.0)] * k)
 
     def first():
         loglik = shared.value.loglik
 
-        def fn(texts, says, suffixes):
-            means, n = _means(texts, loglik)
+        def fn(texts, half, says, suffixes):
+            means, n = _means(texts, half.to_numpy(), loglik)
             p = fuse(means, n, says.to_numpy(), suffixes.to_numpy(), np.zeros_like(means))
             return list(pa.array(p[:, j]) for j in range(k))
         return fn
@@ -187,7 +250,7 @@ def identify(docs: DataFrame, model: Model, declared: Column, host: Column, suff
     # Texts are read twice, once to sum the priors and once to judge: they are neither shuffled nor kept.
     names = [f"p{j}" for j in range(k)]
     seen = told.select("__host", text_col(told, text).alias("text"), "__declared", "__suffix")
-    seen = add_columns(seen, [F.col("text"), F.col("__declared"), F.col("__suffix")],
+    seen = add_columns(seen, [F.col("text"), half_of(F.col("text")), F.col("__declared"), F.col("__suffix")],
                        ", ".join(f"{x} double" for x in names), first)
     # Fractions as integers: their sums do not depend on the order of rows.
     units = 1 << 20
@@ -221,16 +284,17 @@ def identify(docs: DataFrame, model: Model, declared: Column, host: Column, suff
     def last():
         m = shared.value
 
-        def fn(texts, says, suffixes, prior):
-            means, n = _means(texts, m.loglik)
+        def fn(texts, half, says, suffixes, prior):
+            means, n = _means(texts, half.to_numpy(), m.loglik)
             p = fuse(means, n, says.to_numpy(), suffixes.to_numpy(), prior.flatten().to_numpy().reshape(-1, k))
             best, rows = p.argmax(1), np.arange(len(p))
-            kept = (n > 0) & (p[rows, best] >= MIN_POSTERIOR) & (means[rows, best] >= m.expected[best] - MAX_SURPRISE)
+            said = (n > 0) & ((n >= LEAST_TRIGRAMS) | (2 * n >= np.diff(offsets_of(texts)) - 2))
+            kept = said & (p[rows, best] >= MIN_POSTERIOR) & (means[rows, best] >= m.expected[best] - MAX_SURPRISE)
             return [pa.array([langs[j] for j in best], pa.string()), pa.array(p[rows, best]),
                     pa.array([langs[j] if c else None for j, c in zip(means.argmax(1), n)], pa.string()), pa.array(kept)]
         return fn
 
-    out = add_columns(joined, [text_col(joined, text), F.col("__declared"), F.col("__suffix"),
+    out = add_columns(joined, [text_col(joined, text), half_of(text_col(joined, text)), F.col("__declared"), F.col("__suffix"),
                                F.coalesce("__prior", none)],
                       "lid string, lid_posterior double, lid_text string, lid_kept boolean", last)
     return out.drop("__host", "__known", "__declared", "__suffix", "__prior")
@@ -250,8 +314,7 @@ def suffix_of(host: Column) -> Column:
 
 def markup_language(html: Column) -> Column:
     """The language that an html tag declares."""
-    s = F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1)
-    return F.when(s != "", F.lower(s))
+    return language_tag(F.regexp_extract(html, r"(?i)<html\b[^>]*?(?<![\w-])lang\s*=\s*[\"']?([\w-]+)", 1))
 
 
 def markup_text(html: Column) -> Column:

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from compsight.llm import language_id as L
 from compsight.llm.queries import QUERIES
@@ -25,7 +26,7 @@ def prose(rng, lang, n=15):
 
 
 def fused(rows, model):
-    """Posterior of rows (text, declared, host) by language, in plain Python."""
+    """Posterior of rows (text, half, declared, host) by language, in plain Python."""
     langs, k = model.languages, len(model.languages)
 
     def told(x, trust):
@@ -37,16 +38,16 @@ def fused(rows, model):
         return p / p.sum()
 
     base = []
-    for text, declared, host in rows:
+    for text, half, declared, host in rows:
         raw = np.frombuffer(text.encode(), np.uint8)
-        at = L.trigrams(raw) if len(raw) > 2 else np.zeros(0, int)
-        mean = [sum(float(model.loglik[a, j]) for a in at) / max(1, len(at)) for j in range(k)]
+        at = L.trigrams(raw)[L.lettered(raw)] if len(raw) > 2 else np.zeros(0, int)
+        mean = [sum(float(model.loglik[half, a, j]) for a in at) / max(1, len(at)) for j in range(k)]
         suffix = L.SUFFIX_LANGUAGE.get((re.search(r"\.([a-z]+)$", host or "") or [0, ""])[1])
         base.append([m * len(at) ** L.TEMPER + a + b for m, a, b in
                      zip(mean, told(declared, L.DECLARED_TRUST), told(suffix, L.SUFFIX_TRUST))])
     hosts, domains, corpus = (defaultdict(lambda: np.zeros(k)) for _ in range(3))
     domain = {}
-    for (_, _, host), logs in zip(rows, base):
+    for (*_, host), logs in zip(rows, base):
         corpus[0] += posterior(logs)
         if host is not None:
             hosts[host] += posterior(logs)
@@ -55,7 +56,7 @@ def fused(rows, model):
                 domains[tuple(domain[host])] += posterior(logs)
     c = (corpus[0] + 1) / (corpus[0].sum() + k)
     out = []
-    for (_, _, host), logs in zip(rows, base):
+    for (*_, host), logs in zip(rows, base):
         if host is None:
             out.append(posterior(logs))
             continue
@@ -83,8 +84,9 @@ def test_pages_are_identified_with_all_their_evidence(spark, tmp_path):
     assert Counter(r.page_id for r in rows if r.doc_id is None) == Counter(p[0] for p in pages)
 
     found = L.identify_pages(spark, spark.read.parquet(f"{tmp_path}/pages.parquet"))
-    texts = {r.page_id: (r.text or "", r.lang, r.host) for r in found.collect()}
-    frame = spark.createDataFrame([(p[0], *texts[p[0]]) for p in pages], "page_id long, text string, lang string, host string")
+    texts = {r.page_id: (r.text or "", r.half, r.lang, r.host) for r in found.withColumn(
+        "half", L.half_of(F.coalesce("text", F.lit("")))).collect()}
+    frame = spark.createDataFrame([(p[0], *texts[p[0]]) for p in pages], "page_id long, text string, half int, lang string, host string")
     model = L.fit(frame, frame["lang"], id_col="page_id")
     want = {p[0]: x for p, x in zip(pages, fused([texts[p[0]] for p in pages], model))}
     got = {r.page_id: r for r in rows if r.doc_id is None}
@@ -93,3 +95,33 @@ def test_pages_are_identified_with_all_their_evidence(spark, tmp_path):
     assert all(got[i].kept and got[i].language == ("de", "en")[i % 2] for i in range(120))
     assert got[200].language == "de"  # suffix and domain alone
     assert not got[203].kept
+
+
+def test_junk_is_no_language_and_not_kept(spark):
+    rng = np.random.default_rng(3)
+
+    def junk(n=40):
+        return " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(n))
+
+    rows = [(i, prose(rng, ("de", "en")[i % 2], 60), ("de-AT", "en")[i % 2]) for i in range(200)]
+    tags = ("xx", "zz", "unknown", "qq", "est", "sw-KE")
+    rows += [(1000 + i, junk(), tags[i % 6]) for i in range(600)]
+    rows += [(2000 + i, "it" + " va bene" * 8, "it") for i in range(30)]  # one text thirty times
+    rows += [(3000, "4711 0815 " * 30, "en"), (3001, "3.14 -- 99!", None), (3002, "... 12 a", "en"),
+             (3003, "the school 4711 " * 5, "en"), (3004, "which", "en"), (3005, "th.", "en")]
+    docs = spark.createDataFrame([(*r, "src0") for r in rows], "doc_id long, text string, lang string, source string")
+    assert L.fit(docs, F.col("lang")).languages == ["de", "en"]
+    got = {r.doc_id: r for r in L.identify_documents(spark, docs).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].lid_kept and got[i].lid == ("de", "en")[i % 2] for i in range(200))
+    assert not any(got[1000 + i].lid_kept for i in range(600))
+    assert not any(got[i].lid_kept for i in (3000, 3001, 3002)) and all(got[i].lid_kept for i in (3003, 3004, 3005))
+
+
+def test_whole_tags(spark):
+    tags = [" DE_at ", "deu", "zh-Hant-TW", "est", "unknown", "und", "xx", "e", "en us", "", None]
+    frame = spark.createDataFrame([(i, t, f'<HTML data-lang="fr" lang="{t}">') for i, t in enumerate(tags)],
+                                  "i int, t string, h string")
+    rows = frame.select("i", L.language_tag(F.col("t")).alias("a"), L.markup_language(F.col("h")).alias("b")).orderBy("i").collect()
+    assert [r.a for r in rows] == ["de", "de", "zh", "est", None, None, None, None, None, None, None]
+    assert [r.b for r in rows[1:7]] == ["de", "zh", "est", None, None, None]
