@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import operator
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -142,10 +143,26 @@ def fit(stats: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Rule
         return RuleModel([], 0.0)
     flags = sample.select("label", "weight", *[rule_column(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     flags = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="x").transform(flags)
-    lasso = LogisticRegression(labelCol="label", featuresCol="x", weightCol="weight", elasticNetParam=1.0,
-                               regParam=LASSO, standardization=True, maxIter=100).fit(flags.select("x", "label", "weight"))
-    kept = sorted(((abs(v), i, v) for i, v in enumerate(lasso.coefficients.toArray()) if v), reverse=True)
-    return RuleModel([(rules[i], float(v)) for _, i, v in kept[:MAX_RULES]], float(lasso.intercept))
+    flags = flags.select("x", "label", "weight")
+
+    def lasso(penalty: float) -> tuple[list[float], float]:
+        m = LogisticRegression(labelCol="label", featuresCol="x", weightCol="weight", elasticNetParam=1.0,
+                               regParam=penalty, standardization=True, maxIter=100).fit(flags)
+        return m.coefficients.toArray().tolist(), float(m.intercept)
+
+    coefficients, intercept = sparse_enough(lasso)
+    kept = sorted(((abs(v), i, v) for i, v in enumerate(coefficients) if v), reverse=True)
+    return RuleModel([(rules[i], v) for _, i, v in kept], intercept)
+
+
+def sparse_enough(fit: Callable[[float], tuple[list[float], float]]) -> tuple[list[float], float]:
+    """Coefficients and intercept of one fit: the first of growing penalties that leaves at most ``MAX_RULES`` rules."""
+    penalty = LASSO
+    while True:
+        coefficients, intercept = fit(penalty)
+        if sum(v != 0 for v in coefficients) <= MAX_RULES:
+            return coefficients, intercept
+        penalty *= 1.25
 
 
 def score(stats: DataFrame, model: RuleModel) -> DataFrame:
