@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compsight.llm import (ann, bpe, language_id, ngram_join, packing, pii, quality_classifier, quality_rules, sharding,
-                           toxicity)
+from compsight.llm import (ann, bpe, conversations, language_id, lexical_search, mixing, ngram_join, packing, pii,
+                           quality_classifier, quality_rules, sharding, toxicity)
 from compsight.llm.sampling import held_out
 from compsight.session import scratch_path
 
@@ -110,6 +110,55 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 20, 20)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents, sources weighing 3, 1, 2 in turn and 150 % in all, takes of each."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken",
+                        F.transform("draws", lambda d: d["shard"]).alias("shards"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after its damage."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    key = F.coalesce(F.concat(F.lit("a"), F.col("conv_id").cast("string")), F.lit("b"))
+    audits, repaired = conversations.repair(conversations.damage(turns))
+    hashed = conversations.digests(repaired, F.concat_ws(":", "role", "text"))
+    zero = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+            for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return (turns.select("conv_id").distinct().withColumn("key", key).join(audits, "key", "left")
+            .join(hashed, "key", "left")
+            .select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+#: A text's terms: the class is the complement of the contract's, in characters that DuckDB's patterns take.
+_TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[0-9A-Za-z\x{80}-\x{10FFFF}]+')")
+
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+doc AS (SELECT r, doc_id, t, CAST(len(t) AS BIGINT) AS n FROM d WHERE len(t) > 0),
+total AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(n) AS BIGINT) AS l FROM doc),
+word AS (SELECT r, unnest(t) AS term FROM doc),
+tf AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM word GROUP BY ALL),
+item AS (SELECT row_number() OVER () AS i, item_id, list_distinct({_TERMS}) AS t FROM benchmark),
+iterm AS (SELECT i, unnest(t) AS term FROM item),
+df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM iterm) GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, total),
+m AS (SELECT r, doc_id, 10 + (90 * n * nd) // l AS m FROM doc, total),
+score AS (SELECT i, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS score
+          FROM iterm JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY i, r),
+best AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank
+         FROM score JOIN m USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM best JOIN item USING (i) WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
@@ -121,6 +170,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_nearest": op10_nearest,
+    "op11_mixing": op11_mixing,
+    "op12_conversations": op12_conversations,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op13_lexical_search": OP13_SQL}
