@@ -43,9 +43,12 @@ def word_count(text: Column) -> Column:
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2,
         shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, seed: int = SEED,
-        source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", carry_text: bool = False) -> DataFrame:
     """Every row of ``docs`` plus its size, its source's size and target, the words taken and its draws.
 
+    The text is measured and then left behind, so that it is neither exchanged nor written, but with
+    ``carry_text``, which ``mixed_rows`` needs to give whole documents.
+
     Sources in code point order, null last, weigh ``weights`` in turn; together they
     get ``share`` of all words, none more than ``most`` times its own, the excess
     goes to the others by weight.  ``draws`` is an array of (copy, shard, place):
@@ -60,7 +63,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     depends on rows and parameters only, not on partitions or order.  A tree node holds
     one number for each source in one row.
     """
-    kept = [c for c in docs.columns if c.lower() not in _ADDED and not c.startswith("__")]
+    left_out = _ADDED if carry_text else (*_ADDED, text_col.lower())
+    kept = [c for c in docs.columns if c.lower() not in left_out and not c.startswith("__")]
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(*[F.col(f"`{c}`") for c in kept],
                        F.coalesce(F.concat(F.lit("a"), F.col(f"`{source_col}`").cast("string")),

@@ -63,7 +63,7 @@ def test_mix_meets_targets_whole_and_again(spark):
     rows = mix_rows()
     df = spark.createDataFrame(rows, DOC_SCHEMA)
     small = dict(shard_words=4_000, block_words=300)
-    mixed = M.mix(df.repartition(5), **small)
+    mixed = M.mix(df.repartition(5), **small, carry_text=True)
     assert mixed.columns == ["doc_id", "text", "source", "rank", "size", "source_size", "target", "taken", "draws"]
     got = mixed.collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter(r[:2] for r in rows)
@@ -83,13 +83,14 @@ def test_mix_meets_targets_whole_and_again(spark):
         assert 0 <= t - taken[s] <= max(60, 0.001 * t) or t - taken[s] < min(left[s])
     shards = Counter(d.shard for r in got for d in r.draws)
     assert len(shards) == math.ceil(1.5 * sum(sizes.values()) / 4_000)
-    again = M.mix(df.repartition(1).orderBy(F.rand(3)), **small).collect()
+    again = M.mix(df.repartition(1).orderBy(F.rand(3)), **small, carry_text=True).collect()
     key = lambda rs: Counter((r.doc_id, r.text, r.taken, tuple(r.draws)) for r in rs)
     assert key(got) == key(again)
 
 
 def test_mixed_rows_are_in_shard_order(spark):
     mixed = M.mix(spark.createDataFrame(mix_rows(), DOC_SCHEMA), shard_words=4_000, block_words=300)
+    assert "text" not in mixed.columns
     want = Counter((r.doc_id, d.copy, d.shard) for r in mixed.collect() for d in r.draws)
     out = M.mixed_rows(mixed).withColumn("task", F.spark_partition_id()).collect()
     assert Counter((r.doc_id, r.copy, r.shard) for r in out) == want
