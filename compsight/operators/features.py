@@ -1,9 +1,8 @@
 """Feature engineering as fit -> small parameter object -> transform (FEAT-1..9).
 
-Fitting runs a few aggregate jobs and keeps only O(features) numbers (or a
-size-checked category list); ``transform`` is a single ``select`` of literal
-expressions, so applying a fitted transformer never shuffles and stays in
-whole-stage codegen.
+Fitting runs a few aggregate jobs and keeps O(features) numbers; categories stay
+tables at any count, joined as the planner sees fit.  Numeric parameters are literals
+of one ``select``, which stays in whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -18,46 +17,32 @@ from pyspark.sql import types as T
 from .. import config as C
 from ..functions.finance import rehab_ratio, total_cost
 from ..functions.numeric import to_number
+from ..session import stored
 from .clean import coerce_text_columns, column_profile
 from .quantiles import column_medians
 
-MAX_LITERAL_CATEGORIES = 10_000   # above: kept categories stay a DataFrame (join)
-MAX_ONE_HOT_COLUMNS = 1_000       # above: sparse vector encoding
-
-
 # ---------------------------------------------------------------- FEAT-1
 @dataclass
 class RareCollapse:
-    """Values seen fewer than ``min_count`` times (and NULL) become ``other``."""
+    """Values seen fewer than ``min_count`` times (and NULL) become ``other``; ``kept`` (value) is a stored table."""
 
     col: str
+    kept: DataFrame
     min_count: int = C.RARE_MIN_COUNT
     other: str = C.CITY_DEFAULT
-    kept: list[str] | None = None
-    kept_df: DataFrame | None = None
 
     @classmethod
     def fit(cls, df: DataFrame, col: str, min_count: int = C.RARE_MIN_COUNT,
             other: str = C.CITY_DEFAULT) -> RareCollapse:
         counts = (df.filter(F.col(col).isNotNull()).groupBy(col)
                   .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
-                  .select(F.col(col).alias("__kept")))
-        few = counts.limit(MAX_LITERAL_CATEGORIES + 1).collect()
-        if len(few) <= MAX_LITERAL_CATEGORIES:
-            return cls(col, min_count, other, kept=sorted(r["__kept"] for r in few))
-        # unbounded category count: keep as a table, transform joins it
-        return cls(col, min_count, other, kept_df=counts.checkpoint(eager=True))
+                  .select(F.col(col).cast("string").alias("value")))
+        return cls(col, stored(counts, "kept"), min_count, other)
 
     def transform(self, df: DataFrame, out: str | None = None) -> DataFrame:
-        out = out or self.col
-        c = F.col(self.col)
-        if self.kept is not None:
-            hit = c.isin(self.kept) if self.kept else F.lit(False)
-            return df.withColumn(out, F.when(hit, c).otherwise(F.lit(self.other)))
-        joined = df.join(self.kept_df.withColumn("__hit", F.lit(True)),
-                         c == F.col("__kept"), "left")
-        return (joined.withColumn(out, F.when(F.col("__hit"), c).otherwise(F.lit(self.other)))
-                .drop("__kept", "__hit"))
+        hits = self.kept.select(F.col("value").alias("__kept"))
+        return (df.join(hits, F.col(f"`{self.col}`") == F.col("__kept"), "left")
+                .withColumn(out or self.col, F.coalesce(F.col("__kept"), F.lit(self.other))).drop("__kept"))
 
 
 def preprocess(df: DataFrame, collapse: RareCollapse | None = None,
@@ -107,13 +92,10 @@ def most_frequent(df: DataFrame, col: str):
 
 # ---------------------------------------------------------------- FEAT-6
 def fit_categories(df: DataFrame, col: str, fill=None) -> list:
-    """Sorted distinct values (after imputation) with a size check."""
+    """Sorted distinct values (after imputation): the names of dummy columns.  Models do not need
+    them (``linear`` takes the category column itself)."""
     c = F.col(col) if fill is None else F.coalesce(F.col(col), F.lit(fill))
-    vals = (df.select(c.alias("__v")).filter(F.col("__v").isNotNull()).distinct()
-            .limit(MAX_ONE_HOT_COLUMNS + 1).collect())
-    if len(vals) > MAX_ONE_HOT_COLUMNS:
-        raise ValueError(f"{col}: more than {MAX_ONE_HOT_COLUMNS} categories; use "
-                         "one_hot_vector() for a sparse encoding")
+    vals = df.select(c.alias("__v")).filter(F.col("__v").isNotNull()).distinct().collect()
     return sorted(r["__v"] for r in vals)
 
 
@@ -149,9 +131,9 @@ def one_hot_vector(df: DataFrame, col: str, out: str = "onehot") -> DataFrame:
 # ---------------------------------------------------------------- FEAT-7
 @dataclass
 class ColumnTransformerModel:
-    """Fitted numeric (median impute + standardise) and categorical (mode
-    impute + one-hot, first dropped) blocks; output ``num__<c>``,
-    ``cat__<c>_<value>``, every other column dropped."""
+    """Fitted numeric (median impute + standardise) and categorical (mode impute) blocks, every other
+    column dropped.  ``columns`` gives ``num__<c>`` and one dummy ``cat__<c>_<value>`` for each category but the
+    first, ``compact_columns`` the category itself as ``cat__<c>``."""
 
     numeric: list[str]
     categorical: list[str]
@@ -165,37 +147,50 @@ class ColumnTransformerModel:
         # an all-NULL column has no median and is dropped (as sklearn does)
         return [c for c in self.numeric if self.medians.get(c) is not None]
 
+    @property
+    def numeric_names(self) -> list[str]:
+        return [f"num__{c}" for c in self.kept_numeric]
+
     @property
     def feature_names(self) -> list[str]:
-        names = [f"num__{c}" for c in self.kept_numeric]
+        names = self.numeric_names
         for c in self.categorical:
             names += [f"cat__{c}_{v}" for v in self.categories[c][1:]]
         return names
 
-    def columns(self) -> list[Column]:
+    def numeric_columns(self) -> list[Column]:
         out = []
         for c in self.kept_numeric:
             m, s = self.scaling[c]
             x = F.coalesce(F.col(c).cast("double"), F.lit(float(self.medians[c])))
             out.append(((x - F.lit(m)) / F.lit(s)).alias(f"num__{c}"))
+        return out
+
+    def columns(self) -> list[Column]:
+        out = self.numeric_columns()
         for c in self.categorical:
             out += one_hot_columns(c, self.categories[c], prefix=f"cat__{c}_",
                                    fill=self.modes.get(c))
         return out
 
+    def compact_columns(self) -> list[Column]:
+        return self.numeric_columns() + [
+            F.coalesce(F.col(c), F.lit(self.modes.get(c)).cast("string")).alias(f"cat__{c}") for c in self.categorical]
+
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         return df.select(*keep, *self.columns())
 
 
 def fit_column_transformer(df: DataFrame, numeric: Sequence[str] = tuple(C.NUMERIC_FEATURES),
-                           categorical: Sequence[str] = tuple(C.CATEGORICAL_FEATURES)
+                           categorical: Sequence[str] = tuple(C.CATEGORICAL_FEATURES), dummies: bool = True
                            ) -> ColumnTransformerModel:
+    """``dummies=False`` leaves out the lists of category names, which only dummy columns need."""
     numeric, categorical = list(numeric), list(categorical)
     medians = fit_medians(df, numeric)
     kept = [c for c in numeric if medians.get(c) is not None]
     scaling = fit_scaling(df, kept, medians)
     modes = {c: most_frequent(df, c) for c in categorical}
-    cats = {c: fit_categories(df, c, modes[c]) for c in categorical}
+    cats = {c: fit_categories(df, c, modes[c]) for c in categorical} if dummies else {}
     return ColumnTransformerModel(numeric, categorical, medians, scaling, modes, cats)
 
 

@@ -1,21 +1,29 @@
 """Linear models and their inference from distributed moment passes.
 
-GRAM: one aggregate pass gives n, Σx, Σy, XᵀX, Xᵀy, yᵀy as JVM ``sum``
-expressions (partial aggregation per task, d(d+1)/2 + d + 2 numbers to the
-driver).  Everything else is d×d linear algebra on the driver plus, where
-per-row leverage / residuals are needed, one more aggregate pass whose
-per-row terms are literal-coefficient column expressions (still codegen).
+A design has numeric columns and, at will, one category column whose levels stand for
+dummies (smallest level dropped).  Dummies are never made.  With u = [1, x] of a row, GRAM is
+one pass that gives Σ u uᵀ, Σ u y, Σ y² and, for each level, v = Σ u and Σ y over its
+rows: the category part of XᵀX is the diagonal of the level counts, its border
+the thin strip of the v.  Eliminating the diagonal leaves a system as small as the
+numeric part (its Schur complement), whatever the number of levels:
+
+    M = Σ u uᵀ + αI - Σ_levels v vᵀ / (n + α),      w = u - v / (n + α)  of a row's level
+    leverage = wᵀ M⁻¹ w + 1 / (n + α),              effect = (Σ y - vᵀβ) / (n + α)
+
+Level sums, effects, errors and statistics stay tables; per-row passes join a row's level to
+it.  All passes are NumPy blocks over Arrow batches, on one path for any number of
+columns and levels; what reaches the driver is as small as M.
 
 MOD-1  ridge, alpha by exact leave-one-out error, unpenalised intercept
 STAT-1 OLS with HC3 covariance       STAT-2 fit summary
-STAT-3 significant features          STAT-4 VIF from (ZᵀZ)⁻¹
+STAT-3 significant features          STAT-4 VIF from the inverse's diagonal
 STAT-5 Breusch–Pagan (studentised)   STAT-7 backward elimination
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import distributions as D
+from ..session import stored
 
-EXPRS_PER_PASS = 400
+#: Eigenvalues of a Gram matrix, its columns scaled to equal length, below this share count as zero.
+RANK_TOLERANCE = 1e-10
 
 
 # ---------------------------------------------------------------- expression helpers
@@ -44,30 +54,16 @@ def linear_expr(cols: Sequence[str], coef: Sequence[float], intercept: float = 0
     return balanced_sum([F.lit(float(intercept)), *terms])
 
 
-def quad_expr(cols: Sequence[str], m: np.ndarray) -> Column:
-    """xᵀ M x for symmetric M as d(d+1)/2 literal terms."""
-    terms = []
-    for i, a in enumerate(cols):
-        if m[i, i] != 0.0:
-            terms.append(F.col(a) * F.col(a) * F.lit(float(m[i, i])))
-        for j in range(i + 1, len(cols)):
-            if m[i, j] != 0.0:
-                terms.append(F.col(a) * F.col(cols[j]) * F.lit(float(2.0 * m[i, j])))
-    return balanced_sum(terms)
-
-
-def _agg_many(df: DataFrame, exprs: list[Column]) -> list[float]:
-    out: list[float] = []
-    for s in range(0, len(exprs), EXPRS_PER_PASS):
-        row = df.agg(*[e.alias(f"a{i}") for i, e in enumerate(exprs[s:s + EXPRS_PER_PASS])]).first()
-        out += [0.0 if v is None else float(v) for v in row]
-    return out
-
+# ---------------------------------------------------------------- moment passes
+def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """FLT-5: the rows in which none of ``cols`` is missing, so that counts and sums agree."""
+    keep = F.lit(True)
+    for c in cols:
+        keep = keep & F.col(f"`{c}`").isNotNull()
+    return df.filter(keep)
 
-NP_MIN_COLS = 20  # from this many design columns on, moment passes run as NumPy blocks
 
-
-def block_sums(df: DataFrame, cols: Sequence[str], fn, n_out: int) -> np.ndarray:
+def block_sums(df: DataFrame, cols: Sequence[str], fn: Callable, n_out: int) -> np.ndarray:
     """Σ over Arrow batches of ``fn(X)`` (X: batch × len(cols) float64 matrix,
     result: ``n_out`` floats).  Each task emits its partial vector in long
     form (index, value); a ``groupBy(index).sum`` combines them, so only
@@ -76,7 +72,7 @@ def block_sums(df: DataFrame, cols: Sequence[str], fn, n_out: int) -> np.ndarray
 
     cols = list(cols)
 
-    def part(it):
+    def part(it: Iterator) -> Iterator:
         acc = None
         for pdf in it:
             if pdf.empty:
@@ -86,7 +82,7 @@ def block_sums(df: DataFrame, cols: Sequence[str], fn, n_out: int) -> np.ndarray
         if acc is not None:
             yield pd.DataFrame({"i": np.arange(n_out, dtype="int64"), "v": acc})
 
-    rows = (df.select(*cols).mapInPandas(part, "i long, v double").groupBy("i")
+    rows = (df.select(*[F.col(f"`{c}`") for c in cols]).mapInPandas(part, "i long, v double").groupBy("i")
             .agg(F.sum("v").alias("v")).collect())
     out = np.zeros(n_out)
     for r in rows:
@@ -94,71 +90,122 @@ def block_sums(df: DataFrame, cols: Sequence[str], fn, n_out: int) -> np.ndarray
     return out
 
 
+def strip_sums(df: DataFrame, cols: Sequence[str], level: str, fn: Callable, n_total: int, width: int
+               ) -> tuple[np.ndarray, DataFrame]:
+    """``fn(X)`` gives a total (``n_total`` floats) and ``width`` floats a row: the sum of the totals,
+    and a stored table (level, s) with the rows' sums per level.  A row without a level only counts
+    in the total."""
+    import pandas as pd
+
+    cols = list(cols)
+
+    def part(it: Iterator) -> Iterator:
+        acc = None
+        for pdf in it:
+            if pdf.empty:
+                continue
+            total, rows = fn(pdf[cols].to_numpy(dtype="float64"))
+            acc = total if acc is None else acc + total
+            codes, names = pd.factorize(pdf[level], use_na_sentinel=True)
+            sums = np.zeros((len(names) + 1, width))  # the last one takes code -1: no level
+            np.add.at(sums, codes, rows)
+            if len(names):
+                yield pd.DataFrame({"part": -1, "level": np.asarray(names, dtype=object), "s": list(sums[:-1])})
+        if acc is not None:
+            whole = np.zeros(-(-n_total // width) * width)
+            whole[:n_total] = acc
+            chunks = whole.reshape(-1, width)
+            yield pd.DataFrame({"part": np.arange(len(chunks)), "level": None, "s": list(chunks)})
+
+    sums = stored(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*cols, level])])
+                  .mapInPandas(part, "part long, level string, s array<double>").groupBy("part", "level")
+                  .agg(F.array(*[F.sum(F.col("s")[j]) for j in range(width)]).alias("s")), "strip")
+    out = np.zeros(-(-n_total // width) * width)
+    for r in sums.filter("part >= 0").collect():
+        out[r["part"] * width:(r["part"] + 1) * width] = r["s"]
+    return out[:n_total], sums.filter("part < 0").select("level", "s")
+
+
 # ---------------------------------------------------------------- GRAM
 @dataclass
 class Gram:
+    """Moments of u = [1, x] and y; ``levels`` (level, v, sy) has the sums of u and y of every level."""
+
     cols: list[str]
-    n: float
-    sx: np.ndarray
-    sy: float
-    xtx: np.ndarray
-    xty: np.ndarray
+    uu: np.ndarray
+    uy: np.ndarray
     yty: float
+    level: str | None = None
+    levels: DataFrame | None = None
+    baseline: str | None = None
+    n_dummies: int = 0
 
     @property
-    def mean_x(self) -> np.ndarray:
-        return self.sx / self.n
+    def n(self) -> float:
+        return float(self.uu[0, 0])
 
     @property
     def mean_y(self) -> float:
-        return self.sy / self.n
+        return float(self.uy[0] / self.n)
 
-    def centered(self) -> tuple[np.ndarray, np.ndarray, float]:
-        """(X_cᵀX_c, X_cᵀy_c, y_cᵀy_c)."""
-        mx, my = self.mean_x, self.mean_y
-        cxx = self.xtx - self.n * np.outer(mx, mx)
-        cxy = self.xty - self.n * mx * my
-        cyy = self.yty - self.n * my * my
-        return cxx, cxy, cyy
+    @property
+    def sst(self) -> float:
+        return float(self.yty - self.n * self.mean_y ** 2)
 
     def with_const(self) -> tuple[np.ndarray, np.ndarray]:
-        """(ZᵀZ, Zᵀy) for Z = [1, X]."""
-        d = len(self.cols)
-        ztz = np.empty((d + 1, d + 1))
-        ztz[0, 0] = self.n
-        ztz[0, 1:] = ztz[1:, 0] = self.sx
-        ztz[1:, 1:] = self.xtx
-        zty = np.concatenate([[self.sy], self.xty])
-        return ztz, zty
+        """(ZᵀZ, Zᵀy) for the numeric part Z = [1, X]."""
+        return self.uu, self.uy
 
     def subset(self, idx: Sequence[int]) -> Gram:
-        idx = list(idx)
-        return Gram([self.cols[i] for i in idx], self.n, self.sx[idx], self.sy,
-                    self.xtx[np.ix_(idx, idx)], self.xty[idx], self.yty)
-
-
-def gram(df: DataFrame, xcols: Sequence[str], y: str) -> Gram:
-    """One pass (several if d is very large) of sum expressions."""
+        """The Gram of some numeric columns alone."""
+        keep = [0, *[i + 1 for i in idx]]
+        return Gram([self.cols[i] for i in idx], self.uu[np.ix_(keep, keep)], self.uy[keep], self.yty)
+
+    def dummies(self) -> DataFrame:
+        """v0..vp and sy of every level but the dropped one."""
+        return self.levels.filter(F.col("level") != F.lit(self.baseline)).select(
+            "level", *[F.col("v")[j].alias(f"v{j}") for j in range(len(self.cols) + 1)], "sy")
+
+    def level_sums(self, fn: Callable, n_out: int) -> np.ndarray:
+        """Σ over the dummies of ``fn(V, sy)``; zeros where the design has none."""
+        if not self.n_dummies:
+            return np.zeros(n_out)
+        cols = [*[f"v{j}" for j in range(len(self.cols) + 1)], "sy"]
+        return block_sums(self.dummies(), cols, lambda m: fn(m[:, :-1], m[:, -1]), n_out)
+
+    def rows(self, df: DataFrame, y: str) -> DataFrame:
+        """(y, x.., level, v.., sy): complete rows beside the sums of their level, null where it has no dummy."""
+        cols = [y, *self.cols, *([self.level] if self.level else [])]
+        sel = complete_rows(df, [y, *self.cols]).select(*[F.col(f"`{c}`") for c in cols])
+        if not self.n_dummies:
+            return sel
+        return sel.join(self.dummies(), F.col(f"`{self.level}`") == F.col("level"), "left").drop("level")
+
+    def row_cols(self, y: str) -> list[str]:
+        return [y, *self.cols, *([f"v{j}" for j in range(len(self.cols) + 1)] + ["sy"] if self.n_dummies else [])]
+
+
+def gram(df: DataFrame, xcols: Sequence[str], y: str, level: str | None = None) -> Gram:
+    """GRAM in one pass over the complete rows."""
     xcols = list(xcols)
-    d = len(xcols)
-    if d >= NP_MIN_COLS:
-        def fn(m):
-            x, yv = m[:, :d], m[:, d]
-            return np.concatenate([[len(m), yv.sum(), yv @ yv], x.sum(0), x.T @ yv,
-                                   (x.T @ x).ravel()])
-        v = block_sums(df, [*xcols, y], fn, 3 + 2 * d + d * d)
-        return Gram(xcols, v[0], v[3:3 + d], v[1], v[3 + 2 * d:].reshape(d, d),
-                    v[3 + d:3 + 2 * d], v[2])
-    exprs = [F.count(F.lit(1)), F.sum(F.col(y)), F.sum(F.col(y) * F.col(y))]
-    exprs += [F.sum(F.col(c)) for c in xcols]
-    exprs += [F.sum(F.col(c) * F.col(y)) for c in xcols]
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    exprs += [F.sum(F.col(xcols[i]) * F.col(xcols[j])) for i, j in pairs]
-    v = _agg_many(df, exprs)
-    xtx = np.zeros((d, d))
-    for (i, j), s in zip(pairs, v[3 + 2 * d:]):
-        xtx[i, j] = xtx[j, i] = s
-    return Gram(xcols, v[0], np.array(v[3:3 + d]), v[1], xtx, np.array(v[3 + d:3 + 2 * d]), v[2])
+    p = len(xcols)
+    rows = complete_rows(df, [y, *xcols])
+    n_total = (p + 1) ** 2 + p + 2
+
+    def fn(m):
+        u, yv = np.column_stack([np.ones(len(m)), m[:, :p]]), m[:, p]
+        return np.concatenate([(u.T @ u).ravel(), u.T @ yv, [yv @ yv]]), np.column_stack([u, yv])
+    levels = baseline = None
+    dummies = 0
+    if level is None:
+        v = block_sums(rows, [*xcols, y], lambda m: fn(m)[0], n_total)
+    else:
+        v, sums = strip_sums(rows, [*xcols, y], level, fn, n_total, p + 2)
+        levels = sums.select("level", F.slice("s", 1, p + 1).alias("v"), F.col("s")[p + 1].alias("sy"))
+        r = levels.agg(F.min("level").alias("first"), F.count("level").alias("n")).first()
+        baseline, dummies = r["first"], max(0, r["n"] - 1)
+    k = (p + 1) ** 2
+    return Gram(xcols, v[:k].reshape(p + 1, p + 1), v[k:k + p + 1], float(v[-1]), level, levels, baseline, dummies)
 
 
 def gram_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -171,6 +218,100 @@ def gram_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for k, (a, b) in enumerate(pairs)])))
 
 
+# ---------------------------------------------------------------- the small system
+def pinv_psd(m: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pseudo-inverse, orthonormal null vectors as columns) of a symmetric matrix whose columns have squared ``lengths``."""
+    scale = np.sqrt(np.where(lengths > 0, lengths, 1.0))
+    ev, vec = np.linalg.eigh(m / np.outer(scale, scale))
+    big = ev > RANK_TOLERANCE * max(1.0, ev[-1]) if len(ev) else np.zeros(0, bool)
+    g = (vec[:, big] / ev[big]) @ vec[:, big].T / np.outer(scale, scale)
+    null = np.linalg.qr(vec[:, ~big] / scale[:, None])[0] if not big.all() else np.zeros((len(m), 0))
+    keep = np.eye(len(m)) - null @ null.T
+    return keep @ g @ keep, null
+
+
+@dataclass
+class System:
+    """The Schur complement of the level diagonal at one alpha, solved.
+
+    ``null`` spans what the numeric part leaves undetermined; N = [a; -r·a] over the levels is then a
+    direction along which the fit does not change.  ``rr`` is Σ r rᵀ with r = v / (n + α), ``k`` (NᵀN)⁻¹,
+    ``shift`` moves the effects to the solution of least norm.
+    """
+
+    alpha: float
+    inv: np.ndarray
+    beta: np.ndarray
+    null: np.ndarray
+    rr: np.ndarray
+    k: np.ndarray
+    shift: np.ndarray
+    ssr: float
+
+    def effect(self, v: np.ndarray, sy: np.ndarray) -> np.ndarray:
+        d = v[:, 0] + self.alpha
+        base = self.beta - self.null @ self.shift  # before the shift
+        return (sy - v @ base) / d - (v @ self.null / d[:, None]) @ self.shift
+
+    def pulled(self, m: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(w, r, 1/(n + α), residual) of rows (y, x.. [, v.., sy])."""
+        y, u = m[:, 0], np.column_stack([np.ones(len(m)), m[:, 1:p + 1]])
+        r, inv_d, mean = np.zeros_like(u), np.zeros(len(m)), np.zeros(len(m))
+        if m.shape[1] > p + 1:
+            v, sy = m[:, p + 1:2 * p + 2], m[:, 2 * p + 2]
+            has = ~np.isnan(v[:, 0])
+            inv_d[has] = 1.0 / (v[has, 0] + self.alpha)
+            r[has] = v[has] * inv_d[has, None]
+            mean[has] = sy[has] * inv_d[has]
+        w = u - r
+        base = self.beta - self.null @ self.shift
+        return w, r, inv_d, y - mean - w @ base
+
+
+def systems(g: Gram, alphas: Sequence[float]) -> list[System]:
+    """One pass over the level table for all alphas."""
+    q = len(g.cols) + 1
+    size = 2 * q * q + 2 * q + 1
+
+    def fn(v, sy):
+        out = []
+        for a in alphas:
+            d = v[:, 0] + a
+            r, ry = v / d[:, None], sy / d
+            out += [(v.T @ r).ravel(), r.T @ sy, (r.T @ r).ravel(), r.T @ ry, [sy @ ry]]
+        return np.concatenate(out)
+    sums = g.level_sums(fn, size * len(alphas)).reshape(len(alphas), size)
+    out = []
+    for a, s in zip(alphas, sums):
+        vv, vy = s[:q * q].reshape(q, q), s[q * q:q * q + q]
+        rr, ry = s[q * q + q:2 * q * q + q].reshape(q, q), s[2 * q * q + q:2 * q * q + 2 * q]
+        penalty = a * np.eye(q)
+        penalty[0, 0] = 0.0
+        lengths = np.diag(g.uu + penalty)
+        inv, null = pinv_psd(g.uu + penalty - vv, lengths)
+        beta = inv @ (g.uy - vy)
+        k = np.linalg.inv(null.T @ null + null.T @ rr @ null)
+        shift = k @ (null.T @ (ry - rr @ beta))
+        ssr = float(g.yty - s[-1] - beta @ (g.uy - vy))
+        out.append(System(float(a), inv, beta + null @ shift, null, rr, k, shift, ssr))
+    return out
+
+
+def effects(g: Gram, s: System) -> DataFrame | None:
+    """(level, effect) of every level; the dropped one has 0."""
+    if g.levels is None:
+        return None
+    import pandas as pd
+    cols = [f"v{j}" for j in range(len(g.cols) + 1)]
+
+    def part(it: Iterator) -> Iterator:
+        for pdf in it:
+            yield pd.DataFrame({"level": pdf["level"], "effect": s.effect(
+                pdf[cols].to_numpy(dtype="float64"), pdf["sy"].to_numpy(dtype="float64"))})
+    base = g.levels.filter(F.col("level") == F.lit(g.baseline)).select("level", F.lit(0.0).alias("effect"))
+    return stored(g.dummies().mapInPandas(part, "level string, effect double").unionByName(base), "effects")
+
+
 # ---------------------------------------------------------------- MOD-1 ridge
 @dataclass
 class RidgeModel:
@@ -180,78 +321,65 @@ class RidgeModel:
     alpha: float
     loo_mse: dict[float, float]
     transform: str = "log1p"
+    level: str | None = None
+    effects: DataFrame | None = None
 
     def predict_expr(self) -> Column:
+        """The numeric part of a prediction."""
         return linear_expr(self.cols, self.coef, self.intercept)
 
+    def with_prediction(self, df: DataFrame, name: str) -> DataFrame:
+        return add_prediction(df, self.predict_expr(), self.level, self.effects, name)
 
-def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    try:
-        return np.linalg.solve(a, b)
-    except np.linalg.LinAlgError:
-        return np.linalg.pinv(a) @ b
+    def terms(self, spark) -> DataFrame:
+        """(term, value): intercept, numeric coefficients and the effects of all levels but the dropped one."""
+        rows = spark.createDataFrame([("intercept", float(self.intercept)),
+                                      *[(c, float(b)) for c, b in zip(self.cols, self.coef)]], "term string, value double")
+        if self.effects is None:
+            return rows
+        first = self.effects.agg(F.min("level")).first()[0]
+        return rows.unionByName(self.effects.filter(F.col("level") != F.lit(first)).select(
+            F.concat(F.lit(f"{self.level}_"), "level").alias("term"), F.col("effect").alias("value")))
 
 
-def _inv(a: np.ndarray) -> np.ndarray:
-    try:
-        return np.linalg.inv(a)
-    except np.linalg.LinAlgError:
-        return np.linalg.pinv(a)
+def add_prediction(df: DataFrame, numeric: Column, level: str | None, table: DataFrame | None, name: str) -> DataFrame:
+    """``df`` plus ``name``: the numeric part plus the effect of the row's level (0 if it is unknown or missing)."""
+    if table is None:
+        return df.withColumn(name, numeric)
+    side = table.select(F.col("level").alias("__level"), F.col("effect").alias("__effect"))
+    return (df.join(side, F.col(f"`{level}`") == F.col("__level"), "left")
+            .withColumn(name, numeric + F.coalesce(F.col("__effect"), F.lit(0.0))).drop("__level", "__effect"))
 
 
 def ridge_loo(df: DataFrame, xcols: Sequence[str], y: str,
-              alphas: Sequence[float] = C.RIDGE_ALPHAS, g: Gram | None = None) -> RidgeModel:
+              alphas: Sequence[float] = C.RIDGE_ALPHAS, g: Gram | None = None, level: str | None = None) -> RidgeModel:
     """Ridge with the alpha of least exact leave-one-out MSE (ties: first).
 
-    Pass 1 GRAM; pass 2 one aggregate of mean((e/(1-h))²) for every alpha,
-    h = 1/n + x_cᵀ(X_cᵀX_c + αI)⁻¹x_c.  Final weights come from the Gram.
+    Pass 1 GRAM; pass 2 mean((e/(1-h))²) for every alpha at once.  Weights and level effects come
+    from the Gram.  Dummies are penalised like numeric columns, the intercept is not.
     """
-    xcols = list(xcols)
-    g = g or gram(df, xcols, y)
-    cxx, cxy, _ = g.centered()
-    mx, my = g.mean_x, g.mean_y
-    d = len(xcols)
-    cen = df.select(F.col(y).alias("__y"),
-                    *[(F.col(c) - F.lit(float(m))).alias(f"__c{i}") for i, (c, m) in
-                      enumerate(zip(xcols, mx))])
-    ccols = [f"__c{i}" for i in range(d)]
-    if d >= NP_MIN_COLS:
-        invs = [_inv(cxx + a * np.eye(d)) for a in alphas]
-        fits = [inv @ cxy for inv in invs]
-        n = float(g.n)  # a number in the tasks, not the Gram
-
-        def fn(m):
-            yc, xc = m[:, 0] - my, m[:, 1:]
-            out = []
-            for inv, beta in zip(invs, fits):
-                e = yc - xc @ beta
-                h = 1.0 / n + ((xc @ inv) * xc).sum(1)
-                out.append(np.sum((e / (1.0 - h)) ** 2))
-            return np.array(out)
-        loo = list(block_sums(cen, ["__y", *ccols], fn, len(alphas)) / g.n)
-        best = int(np.argmin(loo))
-        beta = fits[best]
-        return RidgeModel(xcols, beta, float(my - mx @ beta), float(alphas[best]),
-                          {float(a): v for a, v in zip(alphas, loo)})
-    fits, exprs = [], []
-    for a in alphas:
-        inv = _inv(cxx + a * np.eye(d))
-        beta = inv @ cxy
-        fits.append(beta)
-        e = F.col("__y") - F.lit(my) - linear_expr(ccols, beta)
-        h = F.lit(1.0 / g.n) + quad_expr(ccols, inv)
-        exprs.append(F.avg(F.pow(e / (F.lit(1.0) - h), 2)))
-    loo = _agg_many(cen, exprs)
-    best = int(np.argmin(loo))
-    beta = fits[best]
-    return RidgeModel(xcols, beta, float(my - mx @ beta), float(alphas[best]),
-                      {float(a): v for a, v in zip(alphas, loo)})
+    g = g or gram(df, xcols, y, level)
+    p, fits = len(g.cols), systems(g, alphas)
+
+    def fn(m):
+        out = []
+        for s in fits:
+            w, _, inv_d, e = s.pulled(m, p)
+            h = ((w @ s.inv) * w).sum(1) + inv_d
+            out.append(np.sum((e / (1.0 - h)) ** 2))
+        return np.array(out)
+    loo = list(block_sums(g.rows(df, y), g.row_cols(y), fn, len(fits)) / g.n)
+    best = fits[int(np.argmin(loo))]
+    return RidgeModel(g.cols, best.beta[1:], float(best.beta[0]), best.alpha,
+                      {s.alpha: float(v) for s, v in zip(fits, loo)}, level=g.level, effects=effects(g, best))
 
 
 # ---------------------------------------------------------------- OLS + inference
 @dataclass
 class OLSResult:
-    names: list[str]            # 'const' first
+    """The numeric part's coefficients as arrays ('const' first), the levels' as a table."""
+
+    names: list[str]
     params: np.ndarray
     bse: np.ndarray
     stat: np.ndarray            # z (robust) or t (nonrobust)
@@ -262,9 +390,15 @@ class OLSResult:
     n: float
     ssr: float
     sst: float
-    ztz_inv: np.ndarray
+    system: System
     cov_type: str
     rank: int                   # of the design with its constant
+    n_columns: int              # of the design with its constant and all dummies
+    level: str | None = None
+    effects: DataFrame | None = None
+    level_errors: DataFrame | None = None   # (level, q, t.., e2): HC3 sums of every level
+    omega: np.ndarray | None = None
+    squares: np.ndarray | None = None       # Σ e² u, Σ e⁴
     summary: dict = field(default_factory=dict)
 
     @property
@@ -283,169 +417,232 @@ class OLSResult:
     def rsquared_adj(self) -> float:
         return 1.0 - (self.n - 1) / self.df_resid * (1.0 - self.rsquared)
 
-    def resid_expr(self, y: str) -> Column:
-        return F.col(y) - linear_expr(self.names[1:], self.params[1:], self.params[0])
-
-    def leverage_expr(self) -> Column:
-        """h = zᵀ(ZᵀZ)⁻¹z with z = [1, x]."""
-        a = self.ztz_inv
-        lin = [F.col(c) * F.lit(float(2 * a[0, i]))
-               for i, c in enumerate(self.names[1:], start=1)]
-        return balanced_sum([F.lit(float(a[0, 0])), *lin, quad_expr(self.names[1:], a[1:, 1:])])
+    def with_residual(self, df: DataFrame, y: str, name: str = "resid") -> DataFrame:
+        numeric = linear_expr(self.names[1:], self.params[1:], self.params[0])
+        return (add_prediction(df, numeric, self.level, self.effects, "__fitted")
+                .withColumn(name, F.col(y) - F.col("__fitted")).drop("__fitted"))
 
     def coef_table(self, spark) -> DataFrame:
+        """feature, coef, std_err, stat, p_value, ci_low, ci_high of the constant, numeric columns and dummies."""
         rows = [(n, float(b), float(s), float(z), float(p), float(lo), float(hi))
                 for n, b, s, z, p, lo, hi in zip(self.names, self.params, self.bse, self.stat,
                                                  self.pvalues, self.ci_low, self.ci_high)]
-        return spark.createDataFrame(
+        table = spark.createDataFrame(
             rows, "feature string, coef double, std_err double, stat double, p_value double, "
                   "ci_low double, ci_high double")
+        return table if self.level_errors is None else table.unionByName(self._level_table())
+
+    def _level_table(self) -> DataFrame:
+        import pandas as pd
+        s, omega, prefix = self.system, self.omega, f"{self.level}_"
+        z95 = D.normal_quantile(0.975)
+
+        def part(it: Iterator) -> Iterator:
+            for pdf in it:
+                if pdf.empty:
+                    continue
+                v = np.stack(pdf["v"].to_numpy())
+                strip = np.stack(pdf["s"].to_numpy())
+                d = v[:, 0]
+                r = v / d[:, None]
+                f = np.column_stack([r @ s.inv, -(r @ s.null) @ s.k])
+                var = strip[:, 0] / d**2 - 2 / d * (f * strip[:, 1:1 + f.shape[1]]).sum(1) + ((f @ omega) * f).sum(1)
+                coef, se = pdf["effect"].to_numpy(), np.sqrt(np.maximum(var, 0.0))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    z = coef / se
+                yield pd.DataFrame({
+                    "feature": prefix + pdf["level"], "coef": coef, "std_err": se, "stat": z,
+                    "p_value": [D.normal_two_sided(x) if np.isfinite(x) else None for x in z],
+                    "ci_low": coef - z95 * se, "ci_high": coef + z95 * se})
+        return self.level_errors.mapInPandas(
+            part, "feature string, coef double, std_err double, stat double, p_value double, ci_low double, ci_high double")
 
 
 def ols(df: DataFrame, xcols: Sequence[str], y: str, cov_type: str = "HC3",
-        g: Gram | None = None) -> OLSResult:
-    """OLS with a constant.  ``cov_type='HC3'`` adds one pass for the robust
-    meat Σ z zᵀ e²/(1-h)² (normal p-values); 'nonrobust' uses t p-values."""
-    xcols = list(xcols)
-    g = g or gram(df, xcols, y)
-    ztz, zty = g.with_const()
-    inv = np.linalg.pinv(ztz, hermitian=True)  # rank-deficient designs: minimum-norm fit
-    beta = inv @ zty
-    ssr = float(g.yty - beta @ zty)
-    sst = float(g.yty - g.n * g.mean_y ** 2)
-    names = ["const", *xcols]
-    res = OLSResult(names, beta, np.zeros_like(beta), np.zeros_like(beta), np.zeros_like(beta),
-                    np.zeros_like(beta), np.zeros_like(beta), np.zeros_like(ztz), g.n, ssr, sst,
-                    inv, cov_type, design_rank(ztz))
-    k = len(names)
-    if cov_type == "HC3" and len(xcols) >= NP_MIN_COLS:
+        g: Gram | None = None, level: str | None = None) -> OLSResult:
+    """OLS with a constant; rank-deficient designs get the fit of least norm.
+
+    ``cov_type='HC3'`` adds one pass for the robust sums (normal p-values); 'nonrobust', for numeric
+    designs, uses t p-values.  A row that alone determines a coefficient (leverage 1) has no
+    residual and adds nothing to the robust sums.
+    """
+    g = g or gram(df, xcols, y, level)
+    if cov_type != "HC3" and g.n_dummies:
+        raise ValueError("nonrobust errors are for numeric designs")
+    s = systems(g, [0.0])[0]
+    p, q, m0 = len(g.cols), len(g.cols) + 1, s.null.shape[1]
+    rank, zero = q - m0 + g.n_dummies, np.zeros(q)
+    res = OLSResult(["const", *g.cols], s.beta, zero, zero, zero, zero, zero, np.zeros((q, q)), g.n,
+                    max(s.ssr, 0.0), g.sst, s, cov_type, rank, q + g.n_dummies, g.level)
+    if cov_type == "HC3":
+        pull = s.inv @ s.rr @ s.null
+        width = q + m0
+
         def fn(m):
-            z = np.column_stack([np.ones(len(m)), m[:, 1:]])
-            e = m[:, 0] - z @ beta
-            h = ((z @ inv) * z).sum(1)
-            w = (e / (1.0 - h)) ** 2
-            return np.concatenate([((z * w[:, None]).T @ z).ravel(), [e @ e]])
-        v = block_sums(df, [y, *xcols], fn, k * k + 1)
-        res.ssr = float(v[-1])
-        meat = v[:-1].reshape(k, k)
-        cov = inv @ meat @ inv
-        bse = np.sqrt(np.maximum(np.diag(cov), 0.0))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            stat = beta / bse
-        pv = np.array([D.normal_two_sided(z) if np.isfinite(z) else float("nan") for z in stat])
-        q = D.normal_quantile(0.975)
-    elif cov_type == "HC3":
-        e = res.resid_expr(y)
-        h = res.leverage_expr()
-        wdf = df.select(*xcols, F.pow(e / (F.lit(1.0) - h), 2).alias("__w"),
-                        F.pow(e, 2).alias("__e2"))
-        d = len(xcols)
-        pairs = [(i, j) for i in range(d) for j in range(i, d)]
-        exprs = [F.sum("__w")] + [F.sum(F.col("__w") * F.col(c)) for c in xcols]
-        exprs += [F.sum(F.col("__w") * F.col(xcols[i]) * F.col(xcols[j])) for i, j in pairs]
-        v = _agg_many(wdf, exprs + [F.sum("__e2")])
-        res.ssr = v.pop()  # exact residual sum of squares (no Gram cancellation)
-        meat = np.empty((k, k))
-        meat[0, 0] = v[0]
-        meat[0, 1:] = meat[1:, 0] = v[1:1 + d]
-        for (i, j), s in zip(pairs, v[1 + d:]):
-            meat[1 + i, 1 + j] = meat[1 + j, 1 + i] = s
-        cov = inv @ meat @ inv
-        bse = np.sqrt(np.maximum(np.diag(cov), 0.0))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            stat = beta / bse
-        pv = np.array([D.normal_two_sided(z) if np.isfinite(z) else float("nan") for z in stat])
-        q = D.normal_quantile(0.975)
+            w, r, inv_d, e = s.pulled(m, p)
+            h = ((w @ s.inv) * w).sum(1) + inv_d
+            own = 1.0 - h > 1e-10
+            weight = np.where(own, (e / np.where(own, 1.0 - h, 1.0)) ** 2, 0.0)
+            ext = np.column_stack([w, w @ pull - (r @ s.null) * inv_d[:, None]])
+            u, e2 = np.column_stack([np.ones(len(m)), m[:, 1:p + 1]]), e * e
+            total = np.concatenate([((ext * weight[:, None]).T @ ext).ravel(), u.T @ e2, [e2 @ e2],
+                                    ((u * weight[:, None]).T @ u).ravel()])
+            return total, np.column_stack([weight, ext * weight[:, None], e2, u * weight[:, None]])
+        n_total = width * width + q + 1 + q * q
+        rows, cols = g.rows(df, y), g.row_cols(y)
+        if g.n_dummies:
+            total, strip = strip_sums(rows, cols, g.level, fn, n_total, width + 2 + q)
+            res.effects = effects(g, s)
+            res.level_errors = stored(g.levels.filter(F.col("level") != F.lit(g.baseline)).join(strip, "level")
+                                      .join(res.effects, "level"), "level-errors")
+        else:
+            total = block_sums(rows, cols, lambda m: fn(m)[0], n_total)
+        res.omega = total[:width * width].reshape(width, width)
+        res.squares = total[width * width:]
+        res.ssr = float(res.squares[0])  # exact residual sum of squares (no Gram cancellation)
+        f = np.column_stack([s.inv, -s.null @ s.k])
+        cov = f @ res.omega @ f.T
+        p_of, crit = D.normal_two_sided, D.normal_quantile(0.975)
     else:
-        ssr = max(ssr, 0.0)
-        res.ssr = ssr
-        sigma2 = ssr / res.df_resid
-        cov = sigma2 * inv
-        bse = np.sqrt(np.maximum(np.diag(cov), 0.0))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            stat = beta / bse
-        pv = np.array([D.t_two_sided(t, res.df_resid) if np.isfinite(t) else float("nan")
-                       for t in stat])
-        q = D.t_quantile(0.975, res.df_resid)
-    res.cov, res.bse, res.stat, res.pvalues = cov, bse, stat, pv
-    res.ci_low, res.ci_high = beta - q * bse, beta + q * bse
+        cov = res.ssr / res.df_resid * s.inv
+        p_of, crit = (lambda t: D.t_two_sided(t, res.df_resid)), D.t_quantile(0.975, res.df_resid)
+    res.cov, res.bse = cov, np.sqrt(np.maximum(np.diag(cov), 0.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        res.stat = res.params / res.bse
+    res.pvalues = np.array([p_of(t) if np.isfinite(t) else float("nan") for t in res.stat])
+    res.ci_low, res.ci_high = res.params - crit * res.bse, res.params + crit * res.bse
     return res
 
 
-def design_rank(ztz: np.ndarray) -> int:
-    """Rank of a design from its Gram matrix, columns scaled to equal length."""
-    d = np.sqrt(np.maximum(np.diag(ztz), 0.0))
-    scale = np.where(d > 0, d, 1.0)
-    ev = np.linalg.eigvalsh(ztz / np.outer(scale, scale))
-    return int(np.sum(ev > 1e-10 * max(ev[-1], 1e-300))) if len(ev) else 0
+def significant(res: OLSResult, spark, threshold: float = C.P_VALUE_THRESHOLD) -> DataFrame:
+    """STAT-3: (feature, p_value) with p <= threshold, constant excluded."""
+    return (res.coef_table(spark).filter((F.col("feature") != "const") & ~F.isnan("p_value")
+                                         & (F.col("p_value") <= threshold)).select("feature", "p_value"))
+
 
+def _arrow(g: Gram, res: OLSResult, fn: Callable, n_out: int) -> np.ndarray:
+    """Σ over the dummies of ``fn(v, sy, q, e2, b)``: level sums, HC3 weight, squared residuals, weighted u."""
+    if not g.n_dummies:
+        return np.zeros(n_out)
+    q, width = len(g.cols) + 1, len(res.omega)
+    cols = ([F.col("v")[j].alias(f"v{j}") for j in range(q)] + [F.col("sy"), F.col("s")[0].alias("q"),
+            F.col("s")[width + 1].alias("e2")] + [F.col("s")[width + 2 + j].alias(f"b{j}") for j in range(q)])
+    names = [*[f"v{j}" for j in range(q)], "sy", "q", "e2", *[f"b{j}" for j in range(q)]]
+    return block_sums(res.level_errors.select(*cols), names,
+                      lambda m: fn(m[:, :q], m[:, q], m[:, q + 1], m[:, q + 2], m[:, q + 3:]), n_out)
 
-def significant_features(res: OLSResult, threshold: float = C.P_VALUE_THRESHOLD) -> list[str]:
-    """STAT-3: p <= threshold, constant excluded."""
-    return [n for n, p in zip(res.names, res.pvalues) if n != "const" and p <= threshold]
 
+def wald_f(res: OLSResult, g: Gram) -> tuple[float, float]:
+    """Joint test of all slopes with the robust covariance A⁻BA⁻; as many constraints as independent slopes.
 
-def wald_f(res: OLSResult) -> tuple[float, float]:
-    """Joint test of all slopes with the fitted covariance (robust F as reported);
-    as many constraints as the design has independent slopes."""
-    b = res.params[1:]
-    v = res.cov[1:, 1:]
-    q = res.df_model
-    f = float(b @ np.linalg.pinv(v, hermitian=True) @ b) / q
-    return f, D.f_sf(f, q, res.df_resid)
+    With c1 = Xᵀy and c0 = Xᵀ1 the statistic is c1ᵀB⁻c1 - (c1ᵀB⁻c0)²/(c0ᵀB⁻c0); B has the shape of
+    the Gram (a diagonal over the levels), so its inverse needs sums over the level table only.
+    """
+    q = len(g.cols) + 1
+    buu = res.squares[q + 1:].reshape(q, q)
+
+    def fn(v, sy, weight, e2, b):
+        inv = np.where(weight > 0, 1.0 / np.where(weight > 0, weight, 1.0), 0.0)
+        c = np.column_stack([sy, v[:, 0]])
+        return np.concatenate([((b * inv[:, None]).T @ b).ravel(), ((b * inv[:, None]).T @ c).ravel(),
+                               ((c * inv[:, None]).T @ c).ravel()])
+    s = _arrow(g, res, fn, q * q + 2 * q + 4)
+    inv, _ = pinv_psd(buu - s[:q * q].reshape(q, q), np.diag(buu))
+    c = np.column_stack([g.uy, g.uu[:, 0]]) - s[q * q:q * q + 2 * q].reshape(q, 2)
+    form = s[q * q + 2 * q:].reshape(2, 2) + c.T @ inv @ c
+    f = float(form[0, 0] - form[0, 1] ** 2 / form[1, 1]) / res.df_model
+    return f, D.f_sf(f, res.df_model, res.df_resid)
 
 
 def vif(res: OLSResult, g: Gram) -> dict[str, float | None]:
-    """STAT-4: VIF of every design column incl. the constant, each by
-    regressing the column on all the others using Gram sub-blocks (no data
-    pass): slope j -> SST_j / SSR_j (centred R², the others include the
-    constant); constant -> n / SSR_0 (uncentred).  Exact collinearity -> NULL."""
-    ztz, _ = g.with_const()
-    k = ztz.shape[0]
-    sst = np.concatenate([[g.n], np.diag(g.xtx) - g.n * g.mean_x ** 2])
+    """STAT-4 of the constant and the numeric columns: SST_j times the inverse's diagonal (constant:
+    uncentred).  A column that others determine exactly -> NULL."""
+    s = res.system
+    sst = np.diag(g.uu) - g.uu[0] ** 2 / g.n
+    sst[0] = g.n
     out: dict[str, float | None] = {}
     for j, name in enumerate(res.names):
-        others = [i for i in range(k) if i != j]
-        a = ztz[np.ix_(others, others)]
-        b = ztz[others, j]
-        coef = np.linalg.pinv(a, hermitian=True) @ b
-        ssr = ztz[j, j] - coef @ b
-        tol = 1e-10 * max(ztz[j, j], 1e-300)
-        v = sst[j] / ssr if ssr > tol else float("inf")
-        out[name] = float(v) if np.isfinite(v) else None
+        alone = np.all(np.abs(s.null[j]) <= 1e-6) and sst[j] > 1e-10 * g.uu[j, j]
+        out[name] = float(sst[j] * s.inv[j, j]) if alone else None
     return out
 
 
-def breusch_pagan(df: DataFrame, res: OLSResult, y: str, g: Gram) -> dict[str, float]:
-    """STAT-5: regress e² on Z; LM = n·R² ~ χ²(k-1) with k columns; F from the
-    auxiliary fit with the design's rank in its degrees of freedom."""
-    xcols = res.names[1:]
-    if len(xcols) >= NP_MIN_COLS:
-        beta = res.params
+def vif_table(res: OLSResult, g: Gram, spark) -> DataFrame:
+    """(feature, value): STAT-4 of every design column, dummies included."""
+    table = spark.createDataFrame(list(vif(res, g).items()), "feature string, value double")
+    if not g.n_dummies:
+        return table
+    import pandas as pd
+    s, n, prefix, cols = res.system, g.n, f"{g.level}_", [f"v{j}" for j in range(len(g.cols) + 1)]
 
-        def fn(m):
-            z = np.column_stack([np.ones(len(m)), m[:, 1:]])
-            u = (m[:, 0] - z @ beta) ** 2
-            return np.concatenate([[u.sum(), u @ u], m[:, 1:].T @ u])
-        v = list(block_sums(df, [y, *xcols], fn, 2 + len(xcols)))
-    else:
-        e2 = F.pow(res.resid_expr(y), 2)
-        wdf = df.select(*xcols, e2.alias("__u"))
-        v = _agg_many(wdf, [F.sum("__u"), F.sum(F.col("__u") * F.col("__u"))]
-                      + [F.sum(F.col("__u") * F.col(c)) for c in xcols])
-    su, suu, szu = v[0], v[1], np.array(v[2:])
-    zu = np.concatenate([[su], szu])
-    b = res.ztz_inv @ zu  # the fit's pseudo-inverse: the design may be rank-deficient
-    ssr = suu - b @ zu
-    sst = suu - su * su / g.n
+    def part(it: Iterator) -> Iterator:
+        for pdf in it:
+            v = pdf[cols].to_numpy(dtype="float64")
+            d = v[:, 0]
+            r = v / d[:, None]
+            value = (d - d * d / n) * (1.0 / d + ((r @ s.inv) * r).sum(1))
+            alone = np.all(np.abs(r @ s.null) <= 1e-6, axis=1) if s.null.size else np.ones(len(v), bool)
+            yield pd.DataFrame({"feature": prefix + pdf["level"], "value": np.where(alone, value, np.nan)})
+    levels = g.dummies().mapInPandas(part, "feature string, value double")
+    return table.unionByName(levels.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))))
+
+
+def breusch_pagan(res: OLSResult, g: Gram) -> dict[str, float]:
+    """STAT-5: regress e² on the design; LM = n·R² ~ χ²(k-1) with k columns; F from the
+    auxiliary fit with the design's rank in its degrees of freedom.  All sums are the HC3 pass's."""
+    q = len(g.cols) + 1
+    zu, suu = res.squares[:q], float(res.squares[q])
+
+    def fn(v, sy, weight, e2, b):
+        return np.concatenate([v.T @ (e2 / v[:, 0]), [e2 @ (e2 / v[:, 0])]])
+    t = _arrow(g, res, fn, q + 1)
+    rest = zu - t[:q]
+    ssr = suu - float(t[q] + rest @ res.system.inv @ rest)
+    sst = suu - zu[0] ** 2 / g.n
     r2 = min(1.0, max(0.0, 1.0 - ssr / sst)) if sst > 0 else 0.0
-    k = len(res.names)
     lm = g.n * r2
     fval = (r2 / res.df_model) / ((1.0 - r2) / res.df_resid) if r2 < 1.0 else float("inf")
-    return {"lm": float(lm), "lm_pvalue": D.chi2_sf(lm, k - 1), "fvalue": float(fval),
+    return {"lm": float(lm), "lm_pvalue": D.chi2_sf(lm, res.n_columns - 1), "fvalue": float(fval),
             "f_pvalue": D.f_sf(fval, res.df_model, res.df_resid) if r2 < 1.0 else 0.0}
 
 
+def condition_number(g: Gram, rank: int, probes: int = 24) -> float:
+    """sqrt(λmax/λmin) of XᵀX, dummies included; a singular design's ratio stops at double precision.
+
+    λ lies above as many eigenvalues as the levels with n < λ and the negative ones of
+    Σuuᵀ - λI - Σ v vᵀ/(n - λ); each pass over the level table tries ``probes`` values for either end.
+    """
+    q = len(g.cols) + 1
+    if rank < q + g.n_dummies:
+        return 1.0 / np.finfo(float).eps
+    if not g.n_dummies:
+        ev = np.linalg.eigvalsh(g.uu)
+        return math.sqrt(ev[-1] / ev[0])
+    top = float(np.trace(g.uu) + g.n)
+    spans, total = {"min": (0.0, top), "max": (0.0, top)}, q + g.n_dummies
+    while any(hi - lo > 1e-11 * hi for lo, hi in spans.values()):
+        tries = np.concatenate([
+            lo + (hi - lo) * np.linspace(0, 1, probes + 2)[1:-1] if lo > hi * 1e-3 else
+            np.geomspace(max(lo, hi * 1e-6), hi, probes + 2)[1:-1] for lo, hi in spans.values()])
+
+        def fn(v, sy):
+            out = []
+            for t in tries:
+                gap = v[:, 0] - t
+                gap = np.where(gap == 0, 1e-300, gap)
+                out += [(v.T @ (v / gap[:, None])).ravel(), [np.sum(v[:, 0] < t)]]
+            return np.concatenate(out)
+        sums = g.level_sums(fn, len(tries) * (q * q + 1)).reshape(len(tries), -1)
+        below = [int(s[-1] + np.sum(np.linalg.eigvalsh(g.uu - t * np.eye(q) - s[:-1].reshape(q, q)) < 0))
+                 for t, s in zip(tries, sums)]
+        for name, want in (("min", 1), ("max", total)):
+            lo, hi = spans[name]
+            hi = min([hi, *[t for t, b in zip(tries, below) if b >= want and t > lo]])
+            lo = max([lo, *[t for t, b in zip(tries, below) if b < want and t < hi]])
+            spans[name] = (lo, hi)
+    return math.sqrt(spans["max"][1] / spans["min"][1])
+
+
 def residual_moments(df: DataFrame, resid: Column) -> dict[str, float]:
     """Σe, Σe², Σe³, Σe⁴, n in one aggregate -> skew, kurtosis (non-excess)."""
     r = df.select(resid.alias("__e"))
@@ -484,21 +681,17 @@ def fit_summary(res: OLSResult, moments: dict[str, float], dw: float, g: Gram) -
     n, k = res.n, res.rank
     ssr = moments["ssr"]
     ll = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1)
-    f, pf = wald_f(res)
+    f, pf = wald_f(res, g)
     s, kt = moments["skew"], moments["kurtosis"]
     jb = n / 6.0 * (s * s + (kt - 3.0) ** 2 / 4.0)
     om, pom = omnibus(s, kt, n)
-    ztz, _ = g.with_const()
-    ev = np.linalg.eigvalsh(ztz)
-    # A singular design's least eigenvalue is rounding: the ratio stops at double precision.
-    cond = math.sqrt(ev[-1] / max(abs(ev[0]), ev[-1] * np.finfo(float).eps ** 2))
     return {
         "n_obs": n, "df_model": k - 1, "df_resid": n - k, "r2": res.rsquared,
         "adj_r2": res.rsquared_adj, "f_statistic": f, "f_pvalue": pf, "log_likelihood": ll,
         "aic": -2 * ll + 2 * k, "bic": -2 * ll + k * math.log(n), "durbin_watson": dw,
         "omnibus": om, "omnibus_pvalue": pom, "jarque_bera": jb,
         "jarque_bera_pvalue": D.chi2_sf(jb, 2), "skew": s, "kurtosis": kt,
-        "condition_number": cond,
+        "condition_number": condition_number(g, res.rank),
     }
 
 

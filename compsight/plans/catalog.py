@@ -178,17 +178,6 @@ def recent_window_q(spark, sf_dir):
     return clean.filter_recent(prep.loaded(spark, sf_dir), as_of=AS_OF)
 
 
-@register("recent_all_null", Q.with_ctes(Q.LOADED_CTE, body=f"""
-SELECT * FROM loaded
-WHERE fecha_de_modificacion IS NULL
-  AND (fecha_de_modificacion >= {_CUTOFF}
-       OR (SELECT count(fecha_de_modificacion) FROM loaded WHERE fecha_de_modificacion IS NULL) = 0)"""))
-def recent_all_null_q(spark, sf_dir):
-    """FLT-3 no-op rule: on the comps whose date did not parse, nothing is dropped."""
-    undated = prep.loaded(spark, sf_dir).filter(F.col(C.DATE_COL).isNull())
-    return clean.filter_recent(undated, as_of=AS_OF)
-
-
 @register("stage_counts", Q.with_ctes(Q.LOADED_CTE, Q.LATEST_CTE, Q.CLEAN_CTE, body="""
 SELECT 'loaded' AS stage, CAST(count(*) AS BIGINT) AS n_rows FROM loaded
 UNION ALL SELECT 'latest', count(*) FROM latest
@@ -201,13 +190,6 @@ def stage_counts_q(spark, sf_dir):
     return stage_counts(prep.loaded(spark, sf_dir), as_of=AS_OF)
 
 
-@register("drop_constant_columns", Q.with_ctes(Q.LOADED_CTE, body="""
-SELECT * EXCLUDE (loan_number) FROM loaded WHERE loan_number IS NULL"""))
-def drop_constant_columns_q(spark, sf_dir):
-    """FLT-6 / AGG-7/8: on the id-less comps, the all-NULL id column is dropped."""
-    return clean.drop_constant_columns(prep.loaded(spark, sf_dir).filter(F.col(C.ID_COL).isNull()))
-
-
 @register("drop_constant_columns_all", Q.with_ctes(Q.LOADED_CTE, body="""
 SELECT * FROM loaded"""))
 def drop_constant_columns_all_q(spark, sf_dir):
@@ -454,16 +436,6 @@ def parse_rate_q(spark, sf_dir):
     return agg.parse_rate(standins.comps(spark, sf_dir), _TEXT_COLS)
 
 
-@register("null_profile", Q.with_ctes(Q.LOADED_CTE, body=" UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS n_values, count({c}) = 0 AS all_null, "
-    f"COALESCE(min({c}) < max({c}), false) AS varies FROM loaded WHERE loan_number IS NULL"
-    for c in standins.COMPS_COLUMNS)))
-def null_profile_q(spark, sf_dir):
-    """AGG-7/8: per-column value count, all-NULL and constant flags (id-less comps)."""
-    df = prep.loaded(spark, sf_dir).filter(F.col(C.ID_COL).isNull())
-    return agg.null_profile(df, standins.COMPS_COLUMNS)
-
-
 @register("null_profile_all", Q.with_ctes(Q.LOADED_CTE, body=" UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS n_values, count({c}) = 0 AS all_null, "
     f"COALESCE(min({c}) < max({c}), false) AS varies FROM loaded"
@@ -594,8 +566,7 @@ def one_hot_q(spark, sf_dir):
 @register("design_matrix")
 def design_matrix_q(spark, sf_dir):
     """FEAT-7: full column transformer output (num__ block + cat__ dummies) for all rows."""
-    _, ct, design = TR.build_design(prep.cleaned(spark, sf_dir))
-    return design
+    return TR.build_design(prep.cleaned(spark, sf_dir), dummies=True)[2]
 
 
 @register("scoring_features", Q.with_ctes(body="""
@@ -700,9 +671,8 @@ def _tidy(spark, pairs, key="statistic") -> DataFrame:
 def ridge_fit_q(spark, sf_dir):
     """MOD-1: ridge coefficients (alpha by exact LOO) plus the LOO error per alpha."""
     t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
-    rows = [("intercept", float(t.ridge.intercept))] + list(zip(t.ridge.cols, map(float, t.ridge.coef)))
-    rows += [("alpha", t.ridge.alpha)] + [(f"loo_mse_{a}", v) for a, v in t.ridge.loo_mse.items()]
-    return _tidy(spark, rows, "term")
+    rows = [("alpha", t.ridge.alpha)] + [(f"loo_mse_{a}", v) for a, v in t.ridge.loo_mse.items()]
+    return t.ridge.terms(spark).unionByName(_tidy(spark, rows, "term"))
 
 
 @register("ols_hc3")
@@ -723,21 +693,21 @@ def fit_summary_q(spark, sf_dir):
 def vif_q(spark, sf_dir):
     """STAT-4: VIF of every design column incl. the constant."""
     t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
-    return _tidy(spark, list(L.vif(t.ols, t.gram).items()), "feature")
+    return L.vif_table(t.ols, t.gram, spark)
 
 
 @register("breusch_pagan")
 def breusch_pagan_q(spark, sf_dir):
     """STAT-5: studentised Breusch–Pagan LM and F with p-values."""
     t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
-    return _tidy(spark, list(L.breusch_pagan(t.train(), t.ols, "label", t.gram).items()))
+    return _tidy(spark, list(L.breusch_pagan(t.ols, t.gram).items()))
 
 
 @register("anderson_darling")
 def anderson_darling_q(spark, sf_dir):
     """STAT-6 / WIN-3: Anderson–Darling normality of the OLS residuals (global rank)."""
     t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
-    ad = O.anderson_darling(t.train(), t.ols.resid_expr("label"))
+    ad = O.anderson_darling(t.residuals(), F.col("resid"))
     return _tidy(spark, list(ad.items()))
 
 
@@ -745,10 +715,7 @@ def anderson_darling_q(spark, sf_dir):
 def significant_features_q(spark, sf_dir):
     """STAT-3: features with HC3 p <= 0.05 and their p-values."""
     t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
-    keep = set(L.significant_features(t.ols))
-    return spark.createDataFrame(
-        [(n, float(p)) for n, p in zip(t.ols.names, t.ols.pvalues) if n in keep],
-        "feature string, p_value double")
+    return L.significant(t.ols, spark)
 
 
 @register("backward_elimination")
@@ -924,37 +891,72 @@ def model_meta_q(spark, sf_dir):
     """SNK-3 / SRC-4 / SRC-5: train, persist params + meta + diagnostics,
     read the meta back with the health fallbacks."""
     t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
-    metrics = {r["is_test"]: r for r in TR.split_metrics(TR.linear_predictions(t)).collect()}
+    store = scratch_path(spark, "models")
+    _publish(spark, store, t)
+    return AR.read_meta(spark, AR.version_path(spark, store)[1])
+
+
+def _publish(spark, store: str, t) -> str:
+    """A trained linear model with its metrics, meta record and diagnostics as a version of a store."""
+    metrics = TR.metrics_by_split(TR.linear_predictions(t))
+    coef = t.ols.coef_table(spark).filter(~F.isnan("p_value")).select("feature", "p_value")
+    cats = t.ridge.terms(spark).filter(F.col("term").startswith("cat__"))
+    lists = coef.agg(F.map_from_entries(F.collect_list(F.struct("feature", "p_value"))).alias("p"),
+                     F.sort_array(F.collect_list(F.when((F.col("feature") != "const") & (
+                         F.col("p_value") <= C.P_VALUE_THRESHOLD), F.col("feature")))).alias("s")).first()
     meta = {"target": C.TARGET_COL, "model_type": "RidgeLOO", "artifact_subdir": "v1_ridge",
-            "r2_train": metrics[False]["r2_log"], "r2_test": metrics[True]["r2_log"],
-            "significance": {"n_obs": int(t.ols.n), "r2": t.ols.rsquared,
-                             "adj_r2": t.ols.rsquared_adj,
-                             "significant_features": L.significant_features(t.ols),
-                             "pvalues": {n: float(p) for n, p in zip(t.ols.names, t.ols.pvalues)}},
-            "feature_sets": {"numeric": [n for n in t.feature_names if n.startswith("num__")],
-                             "categorical": [n for n in t.feature_names if n.startswith("cat__")]}}
-    diags = [("vif", k, "VIF", v) for k, v in L.vif(t.ols, t.gram).items()]
-    path = scratch_path(spark, "v1_ridge")
-    AR.save_linear(spark, path, t, meta, diags)
-    params = AR.load_params(spark, path)
-    assert abs(params["intercept"] - t.ridge.intercept) < 1e-12
-    return AR.read_meta(spark, path)
+            "r2_train": metrics["train"]["r2_log"], "r2_test": metrics["test"]["r2_log"],
+            "significance": {"n_obs": int(t.ols.n), "r2": t.ols.rsquared, "adj_r2": t.ols.rsquared_adj,
+                             "significant_features": lists["s"], "pvalues": lists["p"]},
+            "feature_sets": {"numeric": t.transformer.numeric_names,
+                             "categorical": [r["term"] for r in cats.select("term").orderBy("term").collect()]}}
+    diags = [("vif", r["feature"], "VIF", r["value"]) for r in L.vif_table(t.ols, t.gram, spark).collect()]
+    return AR.publish(spark, store, lambda path: AR.save_linear(spark, path, t.model(), meta, metrics, diags))
 
 
 # ====================================================================== scoring and audit
 from ..operators.scoring import score_requests  # noqa: E402
+from .fixedmodel import fixed_model, scored_sql  # noqa: E402
 
 
-def _scorer(spark, sf_dir):
-    t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
-    return lambda req: score_requests(req, t.collapse, t.transformer, t.ridge,
-                                      ratio_mode=t.ratio_mode, cost_nulls=t.cost_nulls)
+def _fixed_model(spark):
+    """The fixed model as a version of a store, loaded again: nothing is trained."""
+    store, model = scratch_path(spark, "models"), fixed_model(spark)
+    meta = {"target": C.TARGET_COL, "model_type": model.model_type, "artifact_subdir": "fixed"}
+    AR.publish(spark, store, lambda path: AR.save_linear(spark, path, model, meta))
+    return AR.load_model(spark, store)
+
+
+def _scores(scored: DataFrame) -> DataFrame:
+    """Scores rounded where two engines' logarithms may differ in the last digit, by the same arithmetic in both."""
+    digits = {"arv_raw": 2, "arv": 2, "clamped_ratio": 6, "max_loan_ltv": 2, "max_loan_ltc": 2, "total_loan": 2,
+              "initial_advance": 2, "placement_fee": 2}
+    plain = ("total_cost", "arv_clamped", "cash_to_close", "model_type", "model_version")
+    scale = {c: F.lit(10.0 ** d) for c, d in digits.items()}
+    return scored.select("request_id", *[
+        (F.floor(F.col(c) * scale[c] + 0.5).cast("double") / scale[c]).alias(c) if c in digits else c
+        for c in scored.columns if c in digits or c in plain])
 
 
-@register("score_batch")
+@register("score_saved", scored_sql("ltv", unknown="impute", city="from_address"))
+def score_saved_q(spark, sf_dir):
+    """SRC-4 + lifecycle B: a saved model of fixed parameters, loaded from the store, scores every request (LTV loan)."""
+    return _scores(score_requests(standins.scoring_requests(spark, sf_dir), _fixed_model(spark), city="from_address"))
+
+
+@register("score_batch", scored_sql("ltv_ltc", unknown="zero", city="other"))
 def score_batch_q(spark, sf_dir):
-    """Lifecycle B on every scoring request: features, prediction, clamp, LTV loan."""
-    return _scorer(spark, sf_dir)(standins.scoring_requests(spark, sf_dir))
+    """Lifecycle B by the other path: unknown fields are 0, the city is Other, LTV and LTC bound the loan."""
+    return _scores(score_requests(standins.scoring_requests(spark, sf_dir), _fixed_model(spark), policy="ltv_ltc",
+                                  unknown="zero"))
+
+
+@register("score_trained")
+def score_trained_q(spark, sf_dir):
+    """MOD-1 -> SNK-3 -> SRC-4 -> MOD-3: train, publish with metrics, load, score every request."""
+    store = scratch_path(spark, "models")
+    _publish(spark, store, TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False))
+    return score_requests(standins.scoring_requests(spark, sf_dir), AR.load_model(spark, store), city="from_address")
 
 
 @register("valuation_audit")
@@ -964,10 +966,8 @@ def valuation_audit_q(spark, sf_dir):
     t = TR.train_linear(prep.cleaned(spark, sf_dir), diagnostics=False)
     df = prep.engineer(prep.cleaned(spark, sf_dir), ratio_mode="audit", cost_nulls="zero")
     df = schema.add_missing_columns(df, C.NUMERIC_FEATURES + C.CATEGORICAL_FEATURES)
-    pre = t.collapse.transform(df)
-    pred = pre.select("source_row", "total_cost", C.TARGET_COL, *t.transformer.columns())
-    pred = pred.select("source_row", "total_cost", C.TARGET_COL,
-                       fin.inverse_target(t.ridge.predict_expr(), "log1p").alias("predicted_arv"))
+    pred = t.model().predict(df, "__pred").select(
+        "source_row", "total_cost", C.TARGET_COL, fin.inverse_target("__pred", "log1p").alias("predicted_arv"))
     ratio = pred.select(fin.value_ratio("predicted_arv", "total_cost").alias("ratio_pred_total"))
     from ..operators.quantiles import exact_percentiles
     pct = exact_percentiles(ratio, "ratio_pred_total", C.DESCRIBE_PERCENTILES)
@@ -1014,14 +1014,15 @@ def stream_latest_q(spark, sf_dir):
     return SL.latest_table(spark, state)
 
 
-@register("stream_score")
+@register("stream_score", scored_sql("ltv", unknown="impute", city="from_address"))
 def stream_score_q(spark, sf_dir):
-    """STR-3: scoring requests read as a stream and scored by the batch projection."""
+    """STR-3: scoring requests read as a stream and scored by the saved model, as ``score_saved`` does in a batch."""
     src = scratch_path(spark, "requests")
     standins.scoring_requests(spark, sf_dir).write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    scored = SL.score_stream(stream, _scorer(spark, sf_dir))
-    return SL.run_append(scored, "scored")
+    model = _fixed_model(spark)
+    scored = SL.score_stream(stream, lambda req: score_requests(req, model, city="from_address"))
+    return _scores(SL.run_append(scored, "scored"))
 
 
 @register("stream_ingest")

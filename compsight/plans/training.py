@@ -3,8 +3,8 @@ diagnostics, random forest, and their metrics.
 
 Data flow: cleaned comps -> hash split flag -> rare-category collapse
 (fitted on the train rows, D13) -> engineered features -> column
-transformer fitted on train -> design matrix, checkpointed once because
-several aggregate passes read it -> GRAM -> driver-side d×d algebra.
+transformer fitted on train -> design, written once because several passes
+read it -> GRAM -> small algebra on the driver, level tables on the executors.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from ..operators import linear as L
 from ..operators import ordered as O
 from ..operators.aggregates import regression_metrics
 from ..operators.sampling import seeded_hash32, split_flags
-from ..session import cut_lineage
+from ..operators.scoring import ForestModel, LinearModel, category_lookup
+from ..session import stored
 
 
 @dataclass
@@ -36,58 +37,62 @@ class LinearTraining:
     cost_nulls: str = "propagate"
     extras: dict = field(default_factory=dict)
 
-    @property
-    def feature_names(self) -> list[str]:
-        return self.transformer.feature_names
-
     def train(self) -> DataFrame:
         return self.design.filter(~F.col("is_test"))
 
+    def residuals(self) -> DataFrame:
+        """The train rows plus ``resid`` of the OLS fit."""
+        return self.ols.with_residual(self.train(), "label")
+
+    def model(self) -> LinearModel:
+        """The ridge fit as a scoring model."""
+        ct, (category,) = self.transformer, self.transformer.categorical
+        lookup, other = category_lookup(self.collapse.kept, self.ridge.effects, self.collapse.other)
+        numeric = [(c, float(ct.medians[c]), *ct.scaling[c], float(b)) for c, b in zip(ct.kept_numeric, self.ridge.coef)]
+        return LinearModel(numeric, float(self.ridge.intercept), category, stored(lookup, "lookup"), other,
+                           self.ridge.transform, self.ratio_mode, self.cost_nulls)
+
 
 def build_design(df: DataFrame, transform: str = "log1p", fit_on: str = "train",
-                 ratio_mode: str = "train_linear", cost_nulls: str = "propagate"
+                 ratio_mode: str = "train_linear", cost_nulls: str = "propagate", dummies: bool = False
                  ) -> tuple[FE.RareCollapse, FE.ColumnTransformerModel, DataFrame]:
     """Split, collapse rare cities, engineer, fit the transformer on train and
-    materialise the design matrix (label in transformed space)."""
-    df = cut_lineage(split_flags(df))  # several fitting passes read it
+    store the design (label in transformed space): numeric columns and the city, or its dummies."""
+    df = stored(split_flags(df), "split")  # several fitting passes read it
     fit_rows = df if fit_on == "all" else df.filter(~F.col("is_test"))
     collapse = FE.RareCollapse.fit(fit_rows, "city")
     pre = FE.preprocess(df, collapse, ratio_mode, cost_nulls)
-    ct = FE.fit_column_transformer(pre.filter(~F.col("is_test")))
+    ct = FE.fit_column_transformer(pre.filter(~F.col("is_test")), dummies=dummies)
     design = pre.select(
         "source_row", "is_test",
         forward_target(C.TARGET_COL, transform).alias("label"),
         seeded_hash32("source_row").alias("order_key"),
-        *ct.columns())
-    return collapse, ct, cut_lineage(design)
+        *(ct.columns() if dummies else ct.compact_columns()))
+    return collapse, ct, stored(design, "design")
 
 
 def train_linear(df: DataFrame, diagnostics: bool = True, ratio_mode: str = "train_linear",
                  cost_nulls: str = "propagate") -> LinearTraining:
     collapse, ct, design = build_design(df, "log1p", ratio_mode=ratio_mode, cost_nulls=cost_nulls)
-    names = ct.feature_names
+    names, level = ct.numeric_names, f"cat__{ct.categorical[0]}"
     train = design.filter(~F.col("is_test"))
-    g = L.gram(train, names, "label")
+    g = L.gram(train, names, "label", level)
     ridge = L.ridge_loo(train, names, "label", g=g)
     res = L.ols(train, names, "label", cov_type="HC3", g=g)
     out = LinearTraining(collapse, ct, design, ridge, g, res, ratio_mode, cost_nulls)
     if diagnostics:
-        resid = res.resid_expr("label")
-        moments = L.residual_moments(train, resid)
-        dw = O.durbin_watson(train, resid, ["order_key", "source_row"])["durbin_watson"]
+        resid = stored(out.residuals().select("order_key", "source_row", "resid"), "residuals")
+        moments = L.residual_moments(resid, F.col("resid"))
+        dw = O.durbin_watson(resid, F.col("resid"), ["order_key", "source_row"])["durbin_watson"]
         out.extras["summary"] = L.fit_summary(res, moments, dw, g)
-        out.extras["vif"] = L.vif(res, g)
-        out.extras["breusch_pagan"] = L.breusch_pagan(train, res, "label", g)
-        out.extras["anderson_darling"] = O.anderson_darling(train, resid)
     return out
 
 
 def linear_predictions(t: LinearTraining) -> DataFrame:
-    """MOD-3: log prediction as a literal dot product, then the exact inverse."""
-    p = t.ridge.predict_expr()
-    return t.design.select("source_row", "is_test", "label", p.alias("pred_log"),
-                           inverse_target("label", "log1p").alias("y_dollars"),
-                           inverse_target(p, "log1p").alias("pred_dollars"))
+    """MOD-3: log prediction as a literal dot product plus the city's effect, then the exact inverse."""
+    return t.ridge.with_prediction(t.design, "pred_log").select(
+        "source_row", "is_test", "label", "pred_log", inverse_target("label", "log1p").alias("y_dollars"),
+        inverse_target("pred_log", "log1p").alias("pred_dollars"))
 
 
 def split_metrics(pred: DataFrame) -> DataFrame:
@@ -101,6 +106,12 @@ def split_metrics(pred: DataFrame) -> DataFrame:
     return logm.join(dol, "is_test")
 
 
+def metrics_by_split(pred: DataFrame) -> dict[str, dict[str, float]]:
+    """MOD-4 as {train / test: {metric: value}}."""
+    return {"test" if r["is_test"] else "train": {k: float(v) for k, v in r.asDict().items() if k != "is_test"}
+            for r in split_metrics(pred).collect()}
+
+
 # ---------------------------------------------------------------- MOD-2 forest
 @dataclass
 class ForestTraining:
@@ -111,6 +122,9 @@ class ForestTraining:
     collapse: FE.RareCollapse
     transformer: FE.ColumnTransformerModel
 
+    def scorer(self) -> ForestModel:
+        return ForestModel(self.model, self.collapse, self.transformer, features=self.features)
+
 
 def train_forest(df: DataFrame, num_trees: int = C.FOREST_TREES, max_depth: int = C.FOREST_DEPTH,
                  max_bins: int = 64, seed: int = C.RANDOM_STATE) -> ForestTraining:
@@ -122,7 +136,7 @@ def train_forest(df: DataFrame, num_trees: int = C.FOREST_TREES, max_depth: int
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    df = cut_lineage(split_flags(df))
+    df = stored(split_flags(df), "split")
     collapse = FE.RareCollapse.fit(df.filter(~F.col("is_test")), "city")
     df = collapse.transform(df)
     df = df.withColumns({
@@ -131,9 +145,8 @@ def train_forest(df: DataFrame, num_trees: int = C.FOREST_TREES, max_depth: int
     from ..functions.finance import rehab_ratio
     df = df.withColumn("rehab_ratio", rehab_ratio(C.PURCHASE_COL, C.REHAB_COL, "train_forest"))
     ct = FE.fit_column_transformer(df.filter(~F.col("is_test")))
-    design = cut_lineage(df.select("source_row", "is_test",
-                                   forward_target(C.TARGET_COL, "log").alias("label"),
-                                   *ct.columns()))
+    design = stored(df.select("source_row", "is_test", forward_target(C.TARGET_COL, "log").alias("label"),
+                              *ct.columns()), "forest-design")
     names = ct.feature_names
     vec = VectorAssembler(inputCols=names, outputCol="features").transform(design)
     rf = RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=num_trees,

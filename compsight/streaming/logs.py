@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.clean import latest_per_id
-from ..session import scratch_path
+from ..session import hadoop_path, scratch_path
 from ..sources.logs import CORRUPT
 
 
@@ -126,19 +126,14 @@ def merge_latest(state_path: str, id_col: str, date_col: str, tiebreak: str
     return body
 
 
-def _hadoop(spark: SparkSession, path: str):
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Epochs whose folder under ``path`` was written to its end, in order."""
-    hpath, fs = _hadoop(spark, f"{path}/v*/_SUCCESS")
+    hpath, fs = hadoop_path(spark, f"{path}/v*/_SUCCESS")
     return sorted(int(x.getPath().getParent().getName()[1:]) for x in fs.globStatus(hpath) or [])
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    hpath, fs = _hadoop(spark, path)
+    hpath, fs = hadoop_path(spark, path)
     fs.delete(hpath, True)
 
 

@@ -65,8 +65,9 @@ def compare(spark, con, name, fn, sql, sf_dir):
     dset = sorted((tuple(_norm(r[i]) for i in dorder) for r in drows), key=repr)
     out["ok"] = sset == dset
     if not out["ok"]:
-        diff_s = [r for r in sset if r not in set(dset)][:3]
-        diff_d = [r for r in dset if r not in set(sset)][:3]
+        in_spark, in_duck = set(sset), set(dset)
+        diff_s = [r for r in sset if r not in in_duck][:3]
+        diff_d = [r for r in dset if r not in in_spark][:3]
         out["detail"] = (f"cols={[scols[i] for i in order]}\n spark-only={diff_s}\n"
                          f" duck-only={diff_d}")
     return out

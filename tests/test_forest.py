@@ -1,9 +1,14 @@
-"""The forest's size, and a saved forest against the one in memory."""
+"""The forest's size, and saved models against those in memory."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from compsight.operators.scoring import score_requests
 from compsight.plans import catalog, prep, training
-from compsight.sources import artifacts
+from compsight.plans.fixedmodel import fixed_model
+from compsight.session import scratch_path
+from compsight.sources import artifacts, standins
+from compsight.streaming import logs
 from conftest import SF001
 
 
@@ -20,14 +25,75 @@ def test_queries_fit_the_whole_forest(spark, monkeypatch):
     assert asked == [(400, 30)] * 2
 
 
-def test_saved_forest_predicts_as_in_memory(spark, tmp_path):
+def rows(df):
+    return {r["request_id"]: tuple(v for k, v in r.asDict().items() if k != "model_version") for r in df.collect()}
+
+
+def test_saved_forest_scores_as_in_memory(spark):
     t = training.train_forest(prep.cleaned(spark, SF001), num_trees=5, max_depth=6)
-    artifacts.save_forest(spark, f"file://{tmp_path}/forest", t)
-    again = artifacts.load_forest(f"file://{tmp_path}/forest")
-    assert again.getNumTrees == 5
-    got = {r.source_row: r.prediction for r in again.transform(t.design).collect()}
-    want = {r.source_row: r.pred_log for r in training.forest_predictions(t).select("source_row", "pred_log").collect()}
-    assert got == want and len(got) > 0
-    fitted = spark.read.parquet(f"file://{tmp_path}/forest/transformer").select(
-        F.get_json_object("fitted", "$.transform").alias("t")).first()
-    assert fitted.t == "log"
+    store, metrics = scratch_path(spark, "store"), training.metrics_by_split(training.forest_predictions(t))
+    artifacts.publish(spark, store, lambda p: artifacts.save_forest(spark, p, t.scorer(), {"target": "x", "r2_test": 0.5},
+                                                                    metrics))
+    again = artifacts.load_model(spark, store)
+    assert again.forest.getNumTrees == 5 and (again.version, again.transform) == ("v00000001", "log")
+    req = standins.scoring_requests(spark, SF001)
+    want = rows(score_requests(req, t.scorer(), city="from_address"))
+    assert rows(score_requests(req, again, city="from_address")) == want and want
+    path = artifacts.version_path(spark, store)[1]
+    saved = {(r["split"], r["metric"]): r["value"] for r in spark.read.parquet(f"{path}/metrics").collect()}
+    assert saved["test", "r2_log"] == metrics["test"]["r2_log"]
+    assert artifacts.read_meta(spark, path).first()["r2_test"] == 0.5
+
+
+def test_saved_linear_model_scores_as_in_memory_in_batch_and_stream(spark):
+    t = training.train_linear(prep.cleaned(spark, SF001), diagnostics=False)
+    store = scratch_path(spark, "store")
+    version = catalog._publish(spark, store, t)
+    loaded = artifacts.load_model(spark, store, version)
+    req = standins.scoring_requests(spark, SF001)
+    want = rows(score_requests(req, t.model(), city="from_address"))
+    assert want and rows(score_requests(req, loaded, city="from_address")) == want
+    src = scratch_path(spark, "req")
+    req.write.parquet(src)
+    stream = spark.readStream.schema(req.schema).parquet(src)
+    out = logs.run_append(logs.score_stream(stream, lambda r: score_requests(r, loaded, city="from_address")), "scored")
+    assert rows(out) == want
+    # the model's predictions are those of the fit
+    fit = {r.source_row: r.pred_log for r in training.linear_predictions(t).collect()}
+    pre = prep.engineer(prep.cleaned(spark, SF001))
+    got = {r.source_row: r.p for r in t.model().predict(pre, "p").select("source_row", "p").collect()}
+    assert got == pytest.approx(fit, rel=1e-12)
+
+
+def test_versions_stand_side_by_side(spark):
+    store, model = scratch_path(spark, "store"), fixed_model(spark)
+    with pytest.raises(FileNotFoundError):
+        artifacts.load_model(spark, store)
+
+    def broken(path):
+        artifacts.save_linear(spark, path, model, {"target": "x"})
+        raise RuntimeError("lost")
+    with pytest.raises(RuntimeError):
+        artifacts.publish(spark, store, broken)
+    assert artifacts.versions(spark, store) == []
+    for intercept in (1.0, 2.0):
+        model.intercept = intercept
+        artifacts.publish(spark, store, lambda p: artifacts.save_linear(spark, p, model, {"target": "x"}))
+    assert artifacts.versions(spark, store) == ["v00000001", "v00000002"]
+    assert artifacts.load_model(spark, store).intercept == 2.0
+    first = artifacts.load_model(spark, store, "v00000001")
+    assert first.intercept == 1.0 and first.numeric == model.numeric and first.version == "v00000001"
+    with pytest.raises(FileNotFoundError):
+        artifacts.load_model(spark, store, "v00000003")
+
+
+def test_many_cities_collapse_save_and_score(spark):
+    """1,500 kept cities: nothing is cut, no list of them is on the driver."""
+    df = spark.range(6_000).select(F.format_string("city %04d", F.col("id") % 1_500).alias("city"), F.col("id"))
+    from compsight.operators.features import RareCollapse, fit_categories
+    collapse = RareCollapse.fit(df, "city", min_count=4)
+    assert collapse.kept.count() == 1_500 == len(fit_categories(df, "city"))
+    assert RareCollapse.fit(df, "city", min_count=5).transform(df).filter("city != 'Other'").count() == 0
+    kept = collapse.transform(df.union(spark.createDataFrame([(None, -1), ("new", -2)], "city string, id long")))
+    assert {r.id: r.city for r in kept.filter("id < 0").collect()} == {-1: "Other", -2: "Other"}
+    assert kept.filter("id >= 0 AND city = 'Other'").count() == 0
