@@ -65,19 +65,17 @@ def describe(df: DataFrame, col: str, percentiles: Sequence[float] = C.DESCRIBE_
     c = F.col(col)
     ps = list(percentiles)
     names = [f"p{int(round(p * 100))}" for p in ps]
-    df = df.select(c.cast("double").alias(col)).checkpoint(eager=True)
-    mom = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"),
-                 F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    df = df.select(c.cast("double").alias(col))
+    moments = [F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+               F.min(c).alias("min"), F.max(c).alias("max")]
     if exact:
-        # histogram refinement: no task holds the column's distinct values
+        # bracketed ranks: no task holds the column's distinct values; the moments ride along
         from .quantiles import exact_percentiles
-        pct = exact_percentiles(df, col, ps, names=names)
+        out = exact_percentiles(df, col, ps, names=names, extra=moments)
     else:
-        arr = df.agg(F.percentile_approx(c, F.array(*[F.lit(p) for p in ps]), accuracy).alias("a"))
-        pct = arr.select(*[F.col("a")[i].alias(n) for i, n in enumerate(names)])
-    # two single-row frames side by side without a join
-    both = mom.unionByName(pct, allowMissingColumns=True)
-    return both.agg(*[F.max(n).alias(n) for n in ["count", "mean", "std", "min", *names, "max"]])
+        arr = df.agg(*moments, F.percentile_approx(c, F.array(*[F.lit(p) for p in ps]), accuracy).alias("a"))
+        out = arr.select("*", *[F.col("a")[i].alias(n) for i, n in enumerate(names)])
+    return out.select("count", "mean", "std", "min", *names, "max")
 
 
 def regression_metrics(df: DataFrame, y: str, p: str, group: str | None = None) -> DataFrame:

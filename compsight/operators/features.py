@@ -235,8 +235,8 @@ def fit_design_matrix(df: DataFrame, cols: Sequence[str]) -> DesignMatrixModel:
     wide = df.select(*[e.alias(n) for n, e in exprs.items()])
     prof = column_profile(wide)
     usable = [n for n in exprs if prof[n][0] > 0 and prof[n][1]]
-    med = fit_medians(wide, usable)
-    fills = {n: float(med[n]) if med[n] is not None else 0.0 for n in usable}
+    med = fit_medians(wide, [n for n in usable if n in numeric])  # dummies are never NULL
+    fills = {n: float(med[n]) if med.get(n) is not None else 0.0 for n in usable}
     return DesignMatrixModel(numeric, dummies, fills)
 
 

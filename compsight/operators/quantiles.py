@@ -1,23 +1,21 @@
-"""Exact quantiles without holding a group's values in one task.
+"""Exact quantiles in a fixed number of passes, without holding a group's values in one task.
 
 Spark's exact ``percentile`` / ``median`` keep every distinct value of a group
 in one aggregation buffer, which does not survive a group holding a third of
-100 TB.  Here an order statistic is found by histogram refinement:
-
-  bounds   per (group, target): min and max
-  wide     rows inside a range that spans signs, infinities or more than a factor
-           of 2^20 -> buckets by sign and binary logarithm
-  narrow   rows inside any other range -> 65,536 equal-width buckets
-  either   (count, min, max) per bucket (partial aggregation) -> running count per
-           (group, target) over the bucket rows -> the bucket holding the k-th
-           value becomes the new range
-  stop     when a range's min equals its max (the value is found)
-
-The ends of a range fall into different buckets, so every level shrinks every open
-range; one wide level and at most five narrow ones resolve any double column, with
-or without infinities.  The per-target state (one row per group and target) is a
-written table whose size the planner knows when it joins it to the data; nothing
-proportional to the data or to the groups reaches the driver or a single task.
+100 TB.  Here
+
+  sketch   one aggregate gives, per group and column, the count and a mergeable sketch's values a little
+           below and above every wanted rank: brackets that are sure to hold it
+  count    one aggregate counts the values below each bracket and finds its two neighbours
+  gather   the few values inside the brackets, counted per value, are summed up in order
+
+All columns and probabilities go through each pass together and side by side; only values inside a
+bracket become rows of their own.  The table is written once, so every pass reads it and nothing
+above it; sketches and counts are written tables of one row a group.
+
+A sketch of accuracy a misses a rank by at most n / a, so a bracket of three times that to both
+sides holds the rank or ends one value beside it (small groups); the neighbours cover that.
+Equal values are one row of the gather, however many there are.
 
 Percentiles use linear interpolation between the order statistics at
 floor/ceil of (n - 1) * p, the definition shared by pandas, Spark's
@@ -26,116 +24,105 @@ floor/ceil of (n - 1) * p, the definition shared by pandas, Spark's
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-
-BUCKETS = 65_536
-#: Buckets for each doubling in a wide range; beyond the largest exponent, the place of infinity.
-PER_OCTAVE = 64
-INFINITE = 4_096
-#: Ranges whose ends differ by a larger factor are wide.
-WIDE = float(1 << 20)
-
-
-def _group_cols(groups: Sequence[str]) -> list[str]:
-    return list(groups) if groups else ["__g"]
-
-
-def order_statistics(df: DataFrame, value: str, ranks: DataFrame,
-                     groups: Sequence[str] = ()) -> DataFrame:
-    """Exact k-th smallest non-NULL ``value`` per group for each (group, target).
-
-    ``ranks`` has the group columns, ``t`` (target id) and ``k`` (1-based
-    rank).  Returns (group..., t, v).
-    """
-    g = _group_cols(groups)
-    data = df.select(*([F.col(c) for c in groups] if groups else [F.lit(0).alias("__g")]),
-                     F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull()
-                                                                   & ~F.isnan(F.col("x")))
-    if not groups:
-        ranks = ranks.withColumn("__g", F.lit(0))
-    bounds = data.groupBy(*g).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    state = (ranks.join(bounds, g).select(*g, "t", "k", "lo", "hi")
-             .withColumn("done", F.col("lo") == F.col("hi")))
-    state = _stored(state)
-    while not state.agg(F.coalesce(F.bool_and("done"), F.lit(True))).first()[0]:
-        nxt = _level(data, g, state.filter(~F.col("done")).select(*g, "t", "k", "lo", "hi"))
-        state = _stored(state.filter(F.col("done")).unionByName(nxt))
-    out = state.select(*g, "t", F.col("lo").alias("v"))
-    return out if groups else out.drop("__g")
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    path = scratch_path(df.sparkSession, "ranges")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def _bucket() -> Column:
-    """Bucket of ``x`` in [lo, hi], lo < hi: never falls as x grows, differs between lo and hi."""
-    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
-    inf = F.lit(math.inf)
-    narrow = (((lo > 0) & (hi < inf) & (hi <= WIDE * lo)) | ((hi < 0) & (lo > -inf) & (lo >= WIDE * hi)))
-    linear = F.least(F.floor((x - lo) / F.nullif(hi - lo, F.lit(0.0)) * F.lit(float(BUCKETS))), F.lit(BUCKETS - 1))
-    size = F.when(F.abs(x) == inf, F.lit(float(INFINITE))).otherwise(F.log2(F.abs(x)) + F.lit(1_100.0))
-    scaled = F.floor(F.signum(x) * F.coalesce(size, F.lit(0.0)) * F.lit(float(PER_OCTAVE)))
-    return F.when(narrow, linear).otherwise(scaled)
-
-
-def _level(data: DataFrame, g: list[str], cur: DataFrame) -> DataFrame:
-    """One refinement level: histogram of the rows inside each target's range."""
-    hist = (data.join(cur, g)
-            .filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-            .groupBy(*g, "t", "k", _bucket().alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")))
-    w = (Window.partitionBy(*g, "t").orderBy("b")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hist = hist.withColumn("cum", F.sum("n").over(w))
-    picked = hist.filter((F.col("cum") >= F.col("k")) & (F.col("cum") - F.col("n") < F.col("k")))
-    return picked.select(*g, "t", (F.col("k") - (F.col("cum") - F.col("n"))).alias("k"),
-                         F.col("mn").alias("lo"), F.col("mx").alias("hi"),
-                         (F.col("mn") == F.col("mx")).alias("done"))
+from ..session import stored
+
+#: A sketch's rank error is at most this share of the values: 1 / ACCURACY.
+ACCURACY = 20_000
+MARGIN = 3.0 / ACCURACY
+
+
+def _same(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, NULL equal to NULL; the keys come from ``a``."""
+    right = b.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in b.columns])
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return a.join(right, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def wide_percentiles(df: DataFrame, values: Sequence[str], probs: Sequence[float], groups: Sequence[str] = (),
+                     extra: Sequence[Column] = ()) -> DataFrame:
+    """One row a group (NULL is a group): the group columns, ``extra`` aggregates of all its rows, and
+    ``q<i>_<j>`` for value column i and probability j (NULL where it has no value; NaN is none)."""
+    n, m = len(values), len(probs)
+    xs = []
+    for i, v in enumerate(values):
+        x = F.col(f"`{v}`").cast("double")
+        xs.append(F.when(~F.isnan(x), x).alias(f"__x{i}"))
+    groups = list(groups)
+    keys = groups or ["__g"]
+    base = stored(df.select("*", *xs) if groups else df.select("*", F.lit(0).alias("__g"), *xs), "values")
+    ends = F.array(*[F.lit(min(1.0, max(0.0, float(p) + side * MARGIN))) for p in probs for side in (-1, 1)])
+    extra = list(extra)
+    sketch = stored(base.groupBy(*keys).agg(*extra, *[c for i in range(n) for c in (
+        F.count(f"__x{i}").alias(f"__n{i}"), F.percentile_approx(f"__x{i}", ends, ACCURACY).alias(f"__s{i}"))]), "sketch")
+    side = sketch.select(*keys, *[f"__s{i}" for i in range(n)])
+    rows = _same(base.select(*keys, *[f"__x{i}" for i in range(n)]), side, keys)
+
+    def lo(i: int, j: int) -> Column:
+        return F.col(f"__s{i}")[2 * j]
+
+    def hi(i: int, j: int) -> Column:
+        return F.col(f"__s{i}")[2 * j + 1]
+
+    pairs = [(i, j) for i in range(n) for j in range(m)]
+    x = [F.col(f"__x{i}") for i in range(n)]
+    counts = rows.groupBy(*keys).agg(*[c for i, j in pairs for c in (
+        F.count_if(x[i] < lo(i, j)).alias(f"__b{i}_{j}"), F.max(F.when(x[i] < lo(i, j), x[i])).alias(f"__p{i}_{j}"),
+        F.min(F.when(x[i] > hi(i, j), x[i])).alias(f"__u{i}_{j}"))])
+    counts = stored(_same(counts, sketch.drop(*[f"__s{i}" for i in range(n)]), keys), "ranks")
+
+    def place(i: int, j: int) -> Column:
+        return (F.col(f"__n{i}") - 1) * F.lit(float(probs[j]))
+
+    wanted = counts.select(*keys, F.inline(F.array(*[F.struct(
+        F.lit(i).alias("__i"), F.lit(j).alias("__j"), (F.floor(place(i, j)) + 1).cast("long").alias("__k1"),
+        (F.ceil(place(i, j)) + 1).cast("long").alias("__k2"), (place(i, j) - F.floor(place(i, j))).alias("__f"),
+        F.col(f"__b{i}_{j}").alias("__below"), F.col(f"__p{i}_{j}").alias("__prev"), F.col(f"__u{i}_{j}").alias("__next"))
+        for i, j in pairs])))
+    inside = F.filter(F.array(*[F.struct(F.lit(i).alias("__i"), F.lit(j).alias("__j"), F.when(
+        (x[i] >= lo(i, j)) & (x[i] <= hi(i, j)), x[i]).alias("__x")) for i, j in pairs]), lambda e: e["__x"].isNotNull())
+    held = rows.select(*keys, F.inline(inside)).groupBy(*keys, "__i", "__j", "__x").agg(F.count(F.lit(1)).alias("__c"))
+    order = Window.partitionBy(*keys, "__i", "__j").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    at = [*keys, "__i", "__j"]
+    summed = _same(held.withColumn("__cum", F.sum("__c").over(order)), wanted, at)
+    rank = {k: F.min(F.when(F.col("__cum") >= F.col(k) - F.col("__below"), F.col("__x"))) for k in ("__k1", "__k2")}
+    found = summed.groupBy(*at).agg(
+        rank["__k1"].alias("__v1"), rank["__k2"].alias("__v2"), F.max("__cum").alias("__all"),
+        *[F.first(c).alias(c) for c in ("__k1", "__k2", "__f", "__below", "__prev", "__next")])
+
+    def value(k: str, v: str) -> Column:
+        far = (F.col(k) < F.col("__below")) | (F.col(k) > F.col("__below") + F.col("__all") + 1)
+        return (F.when(far, F.raise_error(F.lit("rank outside its bracket")).cast("double"))
+                .when(F.col(k) == F.col("__below"), F.col("__prev")).otherwise(F.coalesce(F.col(v), F.col("__next"))))
+    v1, v2, f = value("__k1", "__v1"), value("__k2", "__v2"), F.col("__f")
+    found = found.select(*at, v1.alias("__a"), v2.alias("__b"), "__f").select(
+        *at, F.when((f == 0) | (F.col("__a") == F.col("__b")), F.col("__a"))
+        .otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * f).alias("__q"))
+    wide = found.groupBy(*keys).agg(*[
+        F.max(F.when((F.col("__i") == i) & (F.col("__j") == j), F.col("__q"))).alias(f"q{i}_{j}") for i, j in pairs])
+    names = [c for c in sketch.columns if c not in keys and not c.startswith(("__n", "__s"))]
+    return _same(counts.select(*keys, *names), wide, keys, "left").select(
+        *groups, *names, *[f"q{i}_{j}" for i, j in pairs])
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
-                      groups: Sequence[str] = (), names: Sequence[str] | None = None
-                      ) -> DataFrame:
-    """Exact linear-interpolation percentiles of ``value`` (per group).
+                      groups: Sequence[str] = (), names: Sequence[str] | None = None,
+                      extra: Sequence[Column] = ()) -> DataFrame:
+    """Exact linear-interpolation percentiles of ``value`` (per group, NULL being one), one column per
+    probability (``names`` or ``p<100p>``), after ``extra`` aggregates of the same pass.
 
-    Returns one row per group with one column per probability (``names`` or
-    ``p<100p>``); groups with no non-NULL value are absent.
+    A group without any value is there only with ``extra``, its percentiles NULL.
     """
     names = list(names) if names else [f"p{int(round(p * 100))}" for p in probs]
-    g = _group_cols(groups)
-    # one materialisation of (group, value) serves the counts and every level
-    base = df.select(*groups, F.col(value).cast("double").alias(value)).checkpoint(eager=True)
-    base = base if groups else base.withColumn("__g", F.lit(0))
-    x = F.col(value).cast("double")
-    counts = (base.filter(x.isNotNull() & ~F.isnan(x)).groupBy(*g)
-              .agg(F.count(F.lit(1)).alias("n")))
-    # two targets per probability: ranks floor(h)+1 and ceil(h)+1, h = (n-1)p
-    tgt = []
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1) * F.lit(float(p))
-        tgt.append(F.struct(F.lit(2 * i).alias("t"), (F.floor(h) + 1).cast("long").alias("k")))
-        tgt.append(F.struct(F.lit(2 * i + 1).alias("t"), (F.ceil(h) + 1).cast("long").alias("k")))
-    ranks = counts.select(*g, "n", F.inline(F.array(*tgt)))
-    stats = order_statistics(base, value, ranks.select(*g, "t", "k"), groups=g)
-    wide = stats.groupBy(*g).pivot("t", list(range(2 * len(probs)))).agg(F.first("v"))
-    wide = wide.join(counts, g)
-    cols = []
-    for i, p in enumerate(probs):
-        lo, hi = F.col(str(2 * i)), F.col(str(2 * i + 1))
-        h = (F.col("n") - 1) * F.lit(float(p))
-        frac = h - F.floor(h)
-        cols.append(F.when((frac == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * frac).alias(names[i]))
-    out = wide.select(*g, *cols)
-    return out if groups else out.drop("__g")
+    wide = wide_percentiles(df, [value], probs, groups, extra)
+    out = wide.select(*[c for c in wide.columns if not c.startswith("q0_")],
+                      *[F.col(f"q0_{j}").alias(name) for j, name in enumerate(names)])
+    return out if extra else out.filter(F.col(names[0]).isNotNull())
 
 
 def exact_median(df: DataFrame, value: str, groups: Sequence[str] = (),
@@ -144,12 +131,8 @@ def exact_median(df: DataFrame, value: str, groups: Sequence[str] = (),
 
 
 def column_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    """Exact median of several columns in one refinement (long form, one group
-    per column); returns a small dict (d numbers) for use as literals."""
+    """Exact medians of several columns, all in the same passes; a small dict (d numbers) for use as literals."""
     if not cols:
         return {}
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("__c"), F.col(c).cast("double").alias("__v")) for c in cols])))
-    med = exact_median(long, "__v", ["__c"], "m").collect()
-    got = {r["__c"]: (None if r["m"] is None else float(r["m"])) for r in med}
-    return {c: got.get(c) for c in cols}
+    row = wide_percentiles(df.select(*[F.col(f"`{c}`") for c in cols]), cols, [0.5]).first()
+    return {c: None if row is None or row[f"q{i}_0"] is None else float(row[f"q{i}_0"]) for i, c in enumerate(cols)}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..session import cut_lineage
+from ..session import stored
 
 HASH_BUCKETS = 10_000
 DIGIT_BITS = 16
@@ -88,7 +88,7 @@ def split_exact(df: DataFrame, id_col: str = "source_row", test_size: float = C.
     the smallest (hash, id).  The (hash, id) pairs are checkpointed once, then
     radix selection finds the threshold pair without any global sort."""
     h = seeded_hash32(id_col, seed)
-    keys = cut_lineage(df.select(h.alias("h"), F.col(id_col).alias("i")))
+    keys = stored(df.select(h.alias("h"), F.col(id_col).alias("i")), "cut")
     n = keys.count()
     k = math.ceil(test_size * n) if n else 0
     if k == 0:

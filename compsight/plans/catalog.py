@@ -17,7 +17,7 @@ from ..functions import finance as fin
 from ..functions.numeric import to_date, to_number
 from ..functions.text import city_bucket
 from ..operators import clean, schema
-from ..session import cut_lineage, scratch_path
+from ..session import stored, scratch_path
 from ..sources import standins
 from ..sources.comps import load_comps, normalize_columns
 from . import prep
@@ -207,20 +207,13 @@ FROM feat GROUP BY city"""))
 def city_summary(spark, sf_dir):
     """Minimum slice: cleaned recent comps -> FEAT-2 -> per-city count, median
     purchase price, mean rehab ratio and total value."""
-    from ..operators.quantiles import exact_median
-    df = cut_lineage(prep.features(spark, sf_dir).select(
-        "city", C.PURCHASE_COL, "rehab_ratio", C.TARGET_COL))
-    per_city = df.groupBy("city").agg(
-        F.count(F.lit(1)).alias("n_comps"),
-        r4(F.avg("rehab_ratio")).alias("avg_rehab_ratio"),
-        F.sum(F.col(C.TARGET_COL).cast("decimal(18,2)")).cast("decimal(18,2)").alias("total_value"))
-    # exact median by histogram refinement: a hot city never sits in one buffer
-    med = exact_median(df.filter(F.col("city").isNotNull()), C.PURCHASE_COL, ["city"], "m")
-    med_null = exact_median(df.filter(F.col("city").isNull()), C.PURCHASE_COL, [], "m")
-    med = med.unionByName(med_null.select(F.lit(None).cast("string").alias("city"), "m"))
-    return per_city.join(med, per_city["city"].eqNullSafe(med["city"]), "left").select(
-        per_city["city"], "n_comps", r4(F.col("m")).alias("median_purchase"),
-        "avg_rehab_ratio", "total_value")
+    from ..operators.quantiles import exact_percentiles
+    df = prep.features(spark, sf_dir).select("city", C.PURCHASE_COL, "rehab_ratio", C.TARGET_COL)
+    # exact median in the same passes as the other aggregates: a hot city never sits in one buffer
+    out = exact_percentiles(df, C.PURCHASE_COL, [0.5], ["city"], ["m"], extra=[
+        F.count(F.lit(1)).alias("n_comps"), r4(F.avg("rehab_ratio")).alias("avg_rehab_ratio"),
+        F.sum(F.col(C.TARGET_COL).cast("decimal(18,2)")).cast("decimal(18,2)").alias("total_value")])
+    return out.select("city", "n_comps", r4(F.col("m")).alias("median_purchase"), "avg_rehab_ratio", "total_value")
 
 
 # ====================================================================== finance (FIN-1..9)
@@ -496,7 +489,7 @@ _FEAT_ALL = [Q.LOADED_CTE, Q.LATEST_CTE, Q.CLEAN_CTE, Q.FEATURES_CTE, Q.SPLIT_CT
 def _split_features(spark, sf_dir) -> DataFrame:
     """Cleaned, engineered, split comps, materialised once: the fit passes
     and the final transform all read it."""
-    return cut_lineage(smp.split_flags(prep.features(spark, sf_dir)))
+    return stored(smp.split_flags(prep.features(spark, sf_dir)), "cut")
 
 
 @register("collapse_rare", Q.with_ctes(*_FEAT_ALL, body="SELECT source_row, city FROM pre"))
@@ -724,8 +717,8 @@ def backward_elimination_q(spark, sf_dir):
     df = _split_features(spark, sf_dir).filter(~F.col("is_test"))
     cols = C.NUMERIC_FEATURES + C.CATEGORICAL_FEATURES
     dm = FE.fit_design_matrix(df, cols)
-    x = cut_lineage(dm.transform(df.withColumn(
-        "label", fin.forward_target(C.TARGET_COL, "log1p")), keep=["label"]))
+    x = stored(dm.transform(df.withColumn(
+        "label", fin.forward_target(C.TARGET_COL, "log1p")), keep=["label"]), "cut")
     res, kept = L.backward_elimination(x, dm.feature_names, "label")
     rows = [(n, float(b), float(p)) for n, b, p in zip(res.names, res.params, res.pvalues)]
     rows += [("__r2", float(res.rsquared), None), ("__adj_r2", float(res.rsquared_adj), None),
@@ -969,15 +962,7 @@ def valuation_audit_q(spark, sf_dir):
     pred = t.model().predict(df, "__pred").select(
         "source_row", "total_cost", C.TARGET_COL, fin.inverse_target("__pred", "log1p").alias("predicted_arv"))
     ratio = pred.select(fin.value_ratio("predicted_arv", "total_cost").alias("ratio_pred_total"))
-    from ..operators.quantiles import exact_percentiles
-    pct = exact_percentiles(ratio, "ratio_pred_total", C.DESCRIBE_PERCENTILES)
-    mom = ratio.agg(F.count("ratio_pred_total").alias("count"),
-                    F.avg("ratio_pred_total").alias("mean"),
-                    F.stddev_samp("ratio_pred_total").alias("std"),
-                    F.min("ratio_pred_total").alias("min"), F.max("ratio_pred_total").alias("max"))
-    # both sides are single-row aggregates
-    return mom.unionByName(pct, allowMissingColumns=True).agg(
-        *[F.max(c).alias(c) for c in ["count", "mean", "std", "min", *pct.columns, "max"]])
+    return agg.describe(ratio, "ratio_pred_total")
 
 
 # ====================================================================== streaming (STR-1..4)

@@ -80,14 +80,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss; never ``localCheckpoint``)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as parquet to a fresh shared folder and read again: its plan ends here, its size is known."""
+    """``df`` written as parquet to a fresh shared folder and read again: its plan ends here, its size is known.
+
+    Survives executor loss like a checkpoint, which would compute the plan twice.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

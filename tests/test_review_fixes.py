@@ -3,10 +3,11 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from compsight import config as C
 from compsight.operators.features import one_hot_vector
-from compsight.operators.quantiles import column_medians, exact_percentiles
+from compsight.operators.quantiles import column_medians, exact_percentiles, wide_percentiles
 from compsight.session import scratch_path
 from compsight.sources.comps import prepare_comps
 from compsight.streaming.logs import latest_table, merge_latest
@@ -61,3 +62,29 @@ def test_replayed_epoch_changes_nothing(spark):
     first = sorted(latest_table(spark, path).collect())
     body(batches[2], 2)
     assert sorted(latest_table(spark, path).collect()) == first == [(1, "c", 3), (2, "b", 2), (3, "a", 5)]
+
+
+def test_percentiles_of_hot_groups_columns_and_null_groups(spark):
+    """Ties of a third, a NULL group, tiny groups and two columns, against NumPy."""
+    rng = np.random.default_rng(4)
+    n = 60_000
+    g = np.where(rng.random(n) < 0.4, "hot", rng.choice(["a", "b"], n)).astype(object)
+    g[rng.random(n) < 0.1] = None
+    x, y = rng.normal(size=n).round(3), rng.lognormal(3, 3, n)
+    x[rng.random(n) < 0.33] = 0.5
+    rows = [(k, float(u), None if w > 1e4 else float(w)) for k, u, w in zip(g, x, y)]
+    rows += [("one", 7.0, None), ("two", 1.0, 2.0), ("two", 3.0, 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(5)
+    probs = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
+    got = {r.g: r for r in wide_percentiles(df, ["x", "y"], probs, ["g"], [F.count(F.lit(1)).alias("rows")]).collect()}
+    assert set(got) == {None, "hot", "a", "b", "one", "two"}
+    for k, r in got.items():
+        mine = [row for row in rows if row[0] == k]
+        assert r.rows == len(mine)
+        for i, col in ((0, 1), (1, 2)):
+            values = [row[col] for row in mine if row[col] is not None]
+            for j, p in enumerate(probs):
+                want = np.quantile(values, p) if values else None
+                assert r[f"q{i}_{j}"] == (want if want is None else pytest.approx(want, rel=1e-12))
+    assert exact_percentiles(df.filter("g = 'one'"), "y", [0.5]).count() == 0
+    assert exact_percentiles(df.limit(0), "y", [0.5], ["g"]).count() == 0
