@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.numeric import to_number
-from .clean import _as_of_col, latest_per_id
+from .clean import _as_of_col, latest_per_id, target_present
 
 
 def _tidy(df: DataFrame, pairs: Sequence[tuple[str, Column]], key: str, value: str) -> DataFrame:
@@ -35,11 +35,12 @@ def stage_counts(loaded: DataFrame, as_of: str | None = None, months: int = C.MO
     agg = latest.agg(
         F.count(F.lit(1)).alias("latest"),
         F.count_if(pos).alias("positive"),
+        F.count_if(pos & to_number(target).isNotNull()).alias("eligible"),
         F.count_if(pos & d.isNotNull()).alias("dated"),
         F.count_if(pos & (d >= cutoff)).alias("recent"))
     recent = F.when(F.col("dated") == 0, F.col("positive")).otherwise(F.col("recent"))
     tail = _tidy(agg, [("latest", F.col("latest")), ("positive", F.col("positive")),
-                       ("eligible", F.col("positive")), ("recent", recent)], "stage", "n_rows")
+                       ("eligible", F.col("eligible")), ("recent", recent)], "stage", "n_rows")
     head = n_loaded.select(F.lit("loaded").alias("stage"), F.col("n").alias("n_rows"))
     return head.unionByName(tail)
 
@@ -79,7 +80,8 @@ def describe(df: DataFrame, col: str, percentiles: Sequence[float] = C.DESCRIBE_
 
 
 def regression_metrics(df: DataFrame, y: str, p: str, group: str | None = None) -> DataFrame:
-    """AGG-5: R², MAE, MSE, RMSE in one pass (SST as n·var_pop, stable)."""
+    """AGG-5: R², MAE, MSE, RMSE in one pass (SST as n·var_pop, stable), over the rows that have both values."""
+    df = target_present(target_present(df, y), p)
     yc, pc = F.col(y), F.col(p)
     err = yc - pc
     aggs = [F.count(F.lit(1)).alias("n"),

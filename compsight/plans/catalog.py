@@ -909,17 +909,70 @@ def _publish(spark, store: str, t) -> str:
 
 # ====================================================================== scoring and audit
 from ..operators.scoring import score_requests  # noqa: E402
-from .fixedmodel import fixed_model, scored_sql  # noqa: E402
+from .fixedmodel import fixed_model, log_value_sql, scored_sql  # noqa: E402
 
 
 def _fixed_model(spark):
     """The fixed model as a version of a store, loaded again: nothing is trained."""
     store, model = scratch_path(spark, "models"), fixed_model(spark)
-    meta = {"target": C.TARGET_COL, "model_type": model.model_type, "artifact_subdir": "fixed"}
-    AR.publish(spark, store, lambda path: AR.save_linear(spark, path, model, meta))
+    AR.publish(spark, store, lambda path: AR.save_linear(spark, path, model, FIXED_META))
     return AR.load_model(spark, store)
 
 
+FIXED_META = {"target": C.TARGET_COL, "model_type": "RidgeLOO", "artifact_subdir": "fixed", "r2_test": 0.0,
+              "r2_test_log": 0.75}
+
+
+@register("admin_report_model", ORACLE["admin_report"] + """
+UNION ALL SELECT 'model', 'RidgeLOO fixed', NULL, NULL, '0.75'""")
+def admin_report_model_q(spark, sf_dir):
+    """RPT-1 with the line of the model in use, read from the store."""
+    store = scratch_path(spark, "models")
+    AR.publish(spark, store, lambda path: AR.save_linear(spark, path, fixed_model(spark), FIXED_META))
+    ev, ld = _logs(spark, sf_dir)
+    return RP.admin_report(ev, ld, AR.read_meta(spark, AR.version_path(spark, store)[1]))
+
+
+_AUDIT_CTE = f"""
+audit AS (
+  SELECT source_row, cost AS total_cost, projected_value_ma AS actual, exp({log_value_sql("city")}) - 1 AS predicted_arv
+  FROM (SELECT *, COALESCE(purchase_price_ma, 0.0) + COALESCE(rehab_budget_ma, 0.0) AS cost,
+          COALESCE(purchase_price_ma, 0.0) + COALESCE(rehab_budget_ma, 0.0) AS total_cost,
+          rehab_budget_ma / NULLIF(purchase_price_ma, 0) AS rehab_ratio FROM recent))"""
+
+
+def _audited(spark, sf_dir) -> DataFrame:
+    """Cleaned comps with the audit's definitions, predicted by the saved fixed model."""
+    df = prep.engineer(prep.cleaned(spark, sf_dir), ratio_mode="audit", cost_nulls="zero")
+    df = schema.add_missing_columns(df, C.NUMERIC_FEATURES + C.CATEGORICAL_FEATURES)
+    return _fixed_model(spark).predict(df, "__pred").select(
+        "source_row", "total_cost", F.col(C.TARGET_COL).alias("actual"),
+        fin.inverse_target("__pred", "log1p").alias("predicted_arv")).withColumn(
+        "ratio", fin.value_ratio("predicted_arv", "total_cost"))
+
+
+@register("audit_sample", Q.with_ctes(Q.LOADED_CTE, Q.LATEST_CTE, Q.CLEAN_CTE, _AUDIT_CTE, body="""
+SELECT source_row, total_cost, actual, round(predicted_arv, 2) AS predicted_arv,
+       round(predicted_arv / NULLIF(total_cost, 0), 6) AS ratio
+FROM audit ORDER BY md5(CAST(source_row AS VARCHAR) || '|42'), source_row LIMIT 10"""))
+def audit_sample_q(spark, sf_dir):
+    """AUD-1: ten rows of the audit in seeded-hash order: cost, actual and predicted value, ratio."""
+    return smp.seeded_sample(_audited(spark, sf_dir)).select(
+        "source_row", "total_cost", "actual", F.round("predicted_arv", 2).alias("predicted_arv"),
+        F.round("ratio", 6).alias("ratio"))
+
+
+@register("audit_describe", Q.with_ctes(Q.LOADED_CTE, Q.LATEST_CTE, Q.CLEAN_CTE, _AUDIT_CTE, body="""
+SELECT CAST(count(r) AS BIGINT) AS count, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(min(r), 6) AS min,
+  """ + ", ".join(f"round(quantile_cont(r, {p}), 6) AS p{round(p * 100)}" for p in C.DESCRIBE_PERCENTILES) + """,
+  round(max(r), 6) AS max
+FROM (SELECT predicted_arv / NULLIF(total_cost, 0) AS r FROM audit)"""))
+def audit_describe_q(spark, sf_dir):
+    """AUD-1: distribution of the value-to-cost ratio that the saved model predicts."""
+    d = agg.describe(_audited(spark, sf_dir), "ratio")
+    return d.select("count", *[F.round(c, 6).alias(c) for c in d.columns if c != "count"])
+
+
 def _scores(scored: DataFrame) -> DataFrame:
     """Scores rounded where two engines' logarithms may differ in the last digit, by the same arithmetic in both."""
     digits = {"arv_raw": 2, "arv": 2, "clamped_ratio": 6, "max_loan_ltv": 2, "max_loan_ltc": 2, "total_loan": 2,
@@ -984,6 +1037,20 @@ def stream_daily_counts_q(spark, sf_dir):
                       "event_type", "n")
 
 
+@register("stream_closed_days", """
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n
+FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY
+GROUP BY 1, 2""")
+def stream_closed_days_q(spark, sf_dir):
+    """STR-2 in append mode: the days that a watermark of one day has closed, written once."""
+    from ..sources.tables import read_table
+    schema_ = read_table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema_).parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
+    out, _ = SL.run_closed(SL.daily_event_counts(stream), "daily")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
 @register("stream_latest", Q.with_ctes(Q.LOADED_CTE, Q.LATEST_CTE, body="SELECT * FROM latest"))
 def stream_latest_q(spark, sf_dir):
     """STR-4: comps arrive as four change files; each micro-batch is merged

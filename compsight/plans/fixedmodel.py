@@ -39,14 +39,19 @@ def fixed_model(spark: SparkSession) -> LinearModel:
     return LinearModel(NUMERIC, INTERCEPT, C.CATEGORICAL_FEATURES[0], lookup, OTHER, "log1p", "score", "zero", "RidgeLOO")
 
 
+def log_value_sql(category: str) -> str:
+    """DuckDB SQL of the model's log prediction from columns named like the features and a category expression."""
+    terms = " + ".join(f"(COALESCE({c}, {med}) - {mean}) / {scale} * {w}" for c, med, mean, scale, w in NUMERIC)
+    return f"{INTERCEPT} + {terms} + CASE {category} " + " ".join(
+        f"WHEN '{k}' THEN {v}" for k, v in CITIES.items()) + f" ELSE {OTHER} END"
+
+
 def scored_sql(policy: str, unknown: str, city: str) -> str:
     """DuckDB SQL of every request's scores, as the scoring queries round them."""
     fill = "NULL" if unknown == "impute" else "0.0"
     address = "lower(concat_ws(', ', CAST(source_row AS VARCHAR), city))"
     bucket = "'Other'" if city == "other" else (
         "CASE " + " ".join(f"WHEN contains({address}, '{k}') THEN '{v}'" for k, v in C.CITY_RULES) + " ELSE 'Other' END")
-    terms = " + ".join(f"(COALESCE({c}, {med}) - {mean}) / {scale} * {w}" for c, med, mean, scale, w in NUMERIC)
-    effect = "CASE bucket " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CITIES.items()) + f" ELSE {OTHER} END"
     ratio = "arv_raw / cost"
     clamped = f"CASE WHEN {ratio} < 1.0 THEN 1.0 WHEN {ratio} > 2.0 THEN 2.0 ELSE {ratio} END"
     if policy == "ltv":
@@ -62,7 +67,7 @@ feat AS (
     {bucket} AS bucket FROM comps),
 cost AS (SELECT *, p + r AS total_cost, p + r AS cost, CASE WHEN p + r > 0 THEN r / (p + r) ELSE 0.0 END AS rehab_ratio
          FROM feat),
-raw AS (SELECT *, exp({INTERCEPT} + {terms} + {effect}) - 1 AS arv_raw FROM cost),
+raw AS (SELECT *, exp({log_value_sql("bucket")}) - 1 AS arv_raw FROM cost),
 cl AS (SELECT *, CASE WHEN cost > 0 THEN ({clamped}) * cost ELSE arv_raw END AS arv,
          CASE WHEN cost > 0 THEN {clamped} END AS clamped_ratio,
          COALESCE(cost > 0 AND abs(({clamped}) - {ratio}) > 1e-6, false) AS arv_clamped FROM raw),

@@ -127,9 +127,12 @@ class ForestTraining:
 
 
 def train_forest(df: DataFrame, num_trees: int = C.FOREST_TREES, max_depth: int = C.FOREST_DEPTH,
-                 max_bins: int = 64, seed: int = C.RANDOM_STATE) -> ForestTraining:
+                 max_bins: int = 64, seed: int = C.RANDOM_STATE, node_mb: int = 512) -> ForestTraining:
     """Random forest on log(target): bootstrap, all features per split.
 
+    ``node_mb`` is the memory that a task gives to the statistics of the nodes split in one pass over the
+    rows; each row's node in every tree is cached, so that a pass does not walk down all trees again.
+
     Forest features use the forest definitions (null-as-0 cost, ratio NULL
     -> 0) and the same fitted transformer as the linear model.
     """
@@ -151,7 +154,8 @@ def train_forest(df: DataFrame, num_trees: int = C.FOREST_TREES, max_depth: int
     vec = VectorAssembler(inputCols=names, outputCol="features").transform(design)
     rf = RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=num_trees,
                                maxDepth=max_depth, maxBins=max_bins,
-                               featureSubsetStrategy="all", bootstrap=True, seed=seed)
+                               featureSubsetStrategy="all", bootstrap=True, seed=seed,
+                               maxMemoryInMB=node_mb, cacheNodeIds=True, checkpointInterval=10)
     model = rf.fit(vec.filter(~F.col("is_test")))
     imp = model.featureImportances.toArray()
     return ForestTraining(model, names, vec, {n: float(v) for n, v in zip(names, imp)}, collapse, ct)

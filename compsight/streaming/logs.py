@@ -99,6 +99,18 @@ def run_append(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def run_closed(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Drain the source in append mode: the windows that the watermark has closed, each written once and for good,
+    and the number of rows that came too late for theirs."""
+    spark = df.sparkSession
+    out = scratch_path(spark, f"closed-{name}")
+    q = (df.writeStream.format("parquet").option("path", out).outputMode("append")
+         .option("checkpointLocation", scratch_path(spark, f"stream-{name}")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+    return spark.read.schema(df.schema).parquet(out), late
+
+
 def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """STR-3: the batch scoring projection applied to a stream (stateless)."""
     return scorer(stream)
@@ -152,5 +164,5 @@ def keep_latest_stream(stream: DataFrame, state_path: str, checkpoint: str,
 
 
 __all__: Sequence[str] = ["log_stream", "ingest_with_quarantine", "daily_event_counts",
-                          "read_epochs", "run_complete", "run_append", "score_stream", "merge_latest", "latest_table",
+                          "read_epochs", "run_complete", "run_append", "run_closed", "score_stream", "merge_latest", "latest_table",
                           "keep_latest_stream"]

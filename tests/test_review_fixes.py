@@ -1,5 +1,6 @@
 """Exact quantiles of any double, one-hot vectors, latest rows by time of day, streams that replay."""
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +11,8 @@ from compsight.operators.features import one_hot_vector
 from compsight.operators.quantiles import column_medians, exact_percentiles, wide_percentiles
 from compsight.session import scratch_path
 from compsight.sources.comps import prepare_comps
-from compsight.streaming.logs import latest_table, merge_latest
+from compsight.operators.aggregates import regression_metrics
+from compsight.streaming.logs import daily_event_counts, latest_table, log_stream, merge_latest, run_closed
 
 INF = float("inf")
 
@@ -88,3 +90,25 @@ def test_percentiles_of_hot_groups_columns_and_null_groups(spark):
                 assert r[f"q{i}_{j}"] == (want if want is None else pytest.approx(want, rel=1e-12))
     assert exact_percentiles(df.filter("g = 'one'"), "y", [0.5]).count() == 0
     assert exact_percentiles(df.limit(0), "y", [0.5], ["g"]).count() == 0
+
+
+def test_closed_days_and_late_rows(spark):
+    """Rows behind the watermark when they arrive are counted, and change no day that was written."""
+    src = scratch_path(spark, "late")
+    day = dt.datetime(2024, 5, 1)
+    batches = [[(day + dt.timedelta(hours=h), "a") for h in range(0, 24 * 6, 6)],
+               [(day + dt.timedelta(hours=1), "a"), (day + dt.timedelta(hours=24 * 6), "b"),
+                (day + dt.timedelta(hours=26), "a")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "ts timestamp, event_type string").coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files in the order of their times
+    stream = log_stream(spark, src, spark.read.parquet(src).schema, "parquet", max_files=1)
+    out, late = run_closed(daily_event_counts(stream), "t")
+    got = sorted((r.w.start.day, r.event_type, r.n) for r in out.collect())
+    assert got == [(d, "a", 4) for d in range(1, 6)] and late == 2
+
+
+def test_metrics_leave_out_rows_without_a_prediction(spark):
+    rows = [(1.0, 1.5), (2.0, 2.0), (3.0, None), (None, 4.0), (4.0, 3.0)]
+    r = regression_metrics(spark.createDataFrame(rows, "y double, p double"), "y", "p").first()
+    assert r.n == 3 and r.mae == 0.5 and r.r2 == pytest.approx(1 - 1.25 / 4.666666666666667)
