@@ -587,9 +587,12 @@ def vif_table(res: OLSResult, g: Gram, spark) -> DataFrame:
     return table.unionByName(levels.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))))
 
 
-def breusch_pagan(res: OLSResult, g: Gram) -> dict[str, float]:
+def breusch_pagan(df: DataFrame, res: OLSResult, y: str, g: Gram) -> dict[str, float]:
     """STAT-5: regress e² on the design; LM = n·R² ~ χ²(k-1) with k columns; F from the
-    auxiliary fit with the design's rank in its degrees of freedom.  All sums are the HC3 pass's."""
+    auxiliary fit with the design's rank in its degrees of freedom.  All sums are the HC3 pass's,
+    which runs here if ``res`` has none."""
+    if res.squares is None:
+        res = ols(df, g.cols, y, g=g)
     q = len(g.cols) + 1
     zu, suu = res.squares[:q], float(res.squares[q])
 

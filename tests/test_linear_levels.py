@@ -62,7 +62,7 @@ def test_ols_equals_numpy(spark, n, p, k, twin, fixed):
     # Breusch-Pagan, by a plain regression of e^2
     fit = z @ (inv @ z.T @ e**2)
     r2 = 1 - np.sum((e**2 - fit) ** 2) / np.sum((e**2 - np.mean(e**2)) ** 2)
-    bp = L.breusch_pagan(res, g)
+    bp = L.breusch_pagan(df, res, "y", g)
     assert math.isclose(bp["lm"], n * r2, rel_tol=1e-7)
     # the joint test of all slopes
     f, _ = L.wald_f(res, g)

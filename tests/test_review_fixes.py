@@ -97,8 +97,8 @@ def test_closed_days_and_late_rows(spark):
     src = scratch_path(spark, "late")
     day = dt.datetime(2024, 5, 1)
     batches = [[(day + dt.timedelta(hours=h), "a") for h in range(0, 24 * 6, 6)],
-               [(day + dt.timedelta(hours=1), "a"), (day + dt.timedelta(hours=24 * 6), "b"),
-                (day + dt.timedelta(hours=26), "a")]]
+               [(day + dt.timedelta(hours=24 * 6), "b")],
+               [(day + dt.timedelta(hours=1), "a"), (day + dt.timedelta(hours=26), "a")]]
     for rows in batches:
         spark.createDataFrame(rows, "ts timestamp, event_type string").coalesce(1).write.mode("append").parquet(src)
         time.sleep(1.1)  # files in the order of their times
