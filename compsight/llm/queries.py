@@ -107,7 +107,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every embedding whose id is divisible by 20."""
-    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 20, 20)
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 20, 20,
+                       epsilon=ann.EPSILON, reach=ann.REACH)
 
 
 def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
