@@ -23,8 +23,8 @@ from .schema import text_columns
 
 # ---------------------------------------------------------------- DED-1
 def latest_per_id(df: DataFrame, id_col: str = C.ID_COL, date_col: str = C.DATE_COL,
-                  tiebreak: str = "source_row") -> DataFrame:
-    """Keep the latest row per id: date descending (NULL dates last), then the
+                  tiebreak: str = "source_row", within: Sequence[str] = ()) -> DataFrame:
+    """Keep the latest row per id (and ``within`` columns that the id decides): date descending (NULL dates last), then the
     tiebreak column descending.  NULL ids form one group.  Without a date
     column the first row in tiebreak order is kept; without an id, no-op.
 
@@ -40,7 +40,7 @@ def latest_per_id(df: DataFrame, id_col: str = C.ID_COL, date_col: str = C.DATE_
         order = [F.col(date_col).desc_nulls_last(), F.col(tiebreak).desc()]
     else:
         order = [F.col(tiebreak).asc()]
-    w = Window.partitionBy(id_col).orderBy(*order)
+    w = Window.partitionBy(*within, id_col).orderBy(*order)
     rn = "__rn"
     return df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) == 1).drop(rn)
 

@@ -36,12 +36,20 @@ def _ranged(df: DataFrame, order: Sequence[str], value: Column, partitions: int
 def global_rank_sums(df: DataFrame, value: Column, mean: float, std: float,
                      partitions: int | None = None) -> tuple[float, float]:
     """Σ (2i-1) ln Φ(z_i) + (2n+1-2i) ln(1-Φ(z_i)) over ascending ranks i of
-    z = (value - mean)/std; returns (sum, n)."""
-    laid, counts = _ranged(df.select(value.alias("__x")), ["__x"], F.col("__x"), partitions)
+    z = (value - mean)/std; returns (sum, n).
+
+    Equal values are one row with their count before anything is ranged: c of them on
+    ranks r+1 .. r+c weigh (r+c)² - r² and 2nc less that, so a column that is mostly one
+    value moves and ranks as one row of it.
+    """
+    tied = (df.select(value.cast("double").alias("__x")).filter(F.col("__x").isNotNull())
+            .groupBy("__x").agg(F.count(F.lit(1)).alias("__c")))
+    laid, _ = _ranged(tied, ["__x"], F.col("__c"), partitions)
+    per = {int(r["__pid"]): int(r["n"]) for r in laid.groupBy("__pid").agg(F.sum("__v").alias("n")).collect()}
     offsets, acc = {}, 0
-    for pid in sorted(counts):
+    for pid in sorted(per):
         offsets[pid] = acc
-        acc += counts[pid]
+        acc += per[pid]
     n = float(acc)
     log_cdf = D.log_normal_cdf
 
@@ -50,12 +58,13 @@ def global_rank_sums(df: DataFrame, value: Column, mean: float, std: float,
         for pdf in it:
             if pdf.empty:
                 continue
-            pid = int(pdf["__pid"].iloc[0])
-            i = offsets[pid] + seen + np.arange(1, len(pdf) + 1, dtype="float64")
-            seen += len(pdf)
-            z = (pdf["__v"].to_numpy(dtype="float64") - mean) / std
+            c = pdf["__v"].to_numpy(dtype="float64")
+            top = offsets[int(pdf["__pid"].iloc[0])] + seen + np.cumsum(c)
+            seen += int(c.sum())
+            low = top * top - (top - c) ** 2
+            z = (pdf["__x"].to_numpy(dtype="float64") - mean) / std
             # each tail by itself: no 1 - Φ cancellation, finite far out
-            s = float(np.sum((2 * i - 1) * log_cdf(z) + (2 * n + 1 - 2 * i) * log_cdf(-z)))
+            s = float(np.sum(low * log_cdf(z) + (2 * n * c - low) * log_cdf(-z)))
             yield pd.DataFrame({"s": [s]})
 
     total = laid.mapInPandas(part, "s double").agg(F.sum("s")).first()[0]

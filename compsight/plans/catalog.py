@@ -851,7 +851,7 @@ def admin_report_q(spark, sf_dir):
 # ====================================================================== sources / sinks round trips
 from ..sources import artifacts as AR  # noqa: E402
 from ..sources.comps import pick_catalog_table  # noqa: E402
-from ..sources.logs import append_jsonl, read_jsonl  # noqa: E402
+from ..sources.logs import append_epoch, append_jsonl, parse_lines, read_jsonl, read_lines, stamp_records  # noqa: E402
 
 
 @register("comps_from_catalog", Q.with_ctes(Q.LOADED_CTE, body="SELECT * FROM loaded"))
@@ -879,6 +879,79 @@ def jsonl_roundtrip_q(spark, sf_dir):
     return back.select("timestamp", "event", "purchase")
 
 
+_CLOCK = "2024-01-02 03:04:05.250000"
+
+
+def _appended(spark, sf_dir, payload: DataFrame, name: str, schema, **stamp) -> DataFrame:
+    """``payload`` stamped at a fixed time, appended in two epochs of which the second is written twice, read back."""
+    path = scratch_path(spark, name)
+    rows = stamp_records(payload, clock=F.lit(_CLOCK).cast("timestamp"), **stamp)
+    half = F.pmod(F.xxhash64(*rows.columns), F.lit(2))
+    for epoch in (0, 1, 1):
+        append_epoch(rows.filter(half == epoch), path, epoch)
+    return read_jsonl(spark, path, schema)
+
+
+@register("event_append", """
+SELECT '2024-01-02T03:04:05.250000' AS timestamp, 'estimate_submitted' AS event, '/estimate' AS path,
+       '10.0.' || CAST(user_id % 250 AS VARCHAR) || '.1' AS client_ip, CAST(NULL AS VARCHAR) AS user_agent,
+       'user ' || CAST(user_id AS VARCHAR) AS address, value * 1000 AS purchase
+FROM events WHERE event_type = 'purchase'""")
+def event_append_q(spark, sf_dir):
+    """SNK-1: submissions stamped with time, event and request fields (the payload's own win), appended once per epoch."""
+    payload = standins.event_log(spark, sf_dir).filter(F.col("event") == C.ESTIMATE_EVENT).select(
+        "client_ip", "address", "purchase")
+    back = _appended(spark, sf_dir, payload, "events-appended", standins.EVENT_LOG_SCHEMA, event=C.ESTIMATE_EVENT,
+                     request={"path": "/estimate", "client_ip": "0.0.0.0", "user_agent": None})
+    return back.select("timestamp", "event", "path", "client_ip", "user_agent", "address", "purchase")
+
+
+@register("lead_append", """
+SELECT '2024-01-02T03:04:05.250000' AS timestamp, 'user ' || CAST(user_id AS VARCHAR) AS name,
+       'user' || CAST(user_id AS VARCHAR) || '@example.invalid' AS email, CAST(NULL AS VARCHAR) AS phone,
+       props AS comments, 'user ' || CAST(user_id AS VARCHAR) AS address
+FROM events WHERE event_type = 'signup'""")
+def lead_append_q(spark, sf_dir):
+    """SNK-2: leads stamped with the ingest time, appended once per epoch."""
+    payload = standins.lead_log(spark, sf_dir).drop("timestamp")
+    back = _appended(spark, sf_dir, payload, "leads-appended", standins.LEAD_LOG_SCHEMA)
+    return back.select("timestamp", "name", "email", "phone", "comments", "address")
+
+
+_FAULTY_SQL = f"""
+SELECT CASE WHEN k > 3 THEN {_ISO} END AS timestamp,
+       CASE WHEN k > 3 THEN CASE WHEN event_type = 'purchase' THEN 'estimate_submitted' ELSE event_type END END AS event,
+       CASE WHEN k > 3 AND event_type = 'purchase' THEN value * 1000 END AS purchase,
+       CASE k WHEN 0 THEN 'malformed' WHEN 1 THEN 'blank' WHEN 2 THEN 'not an object' WHEN 3 THEN 'not an object' END AS fault,
+       CASE k WHEN 0 THEN '{{"timestamp":"' || substr({_ISO}, 1, 6) WHEN 1 THEN '  ' WHEN 2 THEN '42'
+              WHEN 3 THEN '["x"]' END AS line
+FROM (SELECT *, user_id % 40 AS k FROM events)"""
+
+
+def _faulty_log(spark, sf_dir) -> str:
+    """A folder of JSON lines of all events; those of some users are cut, blank, a bare value or a list."""
+    path = scratch_path(spark, "faulty-log")
+    log = standins.event_log(spark, sf_dir)
+    user = F.regexp_extract("address", "([0-9]+)$", 1).cast("long")
+    line = F.to_json(F.struct(*log.columns), {"ignoreNullFields": "false"})
+    k = user % 40
+    log.select(F.when(k == 0, F.substring(line, 1, 20)).when(k == 1, "  ").when(k == 2, "42").when(k == 3, '["x"]')
+               .otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+def _both_sides(good: DataFrame, bad: DataFrame) -> DataFrame:
+    return good.select("timestamp", "event", "purchase").unionByName(
+        bad.select("fault", "line"), allowMissingColumns=True)
+
+
+@register("log_quarantine", _FAULTY_SQL)
+def log_quarantine_q(spark, sf_dir):
+    """SRC-3: all lines of a log with faults, read as records and quarantined lines."""
+    parsed = parse_lines(read_lines(spark, _faulty_log(spark, sf_dir)), standins.EVENT_LOG_SCHEMA)
+    return _both_sides(parsed.filter("fault is null").select("record.*"), parsed.filter("fault is not null"))
+
+
 @register("model_meta")
 def model_meta_q(spark, sf_dir):
     """SNK-3 / SRC-4 / SRC-5: train, persist params + meta + diagnostics,
@@ -1077,6 +1150,15 @@ def stream_score_q(spark, sf_dir):
     return _scores(SL.run_append(scored, "scored"))
 
 
+@register("stream_quarantine", _FAULTY_SQL)
+def stream_quarantine_q(spark, sf_dir):
+    """STR-1: the log with faults read as a stream of lines; records and quarantined lines of every epoch."""
+    out = scratch_path(spark, "ingested")
+    SL.ingest_lines(SL.line_stream(spark, _faulty_log(spark, sf_dir)), standins.EVENT_LOG_SCHEMA, out,
+                    scratch_path(spark, "ckpt-lines")).awaitTermination()
+    return _both_sides(*SL.read_ingested(spark, out, standins.EVENT_LOG_SCHEMA))
+
+
 @register("stream_ingest")
 def stream_ingest_q(spark, sf_dir):
     """STR-1: event records as JSON lines ingested incrementally; malformed lines
