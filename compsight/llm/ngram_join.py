@@ -169,7 +169,7 @@ def _postings(prefixes: DataFrame, reps: DataFrame) -> DataFrame:
             .select("token", "rid", "s", F.greatest(F.lit(1), F.col("i") - F.col("base") + 2).alias("need"), "ell",
                     (F.col("i") < F.col("light")).alias("is_light")))
     path = scratch_path(rows.sparkSession, "prefix-rows")
-    rows.write.partitionBy("is_light").parquet(path)
+    rows.write.partitionBy("is_light").option("compression", "zstd").parquet(path)
     rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
     # The sketch bounds how many documents share a light shingle; heavy ones stay where they are.
     light = (rows.where("is_light").drop("is_light").repartition("token").sortWithinPartitions("token")
@@ -199,15 +199,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame
                 keep.append(100 * both >= pct * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    # Written, so that Spark knows the size: few pairs are broadcast, and only texts that they name are shuffled.
+    pairs = _stored(pairs.select("a", "b"), "pairs")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return (pairs.select("a", "b").join(left, "a").join(right, "b")
+    right = (texts.join(pairs.select(F.col("b").alias("doc_id")), "doc_id", "left_semi")
+             .select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")))
+    return (pairs.join(left, "a").join(right, "b")
             .select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
