@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compsight.llm.rows import add_columns, offsets_of, text_col
+from compsight.llm.rows import add_columns, forget, offsets_of, text_col
 from compsight.session import scratch_path
 
 #: Buckets of hashed byte trigrams.
 BUCKETS = 1 << 15
+#: Text bytes whose trigrams are looked up at once (a longer text comes whole).
+PART_BYTES = 1 << 19
 #: Rows per language and half that a trigram model is fitted on.
 FIT_ROWS = 1500
 #: Least texts (copies count once) that declare a language, and least gain per trigram over single letters
@@ -174,7 +176,22 @@ def _model(sums: dict[str, np.ndarray]) -> Model:
 
 
 def _means(texts: pa.Array, half: np.ndarray, loglik: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean log-likelihood of each text's trigrams with a letter per language, and how many it has."""
+    """Mean log-likelihood of each text's trigrams with a letter per language, and how many it has.
+
+    Some ``PART_BYTES`` of text at a time: what is kept for each byte takes many times its size.
+    """
+    ends = offsets_of(texts).astype(np.int64)
+    parts, lo = [], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PART_BYTES, side="right")) - 1)
+        parts.append(_part_means(texts.slice(lo, hi - lo), half[lo:hi], loglik))
+        lo = hi
+    if not parts:
+        return np.zeros((0, loglik.shape[2])), np.zeros(0, np.int64)
+    return np.concatenate([m for m, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _part_means(texts: pa.Array, half: np.ndarray, loglik: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     offs = offsets_of(texts).astype(np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[offs[0]:offs[-1]] if offs[-1] > offs[0] else np.zeros(0, np.uint8)
     start, k = offs[:-1] - offs[0], loglik.shape[2]
@@ -183,13 +200,13 @@ def _means(texts: pa.Array, half: np.ndarray, loglik: np.ndarray) -> tuple[np.nd
     some = np.flatnonzero(n)
     if len(some):
         said = np.append(lettered(raw), False)
-        at = trigrams(raw) + BUCKETS * np.repeat(half, np.diff(offs))[:len(raw) - 2]
+        at = trigrams(raw) + np.repeat(np.int32(BUCKETS) * half.astype(np.int32), np.diff(offs))[:len(raw) - 2]
         # Sums between begin and begin + n of each text; what lies between texts is left out.
         cuts = np.stack([start[some], start[some] + n[some]], 1).ravel()
-        n[some] = np.add.reduceat(said.astype(np.int64), cuts)[::2]
+        n[some] = np.add.reduceat(said, cuts, dtype=np.int64)[::2]
         for j in range(k):
-            line = np.append(loglik[:, :, j].ravel()[at], np.float32(0)).astype(np.float64) * said
-            means[some, j] = np.add.reduceat(line, cuts)[::2] / np.maximum(1, n[some])
+            line = np.append(loglik[:, :, j].ravel()[at], np.float32(0)) * said
+            means[some, j] = np.add.reduceat(line, cuts, dtype=np.float64)[::2] / np.maximum(1, n[some])
     return means, n
 
 
@@ -239,6 +256,7 @@ def identify(docs: DataFrame, model: Model, declared: Column, host: Column, suff
     none = F.array(*[F.lit(0.0)] * k)
 
     def first():
+        forget()
         loglik = shared.value.loglik
 
         def fn(texts, half, says, suffixes):
@@ -282,6 +300,7 @@ def identify(docs: DataFrame, model: Model, declared: Column, host: Column, suff
     joined = told.join(spark.read.parquet(path), F.col("__host") == F.col("__known"), "left")
 
     def last():
+        forget()
         m = shared.value
 
         def fn(texts, half, says, suffixes, prior):

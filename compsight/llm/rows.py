@@ -8,6 +8,7 @@ column of ``df`` whose name equals (in any case) an added one is replaced.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,6 +64,25 @@ def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
         lo = hi
 
 
+_RESIDENT: dict[str, object] = {}
+
+
+def resident(key: str, build: Callable[[], object]) -> object:
+    """The one large model that this worker holds between tasks; loading another drops it."""
+    if key not in _RESIDENT:
+        forget()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
+def forget() -> None:
+    """Drop the worker's model: an operator without one needs the memory itself."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def offsets_of(a: pa.Array) -> np.ndarray:
     """The n + 1 byte offsets of a string or binary array."""
     kind = np.int64 if pa.types.is_large_string(a.type) or pa.types.is_large_binary(a.type) else np.int32
