@@ -10,6 +10,7 @@ Documents take their places by their rank among those of equal length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from compsight.llm.rows import MEMO_ENTRIES, add_columns, text_col
+from compsight.llm.bpe import byte_symbols
+from compsight.llm.rows import add_columns, resident, text_col
 from compsight.session import scratch_path
 
 #: White space around a space that another pre-token may reach across.
@@ -28,12 +30,121 @@ ACROSS = re.compile(r"\s (?:\s|\Z)")
 SPACE = re.compile(r"\s")
 #: Letters of every Unicode version, then marks of ASCII: two pre-tokens.
 LETTERS_THEN_MARK = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([!-/:-@\[-`{-~]+)")
+#: Letters and marks that are such in every Unicode version.
+LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af"
+MARK = "!-/:-@\\[-`{-~\u00a1\u00ab\u00bb\u00bf\u2010-\u2027"
+#: Texts with any other character are cut by the library.
+UNUSUAL = re.compile(f"[^ \n0-9{LETTER}{MARK}]")
+#: Pre-tokens of the others, as the byte-level pattern of the library cuts them.
+PRE_TOKENS = re.compile(f" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[{MARK}]+|[ \n]+(?![^ \n])|[ \n]+")
+#: Characters of texts whose distinct pre-tokens are merged at once, and chunks of other texts that a worker remembers.
+PART_CHARS = 1 << 20
+MEMO_ENTRIES = 100_000
+#: Bytes of a word that is merged together with others.
+SHORT = 24
 #: Pieces without white space that are given to the library as the lines of one text.
-LINES = 2000
+LINES = 256
+
+
+class Merges:
+    """Byte-pair merges of many short words at once.
+
+    Words are rows of a matrix of ids.  A step merges in every row the first pair of least
+    rank, so the ids are those of merging one word after the other.
+    """
+
+    NONE = np.int32(2**31 - 1)
+    SLOTS = 18
+
+    def __init__(self, model: dict):
+        vocab = model["vocab"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.first = np.array([vocab[s] for s in byte_symbols()], np.int32)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        # Pairs by a hash with linear probing; ids fit 16 bits.
+        self.pair = np.full(1 << self.SLOTS, 2**32 - 1, np.uint32)
+        self.rank = np.full(1 << self.SLOTS, self.NONE, np.int32)
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint32)
+        for r, (k, s) in enumerate(zip(keys.tolist(), self._slot(keys).tolist())):
+            while self.rank[s] != self.NONE:
+                s = (s + 1) & ((1 << self.SLOTS) - 1)
+            self.pair[s], self.rank[s] = k, r
+
+    @staticmethod
+    def fits(spec: dict) -> bool:
+        """Is this a plain byte-level vocabulary with fewer than 2^16 ids and few enough merges for the table?"""
+        m = spec["model"]
+        return (m.get("type") == "BPE" and not any(m.get(k) for k in (
+            "dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+            and spec.get("normalizer") is None and len(m["vocab"]) < 1 << 16 and len(m["merges"]) < 1 << 17)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint32(2654435769)) >> np.uint32(32 - self.SLOTS)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, ``NONE`` where there is no merge."""
+        keys = (left.astype(np.uint32) << np.uint32(16) | right.astype(np.uint32)).ravel()
+        at = self._slot(keys)
+        out = np.where(self.pair[at] == keys, self.rank[at], self.NONE)
+        open_ = np.flatnonzero((out == self.NONE) & (self.rank[at] != self.NONE))
+        at = at[open_]
+        while len(open_):
+            at = (at + np.uint32(1)) & np.uint32((1 << self.SLOTS) - 1)
+            here = self.rank[at]
+            out[open_] = np.where(self.pair[at] == keys[open_], here, self.NONE)
+            on = (here != self.NONE) & (out[open_] == self.NONE)
+            open_, at = open_[on], at[on]
+        return out.reshape(left.shape)
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word (``SHORT`` bytes at most) as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes) - sizes
+        blob = np.frombuffer(b"".join(words), np.uint8)
+        for low, width in ((0, 8), (8, 14), (14, SHORT)):
+            rows = np.flatnonzero((sizes > low) & (sizes <= width))
+            col = np.arange(width)
+            for lo in range(0, len(rows), 8192):
+                part = rows[lo:lo + 8192]
+                raw = blob[np.minimum(starts[part, None] + col, len(blob) - 1)]
+                ids, n = self._merged(self.first[raw], sizes[part])
+                flat = ids[col < n[:, None]].astype("<u4").tobytes()
+                ends = (4 * np.cumsum(n)).tolist()
+                for i, a, b in zip(part.tolist(), [0, *ends], ends):
+                    out[i] = flat[a:b]
+        return out
+
+    def _merged(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        width = ids.shape[1]
+        col = np.arange(width)
+        rank = np.full(ids.shape, self.NONE, np.int32)
+        rank[:, :-1] = np.where(col[1:] < n[:, None], self.ranks(ids[:, :-1], ids[:, 1:]), self.NONE)
+        result, count, who, n = ids.copy(), n.copy(), np.arange(len(ids)), n.copy()
+        while len(who):
+            j = rank.argmin(1)
+            best = rank[np.arange(len(j)), j]
+            on = best != self.NONE
+            if not on.all():
+                result[who[~on]], count[who[~on]] = ids[~on], n[~on]
+                who, ids, rank, n, j, best = who[on], ids[on], rank[on], n[on], j[on], best[on]
+            row = np.arange(len(j))
+            ids[row, j] = self.made[best]
+            src = np.minimum(col + (col > j[:, None]), width - 1)
+            ids, rank = np.take_along_axis(ids, src, 1), np.take_along_axis(rank, src, 1)
+            n -= 1
+            right = self.ranks(ids[row, j], ids[row, np.minimum(j + 1, width - 1)])
+            rank[row, j] = np.where(j + 1 < n, right, self.NONE)
+            row, j = row[j > 0], j[j > 0]
+            rank[row, j - 1] = self.ranks(ids[row, j - 1], ids[row, j])
+        return result, count
 
 
 class WordIds:
-    """Ids of whole texts by the tokenizers library, with a memo of space-separated chunks.
+    """Ids of whole texts by the tokenizers library, or equal to them.
+
+    Texts of usual characters are cut into pre-tokens here, by the library's pattern; the
+    distinct ones are merged many at a time (``Merges``), long ones by the library.  Other texts have a memo of space-separated chunks:
 
     A byte-level pattern begins a new pre-token at a space before a non-space, so
     a text's ids are those of its chunks in turn.  Texts where white space meets
@@ -49,6 +160,8 @@ class WordIds:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.feed = self._ids(["\n"])[0]
+        plain = json.loads(spec)
+        self.merges = Merges(plain["model"]) if Merges.fits(plain) else None
         self.memo: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -83,22 +196,60 @@ class WordIds:
         odd = [c for c, parts in cut.items() if parts is None]
         memo.update(zip(odd, self._ids([c[1:] if c[:1] == "\0" else " " + c for c in odd])))
         need = list({p for parts in cut.values() if parts for p in parts if p not in memo})
-        width = len(self.feed)
-        for lo in range(0, len(need), LINES):
-            part = need[lo:lo + LINES]
-            text = "\n".join([c[1:] if c[0] == "\0" else " " + c for c in part])
-            raw = self._ids([text])[0]
-            ends = np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(self.feed, "<u4")[0]) * 4
-            at = 0
-            for c, end in zip(part, ends.tolist() + [len(raw)]):
-                memo[c] = raw[at:end]
-                at = end + width
+        self._lines([c[1:] if c[0] == "\0" else " " + c for c in need], memo, need)
         for c, parts in cut.items():
             if parts and len(parts) > 1:
                 memo[c] = b"".join([memo[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        usual, odd = [], []
+        for i, t in enumerate(texts):
+            (odd if UNUSUAL.search(t) or any(s in t for s in self.special) else usual).append(i)
+        lo = 0
+        while lo < len(usual):
+            size, hi = 0, lo
+            while hi < len(usual) and size < PART_CHARS:
+                size += len(texts[usual[hi]])
+                hi += 1
+            cut = [PRE_TOKENS.findall(texts[i]) for i in usual[lo:hi]]
+            get = self._known(set().union(*cut)).__getitem__
+            for i, tokens in zip(usual[lo:hi], cut):
+                out[i] = b"".join(map(get, tokens))
+            lo = hi
+        for i, ids in zip(odd, self._odd([texts[i] for i in odd])):
+            out[i] = ids
+        return out
+
+    def _known(self, tokens: set[str]) -> dict[str, bytes]:
+        """Ids of each of ``tokens``."""
+        words = list(tokens)
+        raw = list(map(str.encode, words))
+        if self.merges is None:
+            out = {}
+        else:
+            out = dict(zip(words, self.merges(raw)))
+            words = [w for w, b in zip(words, raw) if len(b) > SHORT]
+        blank = list(filter(str.isspace, words))
+        out.update(zip(blank, self._ids(blank)))
+        self._lines([w for w in words if not w.isspace()], out)
+        return out
+
+    def _lines(self, need: list[str], memo: dict[str, bytes], keys: list[str] | None = None) -> None:
+        """Ids of pieces without white space but a leading space, encoded as the lines of a few texts."""
+        keys, width = keys or need, len(self.feed)
+        feed = np.frombuffer(self.feed, "<u4")[0]
+        for lo in range(0, len(need), LINES):
+            raw = self._ids(["\n".join(need[lo:lo + LINES])])[0]
+            ends = np.flatnonzero(np.frombuffer(raw, "<u4") == feed) * 4
+            at = 0
+            for c, end in zip(keys[lo:lo + LINES], ends.tolist() + [len(raw)]):
+                memo[c] = raw[at:end]
+                at = end + width
+
+    def _odd(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts with other characters, by a memo of their space-separated chunks."""
         out: list[bytes | None] = [None] * len(texts)
         get, whole, later = self.memo.get, [], []
         missing: set[str] = set()
@@ -126,17 +277,6 @@ class WordIds:
         return out
 
 
-_LOADED: dict[int, WordIds] = {}
-
-
-def _loaded(spec: str) -> WordIds:
-    key = hash(spec)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = WordIds(spec)
-    return _LOADED[key]
-
-
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, text: str = "text",
                  with_ids: bool = False) -> DataFrame:
     """``docs`` with ``pieces``: a list of (start, length, ids_crc32[, ids]) per document.
@@ -152,7 +292,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, tex
     end = np.asarray([end_id], "<u4").tobytes()
 
     def make():
-        words = _loaded(spec.value)
+        words = resident(f"word ids {hash(spec.value)}", lambda: WordIds(spec.value))
 
         def pieces(raw: bytes) -> list[dict]:
             raw += end
