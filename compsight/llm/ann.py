@@ -245,14 +245,18 @@ def search_block(words: np.ndarray, length: np.ndarray, quality: np.ndarray, ids
             kth = np.where(valid, some, -np.inf).min(1)
             bound = np.maximum(bound, kth - 1e-9 * norm[s] * np.sqrt((vecs[done] ** 2).sum(2).max(1)))
             compared += done.size
-        q, r = np.nonzero(est + slack >= bound[:, None].astype(np.float32) - np.float32(1e-6))
+        # The k best by estimate stay whatever the bar, so that a query has k results.
+        stay = np.full(est.shape, done is None)
+        if done is not None:
+            np.put_along_axis(stay, done, True, 1)
+        q, r = np.nonzero(stay | (est + slack >= bound[:, None].astype(np.float32) - np.float32(1e-6)))
         score = np.zeros(len(q))
         for c in range(0, len(q), 1 << 15):
             p = slice(c, c + (1 << 15))
             score[p] = np.einsum("ij,ij->i", queries[lo + q[p]], vecs[r[p]])
         compared += len(q)
         # Only what can be among the k best is summed in the fixed order.
-        keep = score >= bound[q]
+        keep = (score >= bound[q]) | stay[q, r]
         keep[own[q, r]] = False
         q, r, score = q[keep], r[keep], score[keep]
         order = np.lexsort((-score, q))
