@@ -40,6 +40,8 @@ PRE_TOKENS = re.compile(f" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[{MARK}
 #: Characters of texts whose distinct pre-tokens are merged at once, and chunks of other texts that a worker remembers.
 PART_CHARS = 1 << 20
 MEMO_ENTRIES = 100_000
+#: Words of usual texts that a worker remembers in each of two generations.
+MEMO_WORDS = 150_000
 #: Bytes of a word that is merged together with others.
 SHORT = 24
 #: Pieces without white space that are given to the library as the lines of one text.
@@ -144,7 +146,9 @@ class WordIds:
     """Ids of whole texts by the tokenizers library, or equal to them.
 
     Texts of usual characters are cut into pre-tokens here, by the library's pattern; the
-    distinct ones are merged many at a time (``Merges``), long ones by the library.  Other texts have a memo of space-separated chunks:
+    distinct ones are merged many at a time (``Merges``), long ones by the library.  Short
+    ones are remembered in two generations: a word in use moves to the younger, and when that is
+    full the older goes.  Other texts have a memo of space-separated chunks:
 
     A byte-level pattern begins a new pre-token at a space before a non-space, so
     a text's ids are those of its chunks in turn.  Texts where white space meets
@@ -163,6 +167,8 @@ class WordIds:
         plain = json.loads(spec)
         self.merges = Merges(plain["model"]) if Merges.fits(plain) else None
         self.memo: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -214,27 +220,32 @@ class WordIds:
                 size += len(texts[usual[hi]])
                 hi += 1
             cut = [PRE_TOKENS.findall(texts[i]) for i in usual[lo:hi]]
-            get = self._known(set().union(*cut)).__getitem__
+            known, long = self._known(set().union(*cut))
             for i, tokens in zip(usual[lo:hi], cut):
-                out[i] = b"".join(map(get, tokens))
+                out[i] = b"".join(map(known.__getitem__, tokens))
+            for w in long:
+                del known[w]
             lo = hi
         for i, ids in zip(odd, self._odd([texts[i] for i in odd])):
             out[i] = ids
         return out
 
-    def _known(self, tokens: set[str]) -> dict[str, bytes]:
-        """Ids of each of ``tokens``."""
-        words = list(tokens)
-        raw = list(map(str.encode, words))
-        if self.merges is None:
-            out = {}
-        else:
-            out = dict(zip(words, self.merges(raw)))
-            words = [w for w, b in zip(words, raw) if len(b) > SHORT]
-        blank = list(filter(str.isspace, words))
-        out.update(zip(blank, self._ids(blank)))
-        self._lines([w for w in words if not w.isspace()], out)
-        return out
+    def _known(self, tokens: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """Ids of each of ``tokens`` and of others that are remembered, and those too long to stay there."""
+        if len(self.young) > MEMO_WORDS:
+            self.old, self.young = self.young, {}
+        new = tokens.difference(self.young)
+        words = new.difference(self.old)
+        again = new - words
+        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        short, long = [], []
+        for w in words:
+            (short if self.merges is not None and len(w.encode()) <= SHORT else long).append(w)
+        self.young.update(zip(short, self.merges(list(map(str.encode, short))) if short else []))
+        blank = list(filter(str.isspace, long))
+        self.young.update(zip(blank, self._ids(blank)))
+        self._lines([w for w in long if not w.isspace()], self.young)
+        return self.young, long
 
     def _lines(self, need: list[str], memo: dict[str, bytes], keys: list[str] | None = None) -> None:
         """Ids of pieces without white space but a leading space, encoded as the lines of a few texts."""

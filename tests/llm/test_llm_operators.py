@@ -354,3 +354,21 @@ def test_word_ids_equal_the_library_on_odd_white_space_and_full_memos(monkeypatc
     got = [ids for i in range(0, len(texts), 40) for ids in words.encode(texts[i:i + 40])]
     want = [np.asarray(e.ids, "<u4").tobytes() for e in words.library.encode_batch(texts, add_special_tokens=False)]
     assert got == want
+
+
+def test_packing_merges_a_word_once_while_it_is_in_use(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, words = Tokenizer.from_file(path), packing.WordIds(open(path, encoding="utf-8").read())
+    merged, merges = [], words.merges
+    monkeypatch.setattr(words, "merges", lambda raw: merged.extend(raw) or merges(raw))
+    monkeypatch.setattr(packing, "PART_CHARS", 200)
+    monkeypatch.setattr(packing, "MEMO_WORDS", 60)
+    rng = random.Random(5)
+    texts = [" ".join(["common"] + [f"w{chr(97 + rng.randrange(26))}x" for _ in range(20)] + [f"{i}" * 5, "y" * 40, "  \n"])
+             for i in range(200)]
+    for _ in range(2):
+        for text, ids in zip(texts, words.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert merged.count(b"common") == 1
+    assert max(len(words.young), len(words.old)) < 60 + 100
+    assert not any("y" * 40 in w for memo in (words.young, words.old) for w in memo)
