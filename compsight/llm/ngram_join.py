@@ -42,6 +42,8 @@ VERIFY_COST = 16.0
 #: Lists longer than this are first compared with PIVOTS of their documents.
 LONG_LIST = 24
 PIVOTS = 2
+#: Shingles of each side of a block of pairs that is verified in one place.
+BLOCK = 1 << 20
 #: Pivot rounds go on while the pairs left exceed this many for each posting and a round halves them.
 PAIRS_PER_POSTING = 4
 MAX_ROUNDS = 4
@@ -179,33 +181,58 @@ def _postings(prefixes: DataFrame, reps: DataFrame) -> DataFrame:
     return shared.withColumn("shared", F.count("*").over(Window.partitionBy("rid")).cast("int"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose whole texts link."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, np.ndarray] = {}
+def _blocks(pairs: DataFrame) -> DataFrame:
+    """(hub, x, y, a, b) of each pair (a, b, sa, sb): pairs of one block are verified in one place.
 
-        def hashed(raw: bytes) -> np.ndarray:
-            if raw not in memo:
-                if len(memo) > 200:
-                    memo.clear()
-                memo[raw] = shingles(raw, k)
-            return memo[raw]
+    A pair goes to the busiest neighbour of its ``a``, so that each text of a group of copies travels there
+    once and not once a pair.  A hub's pairs are cut into blocks by both ends, each side about ``BLOCK`` shingles.
+    """
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a"))
+    degree = both.groupBy("v").agg(F.count("*").alias("d"))
+    hubs = (both.union(degree.select(F.col("v").alias("u"), "v")).join(degree, "v").groupBy("u")
+            .agg(F.max(F.struct("d", "v"))["v"].alias("hub")).withColumnRenamed("u", "a"))
+    keyed = _stored(pairs.join(hubs, "a"), "keyed-pairs")
+    for end, size, at in (("a", "sa", "x"), ("b", "sb", "y")):
+        parts = keyed.groupBy("hub", end).agg(F.max(size).alias("n")).groupBy("hub").agg(
+            F.ceil(F.sum("n") / BLOCK).alias("parts"))
+        keyed = keyed.join(parts, "hub").withColumn(at, F.pmod(F.xxhash64(end), "parts")).drop("parts")
+    return keyed.select("hub", "x", "y", "a", "b")
 
-        for b in batches:
-            keep = []
-            for x, y in zip(bytes_of(b.column(2)), bytes_of(b.column(3))):
-                p, q = hashed(x), hashed(y)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= pct * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    # Written, so that Spark knows the size: few pairs are broadcast, and only texts that they name are shuffled.
-    pairs = _stored(pairs.select("a", "b"), "pairs")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = (texts.join(pairs.select(F.col("b").alias("doc_id")), "doc_id", "left_semi")
-             .select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")))
-    return (pairs.join(left, "a").join(right, "b")
-            .select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
+    """The (a, b) of ``pairs`` (a, b, sa, sb) for which a whole text of a and one of b link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sets = None, {}  # of the block: its documents' sets, keyed by their bytes as rows may be repeated
+        for batch in batches:
+            found = []
+            for hub, x, y, a, b, raw in zip(*[c.to_pylist() for c in batch.columns[:5]], bytes_of(batch.column(5))):
+                if block != (hub, x, y):
+                    block, sets = (hub, x, y), {}
+                if b is None:
+                    one = shingles(raw, k)
+                    sets.setdefault(a, {})[one.tobytes()] = one
+                elif any(_linked(p, q, pct) for p in sets[a].values() for q in sets[b].values()):
+                    found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    # Written, so that Spark knows the sizes: few are broadcast, and only texts that pairs name are shuffled.
+    blocks = _stored(_blocks(_stored(pairs.select("a", "b", "sa", "sb"), "pairs")), "blocks")
+    ends = blocks.select("hub", "x", "y", F.col("a").alias("doc_id")).union(blocks.select("hub", "x", "y", "b"))
+    ends = _stored(ends.distinct(), "block-ends")
+    named = texts.join(_stored(ends.select("doc_id").distinct(), "named"), "doc_id", "left_semi")
+    sent = named.join(ends, "doc_id").select("hub", "x", "y", F.col("doc_id").alias("a"),
+                                             F.lit(None).cast("long").alias("b"), "text")
+    rows = sent.union(blocks.select("hub", "x", "y", "a", "b", F.lit("")))
+    return (rows.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y", F.asc_nulls_first("b"))
+            .mapInArrow(run, "a long, b long"))
+
+
+def _linked(p: np.ndarray, q: np.ndarray, pct: int) -> bool:
+    if not len(p) or 100 * min(len(p), len(q)) < pct * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= pct * (len(p) + len(q) - both)
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -227,6 +254,13 @@ def _fit(pct: int) -> str:
             f"and least(x.shared, y.shared) >= {_least_shared(pct)}")
 
 
+def _ends() -> list:
+    """A pair's smaller id a and larger id b with the sizes of their sets."""
+    first, second = (F.struct(F.col(f"{t}.rid").alias("rid"), F.col(f"{t}.s").alias("s")) for t in "xy")
+    low, high = F.least(first, second), F.greatest(first, second)
+    return [low["rid"].alias("a"), high["rid"].alias("b"), low["s"].alias("sa"), high["s"].alias("sb")]
+
+
 def _pairs_left(postings: DataFrame) -> DataFrame:
     """Per token its rows, its largest component and the pairs between its components."""
     return (postings.groupBy("token", "component").agg(F.count("*").alias("c"))
@@ -255,9 +289,6 @@ def link_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "d
 
     reps = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rid")).where("rid is not null")
     postings = _stored(_postings(_prefixes(slim, k, pct, levels, heavy), reps), "postings")
-    involved = postings.select(F.col("rid").alias("doc_id")).distinct()
-    texts = slim.join(involved, "doc_id", "left_semi").withColumn("h", F.xxhash64("text"))
-    texts = _stored(texts.dropDuplicates(["doc_id", "h"]), "texts")  # rows that repeat an id and its text
 
     # Lists by their length: only long ones are worth pivots and labels.
     counts = postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
@@ -285,8 +316,8 @@ def link_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "d
         pivots = picks.select("token", F.explode(F.array(*[f"p{p}" for p in range(PIVOTS)])).alias("p")).select(
             "token", "p.*").distinct()
         pairs = (open_.alias("x").join(pivots.alias("y"), "token").where(_fit(pct))
-                 .select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct())
-        new = _stored(_verified(pairs, texts, k, pct), "pivot-links")
+                 .select(*_ends()).groupBy("a", "b").agg(F.max("sa").alias("sa"), F.max("sb").alias("sb")))
+        new = _stored(_verified(pairs, slim, k, pct), "pivot-links")
         links = new if links is None else links.union(new)
 
     # Every pair that is left between two components, by documents outside a token's largest one.  A pair of
@@ -296,10 +327,10 @@ def link_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "d
     rest = main.where("component != main")
     meet = (rest.alias("x").join(main.alias("y"), "token")
             .where(_fit(pct) + " and (y.component = y.main or x.rid < y.rid)")
-            .select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"),
-                    F.expr(_least_shared(pct)).alias("least")))
-    pairs = meet.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least")
-    new = _stored(_verified(pairs, texts, k, pct), "pair-links")
+            .select(*_ends(), F.expr(_least_shared(pct)).alias("least")))
+    pairs = meet.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least"), F.max("sa").alias("sa"),
+                                       F.max("sb").alias("sb")).where("n >= least")
+    new = _stored(_verified(pairs, slim, k, pct), "pair-links")
     found = components(new if links is None else links.union(new))
 
     classes = (reps.join(found.withColumnRenamed("id", "rid"), "rid", "left")

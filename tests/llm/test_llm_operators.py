@@ -372,3 +372,37 @@ def test_packing_merges_a_word_once_while_it_is_in_use(monkeypatch):
     assert merged.count(b"common") == 1
     assert max(len(words.young), len(words.old)) < 60 + 100
     assert not any("y" * 40 in w for memo in (words.young, words.old) for w in memo)
+
+
+def test_a_group_sends_each_text_once_and_not_once_a_pair(spark, monkeypatch):
+    schema, n = "a long, b long, sa int, sb int", 20
+    clique = [(i, j, 50, 50) for i in range(n) for j in range(i + 1, n)]
+    star = [(min(i, 130), max(i, 130), 50, 50) for i in range(100, 160) if i != 130]
+    blocks = ngram_join._blocks(spark.createDataFrame(clique + star, schema)).collect()
+    assert sorted((r.a, r.b) for r in blocks) == sorted(p[:2] for p in clique + star)
+    assert len({(r.hub, r.x, r.y, d) for r in blocks for d in (r.a, r.b)}) == n + 60
+    monkeypatch.setattr(ngram_join, "BLOCK", 200)
+    cut = ngram_join._blocks(spark.createDataFrame(clique, schema)).collect()
+    assert sorted((r.a, r.b) for r in cut) == sorted(p[:2] for p in clique)
+    assert max(len({r.a for r in cut if (r.x, r.y) == at}) for at in {(r.x, r.y) for r in cut}) < n - 1
+
+
+def test_pairs_in_small_blocks_with_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 30)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(6):
+        base = rng.choices(words, k=40)
+        rows += [(10 * g + i, " ".join(base[:i] + [f"x{g}{i}"] + base[i + 1:] if i % 2 else base)) for i in range(9)]
+    rows += [(3, rows[20][1]), (3, rows[3][1]), (3, rows[3][1]), (None, rows[30][1]), (99, None)]
+    pairs = [(a, b, 37, 37) for a in range(60) for b in range(a + 1, 60) if a % 10 < 9 and b % 10 < 9]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "coalesce(text, '') text")
+    got = {tuple(r) for r in ngram_join._verified(spark.createDataFrame(pairs, "a long, b long, sa int, sb int"),
+                                                  texts, 4, 80).collect()}
+    sets = {}
+    for d, t in rows:
+        sets.setdefault(d, []).append(set(ngram_join.shingles((t or "").encode(), 4).tolist()))
+    assert got == {(a, b) for a, b, _, _ in pairs
+                   if any(100 * len(p & q) >= 80 * len(p | q) for p in sets[a] for q in sets[b])}
+    assert any(a == 3 and b >= 20 for a, b in got)
