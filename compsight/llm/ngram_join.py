@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from compsight.llm.components import components, partial_labels
-from compsight.llm.rows import bytes_of, summed_vector, text_col, vector_rows
+from compsight.llm.rows import bytes_of, slices, summed_vector, text_col, vector_rows
 from compsight.session import scratch_path
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -43,7 +43,7 @@ VERIFY_COST = 16.0
 LONG_LIST = 24
 PIVOTS = 2
 #: Shingles of each side of a block of pairs that is verified in one place.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Pivot rounds go on while the pairs left exceed this many for each posting and a round halves them.
 PAIRS_PER_POSTING = 4
 MAX_ROUNDS = 4
@@ -202,15 +202,15 @@ def _blocks(pairs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
     """The (a, b) of ``pairs`` (a, b, sa, sb) for which a whole text of a and one of b link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, sets = None, {}  # of the block: its documents' sets, keyed by their bytes as rows may be repeated
-        for batch in batches:
+        block, sets = None, {}  # of the block: its documents' sets, keyed by their digests as rows may be repeated
+        for batch in (part for b in batches for part in slices(b, 5)):
             found = []
             for hub, x, y, a, b, raw in zip(*[c.to_pylist() for c in batch.columns[:5]], bytes_of(batch.column(5))):
                 if block != (hub, x, y):
                     block, sets = (hub, x, y), {}
                 if b is None:
                     one = shingles(raw, k)
-                    sets.setdefault(a, {})[one.tobytes()] = one
+                    sets.setdefault(a, {})[hashlib.blake2b(one.tobytes(), digest_size=16).digest()] = one
                 elif any(_linked(p, q, pct) for p in sets[a].values() for q in sets[b].values()):
                     found.append((a, b))
             if found:
