@@ -14,6 +14,7 @@ import json
 import re
 import zlib
 from collections import Counter
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from compsight.llm.bpe import byte_symbols
-from compsight.llm.rows import add_columns, resident, text_col
+from compsight.llm.rows import add_columns, offsets_of, resident, text_col
 from compsight.session import scratch_path
 
 #: White space around a space that another pre-token may reach across.
@@ -33,15 +34,16 @@ LETTERS_THEN_MARK = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af
 #: Letters and marks that are such in every Unicode version.
 LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af"
 MARK = "!-/:-@\\[-`{-~\u00a1\u00ab\u00bb\u00bf\u2010-\u2027"
-#: Texts with any other character are cut by the library.
-UNUSUAL = re.compile(f"[^ \n0-9{LETTER}{MARK}]")
-#: Pre-tokens of the others, as the byte-level pattern of the library cuts them.
-PRE_TOKENS = re.compile(f" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[{MARK}]+|[ \n]+(?![^ \n])|[ \n]+")
-#: Characters of texts whose distinct pre-tokens are merged at once, and chunks of other texts that a worker remembers.
-PART_CHARS = 1 << 20
+#: Kinds of characters; texts with any other are cut by the library.
+OTHER, LETTERS, DIGITS, MARKS, BLANK = range(5)
+#: Kind of each character up to the last mark.
+KINDS = np.array([LETTERS if re.match(f"[{LETTER}]", c) else MARKS if re.match(f"[{MARK}]", c) else
+                  DIGITS if c in "0123456789" else BLANK if c in " \n" else OTHER for c in map(chr, range(0x2028))], np.uint8)
+#: Bytes of texts whose distinct pre-tokens are merged at once, and chunks of other texts that a worker remembers.
+PART_CHARS = 1 << 22
 MEMO_ENTRIES = 100_000
 #: Words of usual texts that a worker remembers in each of two generations.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 100_000
 #: Bytes of a word that is merged together with others.
 SHORT = 24
 #: Pieces without white space that are given to the library as the lines of one text.
@@ -106,46 +108,103 @@ class Merges:
         blob = np.frombuffer(b"".join(words), np.uint8)
         for low, width in ((0, 8), (8, 14), (14, SHORT)):
             rows = np.flatnonzero((sizes > low) & (sizes <= width))
-            col = np.arange(width)
             for lo in range(0, len(rows), 8192):
                 part = rows[lo:lo + 8192]
-                raw = blob[np.minimum(starts[part, None] + col, len(blob) - 1)]
-                ids, n = self._merged(self.first[raw], sizes[part])
-                flat = ids[col < n[:, None]].astype("<u4").tobytes()
-                ends = (4 * np.cumsum(n)).tolist()
+                raw = blob[np.minimum(starts[part] + np.arange(width)[:, None], len(blob) - 1)]
+                ids, kept = self._merged(self.first[raw], sizes[part])
+                flat = ids.T[kept.T].astype("<u4").tobytes()
+                ends = (4 * np.cumsum(kept.sum(0))).tolist()
                 for i, a, b in zip(part.tolist(), [0, *ends], ends):
                     out[i] = flat[a:b]
         return out
 
     def _merged(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        width = ids.shape[1]
-        col = np.arange(width)
-        rank = np.full(ids.shape, self.NONE, np.int32)
-        rank[:, :-1] = np.where(col[1:] < n[:, None], self.ranks(ids[:, :-1], ids[:, 1:]), self.NONE)
-        result, count, who, n = ids.copy(), n.copy(), np.arange(len(ids)), n.copy()
-        while len(who):
-            j = rank.argmin(1)
-            best = rank[np.arange(len(j)), j]
-            on = best != self.NONE
-            if not on.all():
-                result[who[~on]], count[who[~on]] = ids[~on], n[~on]
-                who, ids, rank, n, j, best = who[on], ids[on], rank[on], n[on], j[on], best[on]
-            row = np.arange(len(j))
-            ids[row, j] = self.made[best]
-            src = np.minimum(col + (col > j[:, None]), width - 1)
-            ids, rank = np.take_along_axis(ids, src, 1), np.take_along_axis(rank, src, 1)
-            n -= 1
-            right = self.ranks(ids[row, j], ids[row, np.minimum(j + 1, width - 1)])
-            rank[row, j] = np.where(j + 1 < n, right, self.NONE)
-            row, j = row[j > 0], j[j > 0]
-            rank[row, j - 1] = self.ranks(ids[row, j - 1], ids[row, j])
-        return result, count
+        """``ids`` (a word a column, of ``n`` symbols) after all merges, and which of them are left."""
+        width, words = ids.shape
+        # A last line stands for the place before a word and after it.  What was merged stays, its neighbours pass it by.
+        line = np.arange(width + 1, dtype=np.int32)[:, None]
+        kept = line[:-1] < n
+        ids = np.concatenate((ids, np.zeros((1, words), ids.dtype))).ravel()
+        right = np.where(line + 1 < n, line + 1, width).astype(np.int32).ravel()
+        left = np.repeat(np.where(line > 0, line - 1, width).astype(np.int32), words)
+        # Rank and place in one number, so that the least is the first pair of least rank.
+        best = np.full((width + 1) * words, self.NONE, np.int32)
+        at = np.flatnonzero(line[1:-1] < n)
+        best[at] = self._ranked(ids[at], ids[at + words], at // words)
+        alive = kept.ravel()
+        while True:
+            least = best.reshape(width + 1, words).min(0)
+            col = np.flatnonzero(least != self.NONE)
+            if not len(col):
+                return ids.reshape(width + 1, words)[:-1], kept
+            least = least[col]
+            j = least & 31
+            at = j * words + col
+            made = self.made[least >> 5]
+            gone = right[at] * words + col
+            after, before = right[gone], left[at]
+            next_, last = after * words + col, before * words + col
+            ids[at], right[at], left[next_], best[gone], alive[gone] = made, after, j, self.NONE, False
+            rank = self._ranked(np.concatenate((made, ids[last])), np.concatenate((ids[next_], made)),
+                                np.concatenate((j, before)))
+            rank[np.concatenate((after, before)) == width] = self.NONE
+            best[at], best[last] = rank[:len(j)], rank[len(j):]
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        rank = self.ranks(left, right)
+        return np.where(rank == self.NONE, rank, rank << 5 | place).astype(np.int32)
+
+
+def kinds(raw: np.ndarray) -> np.ndarray:
+    """The kind of the character that each byte of UTF-8 text belongs to."""
+    out = KINDS[:256][raw]
+    if len(raw) and raw.max() < 128:
+        return out
+    out[raw > 127] = OTHER
+    for first, last, size, bits in ((0xC0, 0xDF, 2, 0x1F), (0xE0, 0xEF, 3, 0x0F)):
+        at = np.flatnonzero((raw >= first) & (raw <= last))
+        code = (raw[at] & bits).astype(np.int32)
+        for k in range(1, size):
+            code = code << 6 | (raw[at + k] & 0x3F)
+        kind = np.where(code < len(KINDS), KINDS[np.minimum(code, len(KINDS) - 1)], OTHER)
+        for k in range(size):
+            out[at + k] = kind
+    return out
+
+
+def pre_tokens(raw: np.ndarray, kind: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of usual texts begin, as the byte-level pattern of the library cuts them.
+
+    `` ?[letters]+``, ``'(?:s|t|re|ve|m|ll|d)`` where a mark may begin, `` ?[digits]+``, `` ?[marks]+``, or blanks;
+    the last blank before another character stands alone or, if it is a space, leads the next pre-token.
+    """
+    start = np.ones(len(raw), bool)
+    blank, change = kind == BLANK, kind[1:] != kind[:-1]
+    start[1:] = change & ((raw[:-1] != 32) | blank[1:])
+    start[:-1] |= blank[:-1] & change
+    first = np.unique(offs[:-1][np.diff(offs) > 0])
+    # The last blank of a text leads nothing in the next one.
+    last = np.setdiff1d(first[1:] - 1, first)
+    start[last[blank[last] & blank[last - 1]]] = False
+    start[first] = True
+
+    at = np.flatnonzero((raw == 39) & start)
+    if len(at):
+        end = np.append(first, len(raw))[np.searchsorted(first, at, side="right")]
+        one, two = (np.where(at + k < end, raw[np.minimum(at + k, len(raw) - 1)], 0) for k in (1, 2))
+        short = np.isin(one, list(b"stmd"))
+        long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+        size = np.where(short, 2, np.where(long, 3, 0))
+        at, end, size = at[size > 0], end[size > 0], size[size > 0]
+        start[at + 1] = False
+        start[(at + size)[at + size < end]] = True
+    return np.flatnonzero(start)
 
 
 class WordIds:
     """Ids of whole texts by the tokenizers library, or equal to them.
 
-    Texts of usual characters are cut into pre-tokens here, by the library's pattern; the
+    Texts of usual characters are cut into pre-tokens here, as the library's pattern does; the
     distinct ones are merged many at a time (``Merges``), long ones by the library.  Short
     ones are remembered in two generations: a word in use moves to the younger, and when that is
     full the older goes.  Other texts have a memo of space-separated chunks:
@@ -207,29 +266,63 @@ class WordIds:
             if parts and len(parts) > 1:
                 memo[c] = b"".join([memo[p] for p in parts])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        ends = offsets_of(texts).astype(np.int64)
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         out: list[bytes] = [b""] * len(texts)
-        usual, odd = [], []
-        for i, t in enumerate(texts):
-            (odd if UNUSUAL.search(t) or any(s in t for s in self.special) else usual).append(i)
-        lo = 0
-        while lo < len(usual):
-            size, hi = 0, lo
-            while hi < len(usual) and size < PART_CHARS:
-                size += len(texts[usual[hi]])
-                hi += 1
-            cut = [PRE_TOKENS.findall(texts[i]) for i in usual[lo:hi]]
-            known, long = self._known(set().union(*cut))
-            for i, tokens in zip(usual[lo:hi], cut):
-                out[i] = b"".join(map(known.__getitem__, tokens))
-            for w in long:
-                del known[w]
+        odd, lo = [], 0
+        while lo < len(texts):
+            hi = min(len(texts), max(lo + 1, int(np.searchsorted(ends, ends[lo] + PART_CHARS))))
+            part, offs = raw[ends[lo]:ends[hi]], ends[lo:hi + 1] - ends[lo]
+            kind = kinds(part)
+            usual = self._usual(part, kind, offs)
+            if not usual.all():
+                odd += (lo + np.flatnonzero(~usual)).tolist()
+                sizes = np.diff(offs)
+                of_usual = np.repeat(usual, sizes)
+                part, kind = part[of_usual], kind[of_usual]
+                offs = np.concatenate(([0], np.cumsum(sizes[usual])))
+            for i, ids in zip((lo + np.flatnonzero(usual)).tolist(), self._part(part, kind, offs)):
+                out[i] = ids
             lo = hi
-        for i, ids in zip(odd, self._odd([texts[i] for i in odd])):
+        for i, ids in zip(odd, self._odd(texts.take(pa.array(odd, pa.int64())).to_pylist())):
             out[i] = ids
         return out
 
+    def _usual(self, raw: np.ndarray, kind: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Whether each text has usual characters only and no special token."""
+        out = np.ones(len(offs) - 1, bool)
+        out[np.searchsorted(offs, np.flatnonzero(kind == OTHER), side="right") - 1] = False
+        blob = raw.tobytes()
+        for s in map(str.encode, self.special):
+            if s in blob:
+                out &= [s not in blob[lo:hi] for lo, hi in zip(offs.tolist(), offs[1:].tolist())]
+        return out
+
+    def _part(self, raw: np.ndarray, kind: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        """Ids of usual texts, one after the other in ``raw``."""
+        if not len(raw):
+            return [b""] * (len(offs) - 1)
+        starts = pre_tokens(raw, kind, offs)
+        bounds = pa.py_buffer(np.append(starts, len(raw)).astype(np.int32))
+        words = pa.StringArray.from_buffers(len(starts), bounds, pa.py_buffer(raw)).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known, long = self._known(set(distinct))
+        ids = list(map(known.__getitem__, distinct))
+        for w in long:
+            del known[w]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        word = words.indices.to_numpy()
+        n = sizes[word]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        got = flat[np.repeat(at[word] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[np.searchsorted(starts, offs)]).tolist()
+        return [got[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _known(self, tokens: set[str]) -> tuple[dict[str, bytes], list[str]]:
         """Ids of each of ``tokens`` and of others that are remembered, and those too long to stay there."""
         if len(self.young) > MEMO_WORDS:
@@ -238,10 +331,11 @@ class WordIds:
         words = new.difference(self.old)
         again = new - words
         self.young.update(zip(again, map(self.old.__getitem__, again)))
-        short, long = [], []
-        for w in words:
-            (short if self.merges is not None and len(w.encode()) <= SHORT else long).append(w)
-        self.young.update(zip(short, self.merges(list(map(str.encode, short))) if short else []))
+        # A set keeps its order: each word beside its bytes.
+        raw = list(map(str.encode, words))
+        small = [self.merges is not None and len(r) <= SHORT for r in raw]
+        short, long = list(compress(words, small)), [w for w, is_short in zip(words, small) if not is_short]
+        self.young.update(zip(short, self.merges(list(compress(raw, small))) if short else []))
         blank = list(filter(str.isspace, long))
         self.young.update(zip(blank, self._ids(blank)))
         self._lines([w for w in long if not w.isspace()], self.young)
@@ -317,7 +411,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, tex
             return out
 
         def fn(texts):
-            return [pa.array([pieces(r) for r in words.encode(texts.to_pylist())], pa.list_(pa.struct(kind)))]
+            return [pa.array([pieces(r) for r in words.encode(texts)], pa.list_(pa.struct(kind)))]
         return fn
     fields = "pieces array<struct<start:long,length:int,crc:long" + (",ids:array<int>>>" if with_ids else ">>")
     return add_columns(docs, [text_col(docs, text)], fields, make)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -374,6 +375,22 @@ def test_packing_merges_a_word_once_while_it_is_in_use(monkeypatch):
     assert not any("y" * 40 in w for memo in (words.young, words.old) for w in memo)
 
 
+def test_pre_tokens_and_ids_of_an_arrow_slice_equal_the_library():
+    library = Tokenizer.from_file(path := public_tokenizers.path("byte_bpe_50k.json"))
+    words = packing.WordIds(open(path, encoding="utf-8").read())
+    parts = ["a", "é", "ʯ", "wor", "'", "s", "'re", "'ll", "'v", "12", "!", "–", "«", " ", "  ", "\n", " \n"]
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(4000)] + ["  ", "", "\n", "'s"]
+    rows = pa.array(["cut off  "] + texts).slice(1)
+    assert words.encode(rows) == [np.asarray(e.ids, "<u4").tobytes()
+                                  for e in library.encode_batch(texts, add_special_tokens=False)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0] + [len(t.encode()) for t in texts])
+    want = [lo + len(t[:a].encode()) for t, lo in zip(texts, offs.tolist())
+            for _, (a, _) in library.pre_tokenizer.pre_tokenize_str(t)]
+    assert packing.pre_tokens(raw, packing.kinds(raw), offs).tolist() == want
+
+
 def test_a_group_sends_each_text_once_and_not_once_a_pair(spark, monkeypatch):
     schema, n = "a long, b long, sa int, sb int", 20
     clique = [(i, j, 50, 50) for i in range(n) for j in range(i + 1, n)]
