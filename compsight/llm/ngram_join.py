@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from compsight.llm.components import components, partial_labels
-from compsight.llm.rows import bytes_of, slices, summed_vector, text_col, vector_rows
+from compsight.llm.rows import bytes_of, forget, give_back, slices, summed_vector, text_col, vector_rows
 from compsight.session import scratch_path
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -69,6 +69,7 @@ def shingles(raw: bytes, k: int) -> np.ndarray:
 def _signatures(docs: DataFrame, k: int, width: int) -> DataFrame:
     """Per row (doc_id, n, sig), and per task the counters (at, part) of its shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counters = np.zeros(width, np.uint32)
         mask = np.uint64(width - 1)
         names = ["doc_id", "n", "sig", "at", "part"]
@@ -87,6 +88,7 @@ def _signatures(docs: DataFrame, k: int, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
                  pa.array([at], pa.int64()), pa.array([part], pa.binary())], names)
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, at long, part binary")
 
@@ -120,6 +122,7 @@ def _prefixes(docs: DataFrame, k: int, pct: int, levels: np.ndarray, heavy: floa
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # SKETCH_MAX bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         lev = shared.value
         for b in batches:
             ids, rows = [], []
@@ -136,6 +139,7 @@ def _prefixes(docs: DataFrame, k: int, pct: int, levels: np.ndarray, heavy: floa
                 [pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int32()),
                  *[pa.array([r[j] for r in rows], pa.int32()) for j in (1, 2, 3)], tokens],
                 ["rid", "s", "ell", "base", "light", "tokens"])
+        give_back()
 
     return docs.mapInArrow(run, "rid long, s int, ell int, base int, light int, tokens array<long>")
 
@@ -202,6 +206,7 @@ def _blocks(pairs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
     """The (a, b) of ``pairs`` (a, b, sa, sb) for which a whole text of a and one of b link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         block, sets = None, {}  # of the block: its documents' sets, keyed by their digests as rows may be repeated
         for batch in (part for b in batches for part in slices(b, 5)):
             found = []
@@ -215,6 +220,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame
                     found.append((a, b))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        give_back()
 
     # Written, so that Spark knows the sizes: few are broadcast, and only texts that pairs name are shuffled.
     blocks = _stored(_blocks(_stored(pairs.select("a", "b", "sa", "sb"), "pairs")), "blocks")

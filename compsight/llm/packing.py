@@ -43,7 +43,7 @@ KINDS = np.array([LETTERS if re.match(f"[{LETTER}]", c) else MARKS if re.match(f
 PART_CHARS = 1 << 22
 MEMO_ENTRIES = 100_000
 #: Words of usual texts that a worker remembers in each of two generations.
-MEMO_WORDS = 100_000
+MEMO_WORDS = 50_000
 #: Bytes of a word that is merged together with others.
 SHORT = 24
 #: Pieces without white space that are given to the library as the lines of one text.
@@ -314,13 +314,17 @@ class WordIds:
         ids = list(map(known.__getitem__, distinct))
         for w in long:
             del known[w]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        # A text has fewer than 2^31 bytes and no more ids than bytes.
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)).astype(np.int32) // 4
+        flat, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
         word = words.indices.to_numpy()
         n = sizes[word]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        got = flat[np.repeat(at[word] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
-        cuts = (4 * ends[np.searchsorted(starts, offs)]).tolist()
+        ends = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=ends[1:])
+        from_ = np.repeat(at[word] - ends[:-1], n)
+        from_ += np.arange(ends[-1], dtype=np.int32)
+        got = flat[from_].tobytes()
+        cuts = (4 * ends[np.searchsorted(starts, offs)].astype(np.int64)).tolist()
         return [got[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _known(self, tokens: set[str]) -> tuple[dict[str, bytes], list[str]]:

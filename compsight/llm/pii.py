@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from compsight.llm.rows import add_columns, text_col
+from compsight.llm.rows import add_columns, forget, text_col
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 MIN_SCORE = 0.5
@@ -149,6 +149,8 @@ def find_pii(docs: DataFrame, text: str = "text", masked: str | None = None) ->
                                ("end", pa.int32()), ("score", pa.float64())]))
 
     def make():
+        forget()
+
         def fn(texts):
             rows = [(t, find_spans(t)) for t in texts.to_pylist()]
             spans = pa.array([[{"kind": KINDS[k], "start": s, "end": e, "score": p} for s, e, k, p in f]

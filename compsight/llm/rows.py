@@ -8,6 +8,7 @@ column of ``df`` whose name equals (in any case) an added one is replaced.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -46,6 +47,7 @@ def add_columns(df: DataFrame, inputs: list, fields: str | T.StructType,
                 cols = part.columns
                 new = fn(*cols[n_kept:])
                 yield pa.RecordBatch.from_arrays(cols[:n_kept] + list(new), out_names)
+        give_back()
 
     return src.mapInArrow(run, T.StructType(kept + list(fields)))
 
@@ -80,7 +82,15 @@ def forget() -> None:
     if _RESIDENT:
         _RESIDENT.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits, or goes on with other work, keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def offsets_of(a: pa.Array) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from compsight.llm.rows import add_columns, text_col
+from compsight.llm.rows import add_columns, forget, give_back, text_col
 from compsight.llm.sampling import training_labels
 from compsight.session import scratch_path
 
@@ -30,6 +30,8 @@ FEATURES = 800
 #: Toxic rows of the sample that must hold an n-gram for it to be a feature.
 MIN_ROWS = 3
 GRAMS = range(4, 8)
+#: Different n-grams that a task counts before it hands them on.
+HELD_GRAMS = 100_000
 RIDGE = 0.3
 COUNTERFACTUAL = 20.0
 
@@ -83,20 +85,33 @@ def found(automaton, text: str) -> list[int]:
     return sorted({i for _, i in automaton.iter(text)}) if len(automaton) else []
 
 
+def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, toxic, clean) rows of (text, label) rows: a gram comes again after every ``HELD_GRAMS`` of them."""
+    clean, toxic = counts = (Counter(), Counter())
+
+    def flushed():
+        names = list(toxic.keys() | clean.keys())
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array([toxic[g] for g in names], pa.int64()),
+             pa.array([clean[g] for g in names], pa.int64())], ["gram", "toxic", "clean"])
+        toxic.clear()
+        clean.clear()
+        return out
+
+    for b in batches:
+        for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            counts[y].update(grams_of(t.lower()))
+            if len(clean) + len(toxic) >= HELD_GRAMS:
+                yield flushed()
+    yield flushed()
+
+
 def select_grams(sample: DataFrame, features: int = FEATURES) -> list[str]:
     """N-grams of more toxic than clean rows that tell most about the label, by the G statistic of their 2 x 2 table."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts[y].update(grams_of(t.lower()))
-        clean, toxic = counts
-        names = list(toxic.keys() | clean.keys())
-        for lo in range(0, len(names), 50_000):
-            part = names[lo:lo + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array([toxic[g] for g in part]), pa.array([clean[g] for g in part])],
-                ["gram", "toxic", "clean"])
+        forget()
+        yield from gram_counts(batches)
+        give_back()
 
     n = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
@@ -207,6 +222,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ``FEATURES`` n-grams at most
 
     def make():
+        forget()
         m = shared.value
         automaton, weights = m.automaton(), m.weights
 

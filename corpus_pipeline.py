@@ -18,7 +18,7 @@ SHINGLE, SIMILAR = 5, 80
 TOXIC = 0.5
 CAPACITY = 2048
 #: Rows of an Arrow batch in the stages: texts of 128 KB come many at a time otherwise.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "500"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from compsight.llm import (ann, bpe, language_id, ngram_join, packing, pii, quality_classifier, quality_rules,
                            sharding, toxicity)
+from compsight.llm import rows as worker
 from compsight.llm.components import components
 from compsight.llm.sampling import held_out
 
@@ -177,6 +178,30 @@ def naive_spans(text):
     return sorted(out)
 
 
+def test_grams_are_handed_on_before_many_are_held(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abcdefgh ", k=200)) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 2 for i in range(60)])], ["text", "label"])
+    monkeypatch.setattr(toxicity, "HELD_GRAMS", 500)
+    sums = [Counter(), Counter()]
+    for out in toxicity.gram_counts(iter([batch, batch.slice(0, 0)])):
+        assert out.num_rows < 500 + 4 * 200
+        for gram, toxic, clean in zip(*[c.to_pylist() for c in out.columns]):
+            sums[1][gram] += toxic
+            sums[0][gram] += clean
+    for y in (0, 1):
+        want = Counter(g for i, t in enumerate(texts) if i % 2 == y for g in toxicity.grams_of(t))
+        assert +sums[y] == want
+
+
+def test_a_worker_drops_what_another_operator_kept(monkeypatch):
+    given = []
+    monkeypatch.setattr(worker, "give_back", lambda: given.append(1))
+    worker.resident("large", lambda: [0])
+    worker.forget()
+    assert not worker._RESIDENT and given
+
+
 def test_pii_base_spans_equal_the_patterns():
     rng = np.random.default_rng(2)
     alphabet = list("a1.@+ -()%0925") + ["example.org", "4111111111111111", "+4930123456", "10.2.3.4", "\n", "é"]
