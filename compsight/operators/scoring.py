@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.finance import clamp_value, inverse_target, size_loan
 from .features import ColumnTransformerModel, RareCollapse, scoring_features
+from .forest import Forest
 from .linear import linear_expr
 
 
@@ -48,9 +49,9 @@ class LinearModel:
 
 @dataclass
 class ForestModel:
-    """A fitted forest, its categories and the transformer and column order of its vectors."""
+    """A fitted forest, its categories and the transformer and names of its columns."""
 
-    forest: object
+    forest: Forest
     collapse: RareCollapse
     transformer: ColumnTransformerModel
     transform: str = "log"
@@ -61,17 +62,12 @@ class ForestModel:
     features: list[str] = field(default_factory=list)
 
     def predict(self, df: DataFrame, name: str) -> DataFrame:
-        from pyspark.ml.feature import VectorAssembler
-
+        (category,) = self.transformer.categorical
         wide = self.collapse.transform(df, "__category")
-        columns = [c for c in self.transformer.numeric_columns()]
-        from .features import one_hot_columns
-        for c in self.transformer.categorical:
-            columns += one_hot_columns("__category", self.transformer.categories[c], prefix=f"cat__{c}_",
-                                       fill=self.transformer.modes.get(c))
-        rows = VectorAssembler(inputCols=self.features, outputCol="__features").transform(wide.select("*", *columns))
-        scored = self.forest.setFeaturesCol("__features").setPredictionCol(name).transform(rows)
-        return scored.drop("__features", "__category", *self.features)
+        mode = F.lit(self.transformer.modes.get(category)).cast("string")
+        columns = [*self.transformer.numeric_columns(), F.coalesce(F.col("__category"), mode).alias(f"cat__{category}")]
+        scored = self.forest.predict(wide.select("*", *columns), name)
+        return scored.drop("__category", f"cat__{category}", *self.transformer.numeric_names)
 
 
 def score_requests(req: DataFrame, model: LinearModel | ForestModel, policy: str = "ltv",

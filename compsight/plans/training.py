@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.finance import forward_target, inverse_target
 from ..operators import features as FE
+from ..operators import forest as FO
 from ..operators import linear as L
 from ..operators import ordered as O
 from ..operators.aggregates import regression_metrics
@@ -115,30 +116,28 @@ def metrics_by_split(pred: DataFrame) -> dict[str, dict[str, float]]:
 # ---------------------------------------------------------------- MOD-2 forest
 @dataclass
 class ForestTraining:
-    model: object
+    model: FO.Forest
     features: list[str]
-    design: DataFrame
-    importances: dict[str, float]
+    design: DataFrame               # key, dup, source_row, is_test, label, features
     collapse: FE.RareCollapse
     transformer: FE.ColumnTransformerModel
 
+    @property
+    def importances(self) -> dict[str, float]:
+        return self.model.importances()
+
     def scorer(self) -> ForestModel:
         return ForestModel(self.model, self.collapse, self.transformer, features=self.features)
 
 
 def train_forest(df: DataFrame, num_trees: int = C.FOREST_TREES, max_depth: int = C.FOREST_DEPTH,
-                 max_bins: int = 64, seed: int = C.RANDOM_STATE, node_mb: int = 512) -> ForestTraining:
-    """Random forest on log(target): bootstrap, all features per split.
-
-    ``node_mb`` is the memory that a task gives to the statistics of the nodes split in one pass over the
-    rows; each row's node in every tree is cached, so that a pass does not walk down all trees again.
+                 max_bins: int = 64, seed: int = C.RANDOM_STATE, predict: bool = True) -> ForestTraining:
+    """Random forest on log(target): bootstrap, all features per split (``operators.forest``).
+    ``forest_predictions`` needs ``predict``.
 
     Forest features use the forest definitions (null-as-0 cost, ratio NULL
     -> 0) and the same fitted transformer as the linear model.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
     df = stored(split_flags(df), "split")
     collapse = FE.RareCollapse.fit(df.filter(~F.col("is_test")), "city")
     df = collapse.transform(df)
@@ -148,21 +147,15 @@ def train_forest(df: DataFrame, num_trees: int = C.FOREST_TREES, max_depth: int
     from ..functions.finance import rehab_ratio
     df = df.withColumn("rehab_ratio", rehab_ratio(C.PURCHASE_COL, C.REHAB_COL, "train_forest"))
     ct = FE.fit_column_transformer(df.filter(~F.col("is_test")))
-    design = stored(df.select("source_row", "is_test", forward_target(C.TARGET_COL, "log").alias("label"),
-                              *ct.columns()), "forest-design")
-    names = ct.feature_names
-    vec = VectorAssembler(inputCols=names, outputCol="features").transform(design)
-    rf = RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=num_trees,
-                               maxDepth=max_depth, maxBins=max_bins,
-                               featureSubsetStrategy="all", bootstrap=True, seed=seed,
-                               maxMemoryInMB=node_mb, cacheNodeIds=True, checkpointInterval=10)
-    model = rf.fit(vec.filter(~F.col("is_test")))
-    imp = model.featureImportances.toArray()
-    return ForestTraining(model, names, vec, {n: float(v) for n, v in zip(names, imp)}, collapse, ct)
+    (category,) = ct.categorical
+    design = stored(FO.with_keys(df.select("source_row", "is_test", forward_target(C.TARGET_COL, "log").alias("label"),
+                                           *ct.compact_columns())), "forest-design")
+    model = FO.fit(design, ct.numeric_names, f"cat__{category}", ct.categories[category], "label",
+                   ~F.col("is_test"), num_trees, max_depth, max_bins, seed, predict)
+    return ForestTraining(model, ct.feature_names, design, collapse, ct)
 
 
 def forest_predictions(t: ForestTraining) -> DataFrame:
-    pred = t.model.transform(t.design)
-    return pred.select("source_row", "is_test", "label", F.col("prediction").alias("pred_log"),
-                       inverse_target("label", "log").alias("y_dollars"),
-                       inverse_target(F.col("prediction"), "log").alias("pred_dollars"))
+    return t.model.fitted(t.design, "pred_log").select(
+        "source_row", "is_test", "label", "pred_log", inverse_target("label", "log").alias("y_dollars"),
+        inverse_target("pred_log", "log").alias("pred_dollars"))

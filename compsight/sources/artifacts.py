@@ -1,8 +1,8 @@
 """Model store (SNK-3, SRC-4, SRC-5).
 
 A model is a folder of tables on the shared file system.  Linear: ``numeric`` (position, column, median, mean,
-scale, weight), ``categories`` (value, effect).  Forest: ``model`` by Spark ML's own writer, ``numeric``, ``kept``
-(value), ``categories`` (position, value), ``features`` (position, name).  Both: ``params`` (name, number or text),
+scale, weight), ``categories`` (value, effect).  Forest: ``model`` (``trees``, ``thresholds``, ``forest``),
+``numeric``, ``kept`` (value), ``categories`` (position, value), ``features`` (position, name).  Both: ``params`` (name, number or text),
 ``metrics`` (split, metric, value), ``diagnostics`` (test, feature, statistic, value) and ``meta`` (one JSON record).
 
 ``publish`` writes a model into a folder of its own under a store and then one numbered pointer
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.features import ColumnTransformerModel, RareCollapse
+from ..operators.forest import Forest
 from ..operators.scoring import ForestModel, LinearModel
 from ..session import hadoop_path, path_exists
 
@@ -92,7 +93,7 @@ def save_forest(spark: SparkSession, path: str, model: ForestModel, meta: dict,
                 diagnostics: Diagnostics = ()) -> None:
     """SNK-3: every tree of a forest and what turns a row into its vector."""
     ct, collapse = model.transformer, model.collapse
-    model.forest.write().save(f"{path}/model")
+    model.forest.save(spark, f"{path}/model")
     _table(spark, [(i, c, ct.medians[c], *ct.scaling[c], None) for i, c in enumerate(ct.kept_numeric)], _NUMERIC,
            f"{path}/numeric")
     collapse.kept.write.parquet(f"{path}/kept")
@@ -106,8 +107,6 @@ def save_forest(spark: SparkSession, path: str, model: ForestModel, meta: dict,
 
 def load_forest(spark: SparkSession, path: str, version: str = "unsaved") -> ForestModel:
     """SRC-4: a saved forest, ready to score."""
-    from pyspark.ml.regression import RandomForestRegressionModel
-
     numeric = spark.read.parquet(f"{path}/numeric").orderBy("position").collect()
     of = _params(spark, path)
     values = [r["value"] for r in spark.read.parquet(f"{path}/categories").orderBy("position").collect()]
@@ -117,7 +116,7 @@ def load_forest(spark: SparkSession, path: str, version: str = "unsaved") -> For
                                 {r["column"]: (r["mean"], r["scale"]) for r in numeric},
                                 {of["category"]: of["mode"]}, {of["category"]: values})
     collapse = RareCollapse(of["category"], spark.read.parquet(f"{path}/kept"), other=of["other"])
-    return ForestModel(RandomForestRegressionModel.load(f"{path}/model"), collapse, ct,
+    return ForestModel(Forest.load(spark, f"{path}/model"), collapse, ct,
                        **{k: of[k] for k in RULES}, version=version, features=names)
 
 
