@@ -750,7 +750,7 @@ def forest_fit_predict_q(spark, sf_dir):
 @register("forest_importances")
 def forest_importances_q(spark, sf_dir):
     """STAT-8: forest feature importances joined to the design names."""
-    t = TR.train_forest(prep.cleaned(spark, sf_dir))
+    t = TR.train_forest(prep.cleaned(spark, sf_dir), predict=False)
     return _tidy(spark, list(t.importances.items()), "feature")
 
 

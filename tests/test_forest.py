@@ -196,3 +196,16 @@ def test_forest_scores_a_stream_as_a_batch(spark):
     stream = spark.readStream.schema(req.schema).parquet(src)
     out = logs.run_append(logs.score_stream(stream, lambda r: score_requests(r, t.scorer(), city="from_address")), "scored")
     assert rows(out) == rows(score_requests(req, t.scorer(), city="from_address"))
+
+
+def test_importances_need_no_predictions(spark, monkeypatch):
+    """The same trees, whether rows are predicted or not, and from units of nodes."""
+    rows = table(spark, 300, 3, distinct=30)
+    whole, _, kept = fitted(spark, rows, num_trees=4, max_depth=30)
+    args = (kept, ["a", "b", "c"], "city", sorted({r[-1] for r in rows}), "label", ~F.col("is_test"), 4, 30)
+    alone = FO.fit(*args, predict=False)
+    assert {tuple(r) for r in alone.trees.collect()} == {tuple(r) for r in whole.trees.collect()} and alone.totals is None
+    assert alone.importances() == pytest.approx(whole.importances(), rel=1e-12)
+    assert sum(alone.importances().values()) == pytest.approx(1.0)
+    monkeypatch.setattr(FO, "UNIT_ROWS", 60)
+    assert FO.fit(*args, predict=False).importances() == pytest.approx(whole.importances(), rel=1e-9, abs=1e-15)
