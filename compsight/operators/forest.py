@@ -15,6 +15,7 @@ proportional to the rows, not to bins times nodes.  A unit also predicts the row
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 #: Most rows that a task holds at once, trees of a unit, and sampled rows of them grown side by side.
-UNIT_ROWS, GROUP, BATCH_ROWS = 500_000, 8, 60_000
+UNIT_ROWS, GROUP, BATCH_ROWS = 500_000, 10, 60_000
 #: Train rows that the bins are chosen from (a hash picks them where there are more), nodes in a row of the model.
 BIN_ROWS, CHUNK = 100_000, 65_536
 #: A split's end at a unit's node: ``HANDED - part``.
@@ -72,7 +73,8 @@ class Bins:
         self.total = int(self.offsets[-1])
         # A split sends a code to the left if code - from_ <= to, without sign: up to a bin, or any level but one.
         names = max(len(self.levels) - 1, 0)
-        self.code_type = np.uint16 if max([len(self.levels), *sizes]) < 1 << 16 else np.uint32
+        most = max([len(self.levels), *sizes])
+        self.code_type = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
         self.column_of = np.concatenate([np.repeat(np.arange(len(sizes)), sizes), np.full(names, len(sizes))])
         self.from_ = np.concatenate([np.zeros(self.total), np.arange(names) + 2]).astype(self.code_type)
         self.to = np.concatenate([np.arange(self.total) - np.repeat(self.offsets[:-1], sizes),
@@ -353,34 +355,42 @@ class _Unit:
     value: float | None = None
 
 
-def finish(bins: Bins, labels: Labels, unit: _Unit, seed: int, rows: _Rows, predict: bool = True
-           ) -> tuple[list[tuple], np.ndarray]:
-    """Nodes (tree, split, weight, number) of a unit, and each row's sum of its trees' values, in order of trees."""
-    total = np.zeros(len(rows.key))
+def finish(bins: Bins, labels: Labels, unit: _Unit, seed: int, rows: _Rows, total: np.ndarray, predict: bool = True
+           ) -> Iterator[tuple]:
+    """Nodes (tree, split, weight, number) of a unit's trees; each row's value in them is added to ``total``, in order."""
     if unit.value is not None:
-        return [], total + unit.value
+        total += unit.value
+        return
     trees, hashes = range(unit.first, unit.first + unit.count), row_hashes(rows.key, rows.dup)
-    train, waiting, nodes = np.flatnonzero(rows.train), [], []
+    train, waiting = np.flatnonzero(rows.train), []
 
-    def flush():
+    def flush() -> Iterator[tuple]:
         at, w = np.concatenate([x[1] for x in waiting]), np.concatenate([x[2] for x in waiting]).astype(np.float64)
         root = np.repeat(np.arange(len(waiting)), [len(x[1]) for x in waiting])
         done = grow(bins, labels, np.take(rows.codes, at, axis=1), w, w * rows.label[at], root, len(waiting), unit.depth)
         for i, (tree, _, _) in enumerate(waiting):
             split, weight, number = (np.concatenate([x[k][x[0] == i] for x in done]) for k in (1, 2, 3))
-            nodes.append((tree, split, weight, number))
             if predict:
                 total[:] += number[leaves(bins, (split, *links(split)), rows.codes)]
+            yield tree, split, weight, number
         waiting.clear()
 
     for tree in trees:
         count = bootstrap_counts(hashes[train], tree, seed)
         waiting.append((tree, train[count > 0], count[count > 0]))
         if sum(len(x[1]) for x in waiting) >= BATCH_ROWS:
-            flush()
+            yield from flush()
     if waiting:
-        flush()
-    return nodes, total
+        yield from flush()
+
+
+def _give_back() -> None:
+    """Freed memory to the system: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def _finished(bins: Bins, labels: Labels, units: list[_Unit], seed: int, predict: bool):
@@ -396,15 +406,15 @@ def _finished(bins: Bins, labels: Labels, units: list[_Unit], seed: int, predict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in batches:
-            columns = [b.column(i) for i in range(b.num_columns)]
-            for i in range(b.num_rows):
-                held.setdefault(columns[0][i].as_py(), []).append(tuple(c[i].as_py() for c in columns[1:]))
+            for number, *cells in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(number, []).append(cells)
+            del b
         while held:
             number, blocks = held.popitem()
             unit, rows = units[number], _Rows.joined(blocks, bins)
             del blocks
-            nodes, total = finish(bins, labels, unit, seed, rows, predict)
-            for tree, split, weight, value in nodes:
+            total = np.zeros(len(rows.key))
+            for tree, split, weight, value in finish(bins, labels, unit, seed, rows, total, predict):
                 for s in range(0, len(split), CHUNK):
                     cut = slice(s, s + CHUNK)
                     yield batch(1, tree=[tree], part=[unit.part], start=[s],
@@ -415,6 +425,8 @@ def _finished(bins: Bins, labels: Labels, units: list[_Unit], seed: int, predict
                 n = len(total[cut])
                 yield batch(n, key=rows.key[cut], dup=rows.dup[cut], unit=np.full(n, unit.first, np.int32),
                             total=total[cut])
+            del rows, total
+        _give_back()
     return run
 
 
@@ -431,8 +443,9 @@ class _Top:
         return (self.split, *links(self.split))
 
 
-def _histograms(bins: Bins, tops: dict[int, np.ndarray], open_from: dict[int, tuple[int, int]], seed: int):
-    """Blocks to one row for each open node (tree, node, rows, weights and sums by bin and level)."""
+def _histograms(bins: Bins, labels: Labels, tops: dict[int, np.ndarray], open_from: dict[int, tuple[int, int]],
+                seed: int):
+    """Rows to one row for each open node (tree, node, rows, weights and sums by bin and level)."""
     width = len(bins.levels)
     ranges = [(int(bins.offsets[f]) + f, len(t) + 1) for f, t in enumerate(bins.thresholds)]
     cells = bins.total + len(ranges) + width
@@ -441,7 +454,7 @@ def _histograms(bins: Bins, tops: dict[int, np.ndarray], open_from: dict[int, tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], list] = {}
         trees = {t: (s, *links(s)) for t, s in tops.items()}
-        for block in _blocks(batches, bins):
+        for block in _binned(bins, labels)(batches):
             hashes = row_hashes(block.key, block.dup)
             for t, (start, n) in open_from.items():
                 at = leaves(bins, trees[t], block.codes) - start
@@ -501,21 +514,9 @@ def _chosen(bins: Bins, labels: Labels):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], bins: Bins) -> Iterator[_Rows]:
-    """Blocks as ``_binned`` makes them."""
-    for b in batches:
-        columns = [b.column(i) for i in range(b.num_columns)]
-        for i in range(b.num_rows):
-            yield _Rows.joined([tuple(c[i].as_py() for c in columns)], bins)
-
-
-def _binned(rows: DataFrame, bins: Bins, labels: Labels, label: str, train: Column) -> DataFrame:
-    """The rows in binary blocks, one for each Arrow batch."""
-    cols = [f"`{c}`" for c in bins.numeric] + ([f"`{bins.category}`"] if bins.levels else [])
-    src = rows.select("key", "dup", F.col(label).cast("double"), F.coalesce(train, F.lit(False)), *cols)
-    names = ["key", "dup", "label", "train", "codes"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _binned(bins: Bins, labels: Labels):
+    """Arrow batches of key, dup, label, train, numeric columns and category to binned rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
         for b in batches:
             if not b.num_rows:
                 continue
@@ -524,12 +525,11 @@ def _binned(rows: DataFrame, bins: Bins, labels: Labels, label: str, train: Colu
             y = np.where(is_train, y.to_numpy(zero_copy_only=False).astype(np.float64), labels.centre)
             values = x.pop().to_pylist() if bins.levels else None
             codes = bins.codes([c.to_numpy(zero_copy_only=False) for c in x], values, b.num_rows)
-            block = _Rows(key.to_numpy(), dup.to_numpy().astype(np.int32), labels.whole(y), is_train, codes)
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in block.cells()], names)
-    return src.mapInArrow(run, ", ".join(f"{n} binary" for n in names))
+            yield _Rows(key.to_numpy(), dup.to_numpy().astype(np.int32), labels.whole(y), is_train, codes)
+    return run
 
 
-def _tops(blocks: DataFrame, bins: Bins, labels: Labels, trees: int, depth: int, seed: int
+def _tops(rows: DataFrame, bins: Bins, labels: Labels, trees: int, depth: int, seed: int
           ) -> tuple[dict[int, _Top], dict[int, list[tuple[_Unit, int]]]]:
     """Splits every node of more than ``UNIT_ROWS`` rows, one level of all trees a pass; the trees so far, and
     for each its units with their rows."""
@@ -538,7 +538,7 @@ def _tops(blocks: DataFrame, bins: Bins, labels: Labels, trees: int, depth: int,
     parts: dict[int, list] = {t: [] for t in tops}
     for at_depth in range(depth + 1):
         splits = {t: tops[t].split for t in open_from}
-        found = (blocks.mapInArrow(_histograms(bins, splits, open_from, seed), _PARTIAL).repartition("tree", "node")
+        found = (rows.mapInArrow(_histograms(bins, labels, splits, open_from, seed), _PARTIAL).repartition("tree", "node")
                  .mapInArrow(_chosen(bins, labels), _CHOICE).collect())
         following = {}
         for t, (start, n) in open_from.items():
@@ -566,8 +566,9 @@ def _tops(blocks: DataFrame, bins: Bins, labels: Labels, trees: int, depth: int,
     return tops, parts
 
 
-def _routed(bins: Bins, tops: dict[int, np.ndarray], places: dict[int, list[tuple[int, int]]], groups: int):
-    """Blocks to what each unit needs of them.  Without tops every unit needs all rows."""
+def _routed(bins: Bins, labels: Labels, tops: dict[int, np.ndarray], places: dict[int, list[tuple[int, int]]],
+            groups: int):
+    """Rows to blocks of what each unit needs of them.  Without tops every unit needs all rows."""
     names = [c.split()[0] for c in _BLOCK.split(", ")]
 
     def out(unit: int, cells: list[bytes]) -> pa.RecordBatch:
@@ -576,7 +577,7 @@ def _routed(bins: Bins, tops: dict[int, np.ndarray], places: dict[int, list[tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = {t: (s, *links(s)) for t, s in tops.items()}
-        for block in _blocks(batches, bins):
+        for block in _binned(bins, labels)(batches):
             if not trees:
                 cells = block.cells()
                 for unit in range(groups):
@@ -626,10 +627,11 @@ class Forest:
                     amount = np.frombuffer(number, np.float64)[inner] * np.frombuffer(weight, np.int32)[inner]
                     sums = np.bincount(bins.names_of(split[inner]), amount, len(bins.names))
                     at = np.flatnonzero(sums)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree), pa.int32()), pa.array(at, pa.int32()),
-                                                      pa.array(sums[at], pa.float64())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree), pa.int32()),
+                                                      pa.array(at, pa.int32()), pa.array(sums[at], pa.float64())], names)
         each = (self.trees.select("tree", "split", "weight", "number")
-                .mapInArrow(run, "tree int, feature int, amount double").groupBy("tree", "feature").agg(F.sum("amount").alias("amount")).collect())
+                .mapInArrow(run, "tree int, feature int, amount double").groupBy("tree", "feature")
+                .agg(F.sum("amount").alias("amount")).collect())
         sums = np.zeros((self.num_trees, len(bins.names)))
         for r in each:
             sums[r["tree"], r["feature"]] = r["amount"]
@@ -722,19 +724,21 @@ def fit(rows: DataFrame, numeric: list[str], category: str | None, levels: list[
     table = some.select(*[F.col(f"`{c}`").cast("double") for c in numeric]).toPandas() if numeric else None
     points = [split_points(table.iloc[:, i].to_numpy(), min(max_bins, n)) for i in range(len(numeric))]
     bins, labels = Bins(numeric, points, category, list(levels)), Labels.of(n, low, high)
-    blocks, n_all = _binned(rows if predict else chosen, bins, labels, label, train), n_all if predict else n
+    cols = [f"`{c}`" for c in numeric] + ([f"`{category}`"] if bins.levels else [])
+    slim = (rows if predict else chosen).select("key", "dup", y, F.coalesce(train, F.lit(False)), *cols)
+    n_all = n_all if predict else n
 
     tops, units, places = {}, [], {}
     if n_all <= UNIT_ROWS:
         units = [_Unit(t, min(GROUP, num_trees - t), 0, max_depth) for t in range(0, num_trees, GROUP)]
     else:
-        tops, parts = _tops(blocks, bins, labels, num_trees, max_depth, seed)
+        tops, parts = _tops(slim, bins, labels, num_trees, max_depth, seed)
         for t, of in parts.items():
             for unit, held in of:
                 many = -(-held // UNIT_ROWS)
                 places.setdefault(t, []).append((len(units), many))
                 units += [unit] * many
-    routed = blocks.mapInArrow(_routed(bins, {t: x.split for t, x in tops.items()}, places, len(units)), _BLOCK)
+    routed = slim.mapInArrow(_routed(bins, labels, {t: x.split for t, x in tops.items()}, places, len(units)), _BLOCK)
     grown = stored(routed.repartitionById(len(units), "unit")
                    .mapInArrow(_finished(bins, labels, units, seed, predict), _GROWN), "forest")
     trees = grown.filter(F.col("tree").isNotNull()).select("tree", "part", "start", "split", "weight", "number")
